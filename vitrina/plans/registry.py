@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import reports
+from ..operators import catalog, reports
 from ..sources.tables import Tables, load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,46 @@ def _wrap(fn: Callable[[Tables], DataFrame]) -> QueryFn:
     return run
 
 
-table_fn("sales_by_category", reports.sales_by_category)
+for _name in (
+    "sales_by_category",
+    "monthly_revenue",
+    "top_products",
+    "top_products_dashboard",
+    "customer_lifetime_value",
+    "low_stock_products",
+    "low_stock_recent_sales",
+    "pending_orders",
+    "payment_status_summary",
+    "shipping_zone_revenue",
+    "sales_by_currency",
+    "kpis",
+    "admin_kpis",
+    "admin_low_stock",
+    "recent_orders",
+    "orders_by_currency_all",
+):
+    table_fn(_name, getattr(reports, _name))
+
+table_fn("available_stock", catalog.available_stock)
+table_fn("catalog_page", lambda t: catalog.catalog_page(t, sort="price-asc", page=2, limit=10))
+table_fn("category_page", lambda t: catalog.category_page(t, "brand-13"))
+table_fn("search_products", lambda t: catalog.search_products(t, "lace", show_all=True))
+table_fn("admin_product_list", lambda t: catalog.admin_product_list(t, stock="low-stock", sort="name", show_all=True))
+for _name in (
+    "price_range",
+    "price_range_by_category",
+    "featured_sample",
+    "category_list",
+    "products_by_ids",
+    "product_detail",
+    "product_facets",
+    "product_ratings",
+    "latest_reviews",
+    "stock_label",
+    "stock_bands",
+    "stock_band_counts",
+):
+    table_fn(_name, getattr(catalog, _name))
 
 
 def table_functions() -> dict[str, Callable[[Tables], DataFrame]]:
@@ -43,7 +82,7 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import oracle_reports  # noqa: F401  (registers statements)
+    from . import oracle_catalog, oracle_reports  # noqa: F401  (register statements)
     from .oracle_sql import ORACLE
 
     return {k: v for k, v in ORACLE.items() if k in _TABLE_FNS}
