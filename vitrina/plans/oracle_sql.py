@@ -41,6 +41,8 @@ MAPPING = {
                CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '+502 ' || CAST(c_custkey AS VARCHAR) END phone,
                CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_nationkey END city_id,
                CAST(DATE '2023-01-01' + CAST(c_custkey % 365 AS INT) AS TIMESTAMP) created_at,
+               CASE WHEN c_custkey % 7 = 0 THEN NULL
+                    ELSE CAST(DATE '2023-01-01' + CAST(c_custkey % 365 + 30 AS INT) AS TIMESTAMP) END last_login,
                CASE WHEN c_custkey % 5 = 0 THEN 'g' || CAST(c_custkey AS VARCHAR) END google_id
         FROM customer""",
     "customer_addresses": """

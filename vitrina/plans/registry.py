@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import catalog, reports
+from ..operators import carts, catalog, customers, reports
 from ..sources.tables import Tables, load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,7 @@ for _name in (
 table_fn("available_stock", catalog.available_stock)
 table_fn("catalog_page", lambda t: catalog.catalog_page(t, sort="price-asc", page=2, limit=10))
 table_fn("category_page", lambda t: catalog.category_page(t, "brand-13"))
-table_fn("search_products", lambda t: catalog.search_products(t, "lace", show_all=True))
+table_fn("search_products", lambda t: catalog.search_products(t, "Gear", show_all=True))
 table_fn("admin_product_list", lambda t: catalog.admin_product_list(t, stock="low-stock", sort="name", show_all=True))
 for _name in (
     "price_range",
@@ -72,6 +72,24 @@ for _name in (
 ):
     table_fn(_name, getattr(catalog, _name))
 
+for _name in ("customer_profile", "customer_order_stats", "customer_recent_orders"):
+    table_fn(_name, getattr(customers, _name))
+table_fn("clv_page", lambda t: customers.clv_page(t, page=2, limit=20))
+table_fn("clv_page_meta", lambda t: customers.clv_page_meta(t, page=2, limit=20))
+for _name in (
+    "cart_contents",
+    "cart_totals",
+    "cart_item_count",
+    "cart_distinct_products",
+    "cart_merge",
+    "cart_set_quantity",
+    "cart_remove",
+    "retention_cleanup",
+    "retention_counts",
+    "cart_product_popularity",
+):
+    table_fn(_name, getattr(carts, _name))
+
 
 def table_functions() -> dict[str, Callable[[Tables], DataFrame]]:
     return dict(_TABLE_FNS)
@@ -82,7 +100,7 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import oracle_catalog, oracle_reports  # noqa: F401  (register statements)
+    from . import oracle_catalog, oracle_people, oracle_reports  # noqa: F401  (register statements)
     from .oracle_sql import ORACLE
 
     return {k: v for k, v in ORACLE.items() if k in _TABLE_FNS}

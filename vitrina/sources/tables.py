@@ -149,6 +149,9 @@ def map_customers(customer: DataFrame) -> DataFrame:
         F.date_add(F.lit("2023-01-01").cast("date"), _mod(key, 365).cast("int"))
         .cast("timestamp_ntz")
         .alias("created_at"),
+        F.when(_mod(key, 7) == 0, F.lit(None).cast("timestamp_ntz"))
+        .otherwise(F.date_add(F.lit("2023-01-01").cast("date"), (_mod(key, 365) + 30).cast("int")).cast("timestamp_ntz"))
+        .alias("last_login"),
         F.when(_mod(key, 5) == 0, F.concat(F.lit("g"), key.cast("string"))).alias("google_id"),
     )
 
