@@ -43,7 +43,8 @@ MAPPING = {
                CAST(DATE '2023-01-01' + CAST(c_custkey % 365 AS INT) AS TIMESTAMP) created_at,
                CASE WHEN c_custkey % 7 = 0 THEN NULL
                     ELSE CAST(DATE '2023-01-01' + CAST(c_custkey % 365 + 30 AS INT) AS TIMESTAMP) END last_login,
-               CASE WHEN c_custkey % 5 = 0 THEN 'g' || CAST(c_custkey AS VARCHAR) END google_id
+               CASE WHEN c_custkey % 5 = 0 THEN 'g' || CAST(c_custkey AS VARCHAR) END google_id,
+               CASE WHEN c_custkey % 13 = 0 THEN 'f' || CAST(c_custkey AS VARCHAR) END facebook_id
         FROM customer""",
     "customer_addresses": """
         SELECT c_custkey address_id, c_custkey customer_id, c_nationkey city_id FROM customer""",

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import carts, catalog, customers, reports
+from ..operators import carts, catalog, customers, ingest, pricing, quality, reports
 from ..sources.tables import Tables, load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,20 @@ for _name in (
 ):
     table_fn(_name, getattr(carts, _name))
 
+table_fn("price_orders", pricing.price_orders)
+table_fn("convert_currency", pricing.convert_currency)
+for _name in ("constraint_audit", "referential_audit", "uniqueness_audit", "table_row_counts"):
+    table_fn(_name, getattr(quality, _name))
+for _name in (
+    "clean_products",
+    "apply_product_changes",
+    "clean_customers",
+    "link_identities",
+    "slugify",
+    "slug_consistency",
+):
+    table_fn(_name, getattr(ingest, _name))
+
 
 def table_functions() -> dict[str, Callable[[Tables], DataFrame]]:
     return dict(_TABLE_FNS)
@@ -100,7 +114,7 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import oracle_catalog, oracle_people, oracle_reports  # noqa: F401  (register statements)
+    from . import oracle_catalog, oracle_jobs, oracle_people, oracle_reports  # noqa: F401  (register statements)
     from .oracle_sql import ORACLE
 
     return {k: v for k, v in ORACLE.items() if k in _TABLE_FNS}

@@ -153,6 +153,7 @@ def map_customers(customer: DataFrame) -> DataFrame:
         .otherwise(F.date_add(F.lit("2023-01-01").cast("date"), (_mod(key, 365) + 30).cast("int")).cast("timestamp_ntz"))
         .alias("last_login"),
         F.when(_mod(key, 5) == 0, F.concat(F.lit("g"), key.cast("string"))).alias("google_id"),
+        F.when(_mod(key, 13) == 0, F.concat(F.lit("f"), key.cast("string"))).alias("facebook_id"),
     )
 
 
