@@ -272,3 +272,55 @@ register(
              'madera-tallada', 'decoracion-hogar', 'bolsas-accesorios')"""
     ),
 )
+
+register(
+    "kpi_long",
+    q(
+        """SELECT replace(metrica, '_', ' ') AS metrica, valor FROM (
+             UNPIVOT (SELECT CAST(total_customers AS DOUBLE) total_customers, CAST(total_products AS DOUBLE) total_products,
+                             CAST(total_orders AS DOUBLE) total_orders, total_revenue, avg_ticket,
+                             CAST(pending_orders AS DOUBLE) pending_orders FROM k)
+             ON total_customers, total_products, total_orders, total_revenue, avg_ticket, pending_orders
+             INTO NAME metrica VALUE valor)""",
+        """k AS (
+          SELECT
+            (SELECT COUNT(*) FROM customers) AS total_customers,
+            (SELECT COUNT(*) FROM products WHERE is_active = true) AS total_products,
+            (SELECT COUNT(*) FROM shop_orders WHERE status != 'Cancelado') AS total_orders,
+            (SELECT CAST(ROUND(COALESCE(SUM(total), 0), 2) AS DOUBLE) FROM shop_orders WHERE status != 'Cancelado') AS total_revenue,
+            (SELECT COALESCE(CASE WHEN COUNT(total) > 0 THEN CAST((2*CAST(SUM(total)*100 AS HUGEINT) + COUNT(total)) // (2*COUNT(total)) AS DOUBLE) / 100.0 END, 0.0)
+               FROM shop_orders WHERE status != 'Cancelado') AS avg_ticket,
+            (SELECT COUNT(*) FROM shop_orders WHERE status IN ('Pendiente', 'Procesando')) AS pending_orders)""",
+    ),
+)
+
+
+def _abbrev_sql(x: str, ladder: list[tuple[int, str]]) -> str:
+    parts = []
+    for threshold, suffix in ladder:
+        scale = "0." + "0" * (len(str(threshold)) - 2) + "1"
+        parts.append(
+            f"WHEN {x} >= {threshold} THEN regexp_replace(CAST(CAST(ROUND({x} * {scale}, 1) AS DECIMAL(38,1)) AS VARCHAR), '\\.0$', '') || '{suffix}'"
+        )
+    return f"CASE {' '.join(parts)} ELSE CAST(CAST(ROUND({x}, 2) AS DECIMAL(38,2)) AS VARCHAR) END"
+
+
+register(
+    "abbreviate_amount",
+    q(
+        f"""SELECT month, {m('rev')} AS revenue,
+                   {_abbrev_sql('rev', [(10**12, 'T'), (10**9, 'B'), (10**6, 'M'), (10**3, 'K')])} AS formatted,
+                   {_abbrev_sql('rev', [(10**6, 'M'), (10**3, 'K')])} AS formatted_short
+            FROM (SELECT CAST(date_trunc('month', order_date) AS TIMESTAMP) AS month, SUM(total) AS rev
+                  FROM shop_orders WHERE status != 'Cancelado' GROUP BY 1) t"""
+    ),
+)
+
+register(
+    "chart_series_monthly",
+    q(
+        f"""SELECT month, COALESCE(revenue, 0.0) AS revenue FROM (
+              SELECT CAST(date_trunc('month', order_date) AS TIMESTAMP) AS month, {m('SUM(total)')} AS revenue
+              FROM shop_orders WHERE status != 'Cancelado' GROUP BY 1 ORDER BY month DESC LIMIT 12) t"""
+    ),
+)

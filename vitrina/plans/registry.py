@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import carts, catalog, customers, ingest, pricing, quality, reports
+from ..operators import carts, catalog, customers, export, ingest, pricing, quality, reports
 from ..sources.tables import Tables, load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,8 @@ for _name in (
     "slug_consistency",
 ):
     table_fn(_name, getattr(ingest, _name))
+for _name in ("export_csv", "kpi_long", "report_registry", "export_json", "abbreviate_amount", "chart_series_monthly"):
+    table_fn(_name, getattr(export, _name))
 
 
 def table_functions() -> dict[str, Callable[[Tables], DataFrame]]:
