@@ -10,8 +10,9 @@ the driver. ``csv_lines`` renders the same lines as a DataFrame column
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CSV_OPTIONS = {
     "header": "true",
@@ -25,8 +26,18 @@ CSV_OPTIONS = {
 
 
 def _text(df: DataFrame) -> DataFrame:
-    """Every column as text (the export stringifies values)."""
-    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    """Every column as text (the export stringifies values).
+
+    Doubles are money at this boundary: written as plain 2-decimal numbers
+    (``115544654.00``), never in scientific notation.
+    """
+    def text(f) -> Column:
+        c = F.col(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = c.cast("decimal(38,2)")
+        return c.cast("string").alias(f.name)
+
+    return df.select(*[text(f) for f in df.schema.fields])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
