@@ -22,9 +22,24 @@ def table_fn(key: str, fn: Callable[[Tables], DataFrame]) -> None:
     _TABLE_FNS[key] = fn
 
 
+_LOADED: dict[tuple[int, str], Tables] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
+    """Lazily mapped tables, built once per (session, directory).
+
+    The frames are plans, not data: reusing them saves the per-query source
+    listing and plan construction, nothing is cached in memory.
+    """
+    key = (id(spark), sf_dir)
+    if key not in _LOADED:
+        _LOADED[key] = load(spark, sf_dir)
+    return _LOADED[key]
+
+
 def _wrap(fn: Callable[[Tables], DataFrame]) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(load(spark, sf_dir))
+        return fn(tables_for(spark, sf_dir))
 
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__
