@@ -54,31 +54,38 @@ def roll_up(parent: DataFrame, key: str, children: DataFrame) -> DataFrame:
     ).drop("_any")
 
 
-def _product_survival(t: Tables, rows: DataFrame) -> DataFrame:
-    """(product_id, category_id, survives) for products LEFT JOIN items/orders WHERE kept."""
-    leaves = rows.select("product_id", kept_after_outer_join().alias("survives"))
-    return roll_up(t.products.select("product_id", "category_id"), "product_id", leaves)
-
-
 def sales_by_category(t: Tables) -> DataFrame:
-    """Q01: per category distinct orders, units and revenue (cancelled excluded)."""
-    rows = _item_rows(t)
-    kept = rows.filter(kept_after_outer_join())
+    """Q01: per category distinct orders, units and revenue (cancelled excluded).
+
+    The items-orders join runs once, into an aggregate per (product, order)
+    that feeds both the category figures and the product survival flags
+    (the second use is a reused exchange). Whether a product has items at
+    all comes from a join-free count over order_items.
+    """
+    per_po = (
+        _item_rows(t)
+        .filter(kept_after_outer_join())
+        .groupBy("product_id", "matched_order_id")
+        .agg(F.sum("quantity").alias("units"), F.sum(F.col("quantity") * F.col("unit_price")).alias("revenue"))
+    )
     products = t.products.select("product_id", "category_id")
     stats = (
-        kept.join(products, "product_id")
+        per_po.join(products, "product_id")
         .groupBy("category_id")
         .agg(
             F.countDistinct("matched_order_id").alias("total_orders"),
-            F.sum("quantity").alias("units_sold"),
-            F.sum(F.col("quantity") * F.col("unit_price")).alias("revenue"),
+            F.sum("units").alias("units_sold"),
+            F.sum("revenue").alias("revenue"),
         )
     )
-    cats = roll_up(
-        t.categories.select("category_id", "category_name"),
-        "category_id",
-        _product_survival(t, rows).select("category_id", "survives"),
+    has_items = t.order_items.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n_items"))
+    has_kept = per_po.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n_kept"))
+    product_flags = (
+        products.join(has_items, "product_id", "left")
+        .join(has_kept, "product_id", "left")
+        .select("category_id", (F.col("_n_items").isNull() | F.col("_n_kept").isNotNull()).alias("survives"))
     )
+    cats = roll_up(t.categories.select("category_id", "category_name"), "category_id", product_flags)
     out = cats.filter("survives").join(stats, "category_id", "left")
     return out.select(
         "category_id",
