@@ -351,3 +351,23 @@ def test_abbreviation_ladder(spark):
     assert got == ["999.99", "1K", "1.3K", "3M", "4.5B", "7.1T"]
     short = [r.f for r in df.select(export.abbreviate(df["x"], export.LADDER_SHORT).alias("f")).collect()]
     assert short[-1] == "7100000M"
+
+
+def test_product_detail_splits_long_lists(spark):
+    t = make_tables(
+        spark,
+        customers=[{"customer_id": 1, "first_name": "A", "last_name": "B", "email": "a@x"}],
+        products=[product(1, 1)],
+        product_reviews=[
+            {"review_id": i, "product_id": 1, "customer_id": 1, "rating": 5, "is_approved": True,
+             "created_at": ts(f"2024-01-{i:02d} 00:00:00")}
+            for i in range(1, 21)
+        ],
+    )
+    rows = catalog.product_detail(t, chunk=5).collect()
+    assert len(rows) >= 2 and all(r.product_id == 1 for r in rows)
+    ids = [x.review_id for r in rows for x in r.reviews]
+    assert sorted(ids) == list(range(1, 21))
+    for r in rows:  # newest first inside each part
+        stamps = [x.created_at for x in r.reviews]
+        assert stamps == sorted(stamps, reverse=True)

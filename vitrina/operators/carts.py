@@ -187,17 +187,33 @@ def cart_merge(t: Tables, batch: DataFrame | None = None) -> DataFrame:
     )
 
 
-def cart_merge_snapshot(t: Tables, batch: DataFrame | None = None) -> DataFrame:
-    """Cart after ``cart_merge``: updated lines replaced, inserted lines appended (id NULL)."""
+def cart_merge_snapshot(
+    t: Tables, batch: DataFrame | None = None, batch_tag: int | None = None, now: str | None = None
+) -> DataFrame:
+    """Cart after ``cart_merge``: updated lines replaced, inserted lines appended.
+
+    New lines get id NULL, or, with ``batch_tag``, a negative id hashed from
+    (tag, cart key): the same batch always yields the same ids, so a retried
+    micro-batch rewrites an identical snapshot. ``now`` stamps touched lines.
+    """
     res = cart_merge(t, batch)
+    stamp = F.lit(now).cast("timestamp_ntz") if now else None
     updates = res.filter(F.col("action") == ACTION_UPDATE).select(F.col("line_id").alias("id"), F.col("new_quantity").alias("_newq"))
     kept = t.cart_items.join(updates, "id", "left").withColumn(
         "quantity", F.coalesce(F.col("_newq"), F.col("quantity"))
-    ).drop("_newq")
+    )
+    if stamp is not None:
+        kept = kept.withColumn("updated_at", F.when(F.col("_newq").isNotNull(), stamp).otherwise(F.col("updated_at")))
+    kept = kept.drop("_newq")
+    new_id = (
+        F.lit(None).cast("long")
+        if batch_tag is None
+        else -F.abs(F.xxhash64(F.lit(batch_tag), *[F.col(c) for c in KEY])) - 1
+    )
     inserts = res.filter(F.col("action") == ACTION_INSERT).select(
-        F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("session_id"),
+        new_id.alias("id"), F.lit(None).cast("string").alias("session_id"),
         "customer_id", "product_id", F.col("new_quantity").alias("quantity"), "size", "color",
-        F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+        (stamp if stamp is not None else F.lit(None).cast("timestamp_ntz")).alias("updated_at"),
     )
     return kept.unionByName(inserts)
 

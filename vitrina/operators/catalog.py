@@ -306,7 +306,7 @@ def products_by_ids(t: Tables, ids: DataFrame | list[int] | None = None) -> Data
     )
 
 
-REVIEW_CHUNK = 1000
+DETAIL_CHUNK = 1000
 
 
 def approved_reviews(t: Tables) -> DataFrame:
@@ -318,13 +318,35 @@ def approved_reviews(t: Tables) -> DataFrame:
     )
 
 
-def product_detail(t: Tables, chunk: int = REVIEW_CHUNK) -> DataFrame:
+def chunked_lists(rows: DataFrame, key: str, row_id: str, item: Column, sort_key: Column, chunk: int, name: str) -> DataFrame:
+    """(key, part, name): each key's items as sorted arrays of at most about ``chunk``.
+
+    The number of parts per key comes from a per-key count (map-side
+    partial), each row goes to part ``hash(row_id) mod parts``, so a key
+    holding a huge share of rows is spread over many tasks instead of one.
+    Within a part the array is sorted by ``sort_key``.
+    """
+    parts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(
+        key, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk))).cast("long").alias("_parts")
+    )
+    keyed = rows.select(key, row_id, F.struct(sort_key.alias("k"), item.alias("v")).alias("_e"))
+    return (
+        keyed.join(parts, key)
+        .withColumn("part", F.pmod(F.xxhash64(row_id), F.col("_parts")))
+        .groupBy(key, "part")
+        .agg(F.array_sort(F.collect_list("_e")).alias("_l"))
+        .select(key, "part", F.transform("_l", lambda e: e["v"]).alias(name))
+    )
+
+
+def product_detail(t: Tables, chunk: int = DETAIL_CHUNK) -> DataFrame:
     """Q26: per active product a product struct, its active variants and approved reviews.
 
-    Variants are ordered by (size, color), reviews newest first. A product's
-    reviews are split over rows of at most about ``chunk`` reviews
-    (``review_part``), so no single row or task has to hold an unbounded
-    list; a product with fewer reviews than ``chunk`` has exactly one row.
+    Variants are ordered by (size, color) with NULLs last, reviews newest
+    first. Each product's lists are split over rows (``part``) of at most
+    about ``chunk`` entries, so no row or task ever holds an unbounded list;
+    a product with fewer than ``chunk`` variants and reviews has exactly one
+    row (part 0), as the shop's single JSON document.
     """
     products = t.products.filter("is_active").join(
         t.categories.select("category_id", "category_name", F.col("slug").alias("category_slug")), "category_id", "left"
@@ -338,52 +360,27 @@ def product_detail(t: Tables, chunk: int = REVIEW_CHUNK) -> DataFrame:
         ).alias("product"),
     )
     variant = F.struct(
-        "size", "color", "variant_id", "variant_name", "sku", "material",
+        "variant_id", "variant_name", "sku", "size", "color", "material",
         money("additional_price").alias("additional_price"), "stock", "is_active",
     )
-    variants = (
-        t.product_variants.filter("is_active")
-        .groupBy("product_id")
-        .agg(F.array_sort(F.collect_list(variant)).alias("variants"))
-    )
-    reviews = approved_reviews(t)
-    parts = reviews.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")).select(
-        "product_id", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk))).cast("long").alias("_parts")
+    variant_order = F.struct(
+        F.col("size").isNull(), "size", F.col("color").isNull(), "color", "variant_id"
     )
-    review = F.struct(
-        F.col("created_at").alias("_sort_ts"),
-        "review_id", "rating", "review_text", "is_verified_purchase", "created_at", "customer_name",
-    )
-    review_rows = (
-        reviews.join(parts, "product_id")
-        .withColumn("review_part", F.pmod(F.xxhash64("review_id"), F.col("_parts")))
-        .groupBy("product_id", "review_part")
-        .agg(F.collect_list(review).alias("_reviews"))
-        .select(
-            "product_id",
-            "review_part",
-            F.transform(
-                F.array_sort(
-                    "_reviews",
-                    lambda a, b: F.when(a["_sort_ts"] > b["_sort_ts"], -1)
-                    .when(a["_sort_ts"] < b["_sort_ts"], 1)
-                    .otherwise(F.when(a["review_id"] < b["review_id"], -1).when(a["review_id"] > b["review_id"], 1).otherwise(0)),
-                ),
-                lambda r: r.dropFields("_sort_ts"),
-            ).alias("reviews"),
-        )
+    variants = chunked_lists(
+        t.product_variants.filter("is_active"), "product_id", "variant_id", variant, variant_order, chunk, "variants"
     )
-    empty = F.array().cast("array<struct<review_id:bigint,rating:int,review_text:string,is_verified_purchase:boolean,created_at:timestamp_ntz,customer_name:string>>")
-    return (
-        product.join(variants, "product_id", "left")
-        .join(review_rows, "product_id", "left")
-        .select(
-            "product_id",
-            F.coalesce(F.col("review_part"), F.lit(0)).cast("long").alias("review_part"),
-            "product",
-            F.coalesce(F.col("variants"), F.array().cast(variants.schema["variants"].dataType)).alias("variants"),
-            F.coalesce(F.col("reviews"), empty).alias("reviews"),
-        )
+    review = F.struct("review_id", "rating", "review_text", "is_verified_purchase", "created_at", "customer_name")
+    review_order = F.struct(-F.unix_micros(F.col("created_at").cast("timestamp")), "review_id")
+    reviews = chunked_lists(approved_reviews(t), "product_id", "review_id", review, review_order, chunk, "reviews")
+    lists = variants.join(reviews, ["product_id", "part"], "full")
+    empty_v = F.array().cast(variants.schema["variants"].dataType)
+    empty_r = F.array().cast(reviews.schema["reviews"].dataType)
+    return product.join(lists, "product_id", "left").select(
+        "product_id",
+        F.coalesce(F.col("part"), F.lit(0)).cast("long").alias("part"),
+        "product",
+        F.coalesce(F.col("variants"), empty_v).alias("variants"),
+        F.coalesce(F.col("reviews"), empty_r).alias("reviews"),
     )
 
 

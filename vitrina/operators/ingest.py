@@ -308,7 +308,7 @@ def slugify(t: Tables) -> DataFrame:
 def slug_consistency(t: Tables, routes: DataFrame | None = None) -> DataFrame:
     """Q55: categories whose stored slug is not a route key (broken links)."""
     if routes is None:
-        routes = F.broadcast(literals.category_slugs(t.spark))
+        routes = literals.category_slugs(t.spark)
     return t.categories.join(routes, t.categories["slug"] == routes["route_slug"], "left_anti").select(
         "category_id", "category_name", "slug"
     )

@@ -30,7 +30,7 @@ def price_orders(t: Tables) -> DataFrame:
     subtotal = t.order_items.groupBy("order_id").agg(
         F.sum(F.col("quantity") * F.col("unit_price")).alias("subtotal")
     )
-    promos = F.broadcast(t.promotions.select("promo_id", "discount_type", "discount_value"))
+    promos = t.promotions.select("promo_id", "discount_type", "discount_value")
     rows = (
         t.orders.select("order_id", "currency_code", "promo_id")
         .join(subtotal, "order_id")

@@ -1,7 +1,7 @@
 """Small literal dimension tables.
 
-These are the only frames the library broadcasts explicitly: they are built
-from the Python lists below, so their size is known when the plan is made.
+They are built from the Python lists below, so the planner knows their
+exact size and broadcasts them by its own size check; no hint is needed.
 """
 
 from __future__ import annotations
