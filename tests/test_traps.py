@@ -172,7 +172,7 @@ def test_s11_variant_stock(spark):
     assert (out[4]["available_stock"], out[4]["has_variants"]) == (0, True)
     labels = rows_by(catalog.stock_label(t), "product_id")
     assert labels[2]["label"] == "Últimas 3 unidades" and labels[4]["label"] == "Agotado"
-    bands = rows_by(catalog.stock_bands(t), "product_id")
+    bands = rows_by(catalog.stock_band(t), "product_id")
     assert bands[1]["band"] == "in-stock" and bands[2]["band"] == "low-stock" and bands[4]["band"] == "out-of-stock"
 
 

@@ -199,7 +199,7 @@ def search_products(
     return _product_out(paginate(rows, sort_columns(sort), page, limit, show_all))
 
 
-def stock_band(c: Column) -> Column:
+def band_of(c: Column) -> Column:
     return F.when(c == 0, BAND_OUT).when((c > 0) & (c < 5), BAND_LOW).when(c >= 5, BAND_IN)
 
 
@@ -237,7 +237,7 @@ def admin_product_list(
     if max_price < ADMIN_MAX_PRICE:
         cond = cond & (F.col("price") <= F.lit(max_price))
     if stock in (BAND_OUT, BAND_LOW, BAND_IN):
-        cond = cond & (stock_band(F.col("total_stock")) == F.lit(stock))
+        cond = cond & (band_of(F.col("total_stock")) == F.lit(stock))
     page_rows = paginate(rows.filter(cond), sort_columns(sort), page, limit, show_all)
     return page_rows.select(
         "product_id",
@@ -270,14 +270,25 @@ def price_range_by_category(t: Tables) -> DataFrame:
     )
 
 
+# Scramble for the featured sample: a multiplicative permutation mod a prime.
+SAMPLE_PRIME = 1000003
+SAMPLE_MULTIPLIER = 7919
+
+
+def sample_key(c: Column, seed: int) -> Column:
+    """Pseudo-random, seed-dependent sort key in exact integer arithmetic."""
+    return (F.pmod(c, F.lit(SAMPLE_PRIME)) * SAMPLE_MULTIPLIER + F.lit(seed)) % F.lit(SAMPLE_PRIME)
+
+
 def featured_sample(t: Tables, n: int = 6, seed: int = 42) -> DataFrame:
-    """Q23: ``n`` pseudo-random active products, reproducible for a seed.
+    """Q23: ``n`` pseudo-random active products; a new seed per request gives a new sample.
 
-    Ordering by a hash of (id, seed) is a top-n (per-partition partial), not
-    a full shuffle sort; the same seed always gives the same sample.
+    Ordering by a scrambled key is a top-n (per-partition partial, then a
+    merge of n rows per partition), never a full sort; the same seed always
+    yields the same sample.
     """
     rows = _product_rows(t).filter("is_active")
-    return _product_out(rows.orderBy(F.xxhash64("product_id", F.lit(seed)), "product_id").limit(n))
+    return _product_out(rows.orderBy(sample_key(F.col("product_id"), seed), "product_id").limit(n))
 
 
 def category_list(t: Tables) -> DataFrame:
@@ -448,13 +459,13 @@ def stock_label(t: Tables) -> DataFrame:
     )
 
 
-def stock_bands(t: Tables) -> DataFrame:
+def stock_band(t: Tables) -> DataFrame:
     """Q31: admin stock band per product."""
     return with_available_stock(t.products.select("product_id", "stock"), t).select(
-        "product_id", F.col("available_stock").alias("total_stock"), stock_band(F.col("available_stock")).alias("band")
+        "product_id", F.col("available_stock").alias("total_stock"), band_of(F.col("available_stock")).alias("band")
     )
 
 
 def stock_band_counts(t: Tables) -> DataFrame:
     """Q31 (grouped): products per stock band."""
-    return stock_bands(t).groupBy("band").agg(F.count(F.lit(1)).cast("long").alias("products"))
+    return stock_band(t).groupBy("band").agg(F.count(F.lit(1)).cast("long").alias("products"))

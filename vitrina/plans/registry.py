@@ -82,7 +82,7 @@ for _name in (
     "product_ratings",
     "latest_reviews",
     "stock_label",
-    "stock_bands",
+    "stock_band",
     "stock_band_counts",
 ):
     table_fn(_name, getattr(catalog, _name))
