@@ -1,10 +1,10 @@
 """Data-quality audits: the shop's CHECK / NOT NULL / FOREIGN KEY / UNIQUE
 constraints turned into counting jobs, plus per-table row counts.
 
-Each audit is one pass per table: a CHECK audit is one aggregate with a
-conditional count per rule, a FK audit first reduces the child to its
-distinct key values (map-side partial count) and anti-joins those against the
-parent keys, a UNIQUE audit is a grouped count.
+Each audit reads every table it needs once: a CHECK audit is one aggregate
+with a conditional count per rule; the FK audit reduces all child keys to
+(rule, key) counts and anti-joins them against all parent keys in one
+shuffle; the UNIQUE audit is one grouped count over tagged key tuples.
 """
 
 from __future__ import annotations
@@ -96,24 +96,42 @@ def foreign_keys() -> list[tuple[str, str, str, str]]:
     ]
 
 
-def referential_audit(t: Tables) -> DataFrame:
-    """Q48: child rows whose non-NULL foreign key has no parent row."""
+def _tagged_keys(t: Tables, specs: list[tuple[str, str, str]]) -> DataFrame:
+    """(rule, k) rows for (table, column, rule) specs, one scan per table.
+
+    Each table is read once; its key columns are exploded into tagged rows.
+    """
+    by_table: dict[str, list[tuple[str, str]]] = {}
+    for table, column, rule in specs:
+        by_table.setdefault(table, []).append((column, rule))
     parts = []
-    for child, ccol, parent, pcol in foreign_keys():
-        keys = (
-            getattr(t, child)
-            .filter(F.col(ccol).isNotNull())
-            .groupBy(F.col(ccol).cast("long").alias("_k"))
-            .agg(F.count(F.lit(1)).alias("_n"))
-        )
-        parents = getattr(t, parent).select(F.col(pcol).cast("long").alias("_k"))
-        orphans = keys.join(parents, "_k", "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("violations"))
-        parts.append(
-            orphans.select(
-                F.lit(child).alias("table_name"), F.lit(f"{ccol} -> {parent}.{pcol}").alias("rule"), "violations"
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    for table, cols in by_table.items():
+        tagged = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).cast("long").alias("k")) for c, rule in cols])
+        parts.append(getattr(t, table).select(F.explode(tagged).alias("x")).select("x.rule", "x.k"))
+    return reduce(DataFrame.unionByName, parts).filter(F.col("k").isNotNull())
+
+
+def referential_audit(t: Tables) -> DataFrame:
+    """Q48: child rows whose non-NULL foreign key has no parent row.
+
+    Every child table and every parent table is scanned once: the child keys
+    of all rules are counted per (rule, key) with a map-side partial, anti-
+    joined in one shuffle against all parents' keys tagged with the same
+    rules, and summed per rule; rules without orphans report 0.
+    """
+    fks = foreign_keys()
+    rules = [(child, f"{ccol} -> {parent}.{pcol}") for child, ccol, parent, pcol in fks]
+    child_keys = (
+        _tagged_keys(t, [(child, ccol, rule) for (child, ccol, _, _), (_, rule) in zip(fks, rules)])
+        .groupBy("rule", "k")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    parent_keys = _tagged_keys(t, [(parent, pcol, rule) for (_, _, parent, pcol), (_, rule) in zip(fks, rules)])
+    orphans = child_keys.join(parent_keys, ["rule", "k"], "left_anti").groupBy("rule").agg(F.sum("_n").alias("_v"))
+    catalog = t.spark.createDataFrame(rules, "table_name string, rule string")
+    return catalog.join(orphans, "rule", "left").select(
+        "table_name", "rule", F.coalesce(F.col("_v"), F.lit(0)).cast("long").alias("violations")
+    )
 
 
 def unique_keys() -> list[tuple[str, list[str]]]:
@@ -130,22 +148,45 @@ def unique_keys() -> list[tuple[str, list[str]]]:
 
 
 def uniqueness_audit(t: Tables) -> DataFrame:
-    """Q49: number of key values held by more than one row (NULL keys excluded)."""
+    """Q49: number of key values held by more than one row (NULL keys excluded).
+
+    All unique keys are checked in one grouped count: each table is read
+    once, its key tuples tagged with the rule (as arrays of text) and
+    counted per (rule, key) with a map-side partial.
+    """
+    specs = unique_keys()
+    rules = [(table, "unique(" + ", ".join(cols) + ")") for table, cols in specs]
+    by_table: dict[str, list[tuple[list[str], str]]] = {}
+    for (table, cols), (_, rule) in zip(specs, rules):
+        by_table.setdefault(table, []).append((cols, rule))
     parts = []
-    for table, cols in unique_keys():
-        df = getattr(t, table)
-        not_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-        dups = (
-            df.filter(not_null)
-            .groupBy(*cols)
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > 1)
-            .agg(F.count(F.lit(1)).cast("long").alias("violations"))
+    for table, keys in by_table.items():
+        tagged = F.array(
+            *[
+                F.struct(
+                    F.lit(rule).alias("rule"),
+                    F.when(
+                        reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]),
+                        F.array(*[F.col(c).cast("string") for c in cols]),
+                    ).alias("key"),
+                )
+                for cols, rule in keys
+            ]
         )
-        parts.append(
-            dups.select(F.lit(table).alias("table_name"), F.lit("unique(" + ", ".join(cols) + ")").alias("rule"), "violations")
-        )
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(getattr(t, table).select(F.explode(tagged).alias("x")).select("x.rule", "x.key"))
+    dups = (
+        reduce(DataFrame.unionByName, parts)
+        .filter(F.col("key").isNotNull())
+        .groupBy("rule", "key")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > 1)
+        .groupBy("rule")
+        .agg(F.count(F.lit(1)).alias("_v"))
+    )
+    catalog = t.spark.createDataFrame(rules, "table_name string, rule string")
+    return catalog.join(dups, "rule", "left").select(
+        "table_name", "rule", F.coalesce(F.col("_v"), F.lit(0)).cast("long").alias("violations")
+    )
 
 
 def table_row_counts(t: Tables) -> DataFrame:
