@@ -117,8 +117,14 @@ def product_change_batch(t: Tables) -> DataFrame:
 
 
 def _latest_change(changes: DataFrame) -> DataFrame:
-    """Latest change per product by ``seq`` (ties: delete wins), as one aggregate."""
-    rank = F.struct(F.col("seq"), (F.col("op") == "delete").cast("int").alias("_del"))
+    """Latest change per product by ``seq`` (ties: delete wins, then a hash of
+    the change, so a recomputed task always picks the same row), as one
+    aggregate."""
+    rank = F.struct(
+        F.col("seq"),
+        (F.col("op") == "delete").cast("int").alias("_del"),
+        F.xxhash64("op", "price", "stock", "is_active").alias("_h"),
+    )
     return changes.groupBy("product_id").agg(
         F.max_by(F.struct("op", "price", "stock", "is_active"), rank).alias("c"), F.count(F.lit(1)).alias("changes")
     ).select("product_id", "c.op", "c.price", "c.stock", "c.is_active", "changes")
