@@ -70,8 +70,8 @@ def cart_contents(t: Tables) -> DataFrame:
         )
         .join(t.categories.select("category_id", "category_name"), "category_id", "left")
         .select(
-            "id", "customer_id", "quantity", "size", "color", "product_id", "product_name",
-            money("price").alias("price"), "image_url", "stock", "category_name",
+            "id", "customer_id", "quantity", "size", "color", F.col("product_id").cast("long").alias("product_id"),
+            "product_name", money("price").alias("price"), "image_url", "stock", "category_name",
             money(F.col("price") * F.col("quantity")).alias("item_total"),
         )
     )
