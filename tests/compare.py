@@ -1,7 +1,7 @@
 """Spark result vs DuckDB oracle, the way the driver compares them.
 
-Row count, column names, coarse column types, and an order-insensitive
-multiset of value tuples (columns sorted by name). Usable from pytest and
+Row count, column names, exact column types, and an order-insensitive
+multiset of exact value tuples (columns sorted by name). Usable from pytest and
 as a CLI: ``python -m tests.compare [sf_dir] [key ...]``.
 """
 
@@ -29,11 +29,10 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return None
-        return round(v, 6)
+        # exact: money is rounded to cents as DOUBLE in both engines
+        return None if math.isnan(v) else v
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 6)
+        return float(v)
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if isinstance(v, dict):
@@ -64,8 +63,21 @@ def _kind(type_name: str) -> str:
     return "str"
 
 
+# Spark simple type -> DuckDB type name, for the exact type check.
+EXACT = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+    "date": "DATE",
+}
+
+
 def compare(spark_df, con, sql: str) -> tuple[bool, str]:
     s_cols = spark_df.columns
+    s_exact = {f.name: EXACT.get(f.dataType.simpleString()) for f in spark_df.schema.fields}
     s_types = {f.name: _kind(f.dataType.simpleString()) for f in spark_df.schema.fields}
     s_rows = [tuple(_norm(x) for x in r) for r in spark_df.collect()]
     rel = con.sql(sql)
@@ -74,7 +86,9 @@ def compare(spark_df, con, sql: str) -> tuple[bool, str]:
     d_rows = [tuple(_norm(x) for x in r) for r in rel.fetchall()]
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark={s_cols} duck={d_cols}"
+    d_exact = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     bad_types = {c: (s_types[c], d_types[c]) for c in s_cols if s_types[c] != d_types[c]}
+    bad_types.update({c: (s_exact[c], d_exact[c]) for c in s_cols if s_exact[c] and s_exact[c] != d_exact[c]})
     if bad_types:
         return False, f"types differ: {bad_types}"
     if len(s_rows) != len(d_rows):
