@@ -136,11 +136,11 @@ def catalog_page(
 
 
 def catalog_count(t: Tables, **filters) -> DataFrame:
-    """Total of the Q18 filter (one row), without the stock sub-plan."""
+    """Q18 total: rows matching the catalog filter (one row), without the stock sub-plan."""
     rows = t.products.join(t.categories.select("category_id", "category_name"), "category_id", "left")
     keep = {k: filters[k] for k in ("categories", "min_price", "max_price") if k in filters}
     return _catalog_filter(rows, keep.get("categories"), keep.get("min_price", 0), keep.get("max_price")).agg(
-        F.count(F.lit(1)).alias("total")
+        F.count(F.lit(1)).cast("long").alias("total")
     )
 
 

@@ -79,7 +79,10 @@ def chart_series_monthly(t: Tables, months: int = CHART_MONTHS) -> DataFrame:
 def report_functions() -> dict[str, Callable[[Tables], DataFrame]]:
     return {
         "full": kpi_long,
-        "sales-by-category": reports.sales_by_category,
+        # the download re-sorts with a bare DESC: NULL revenue first (trap S3)
+        "sales-by-category": lambda t: reports.sales_by_category(t).orderBy(
+            F.col("revenue").desc_nulls_first(), "category_id"
+        ),
         "top-products": reports.top_products,
         "customer-orders": lambda t: reports.customer_lifetime_value(t).orderBy(
             F.col("lifetime_value").desc_nulls_first(), "customer_id"

@@ -68,6 +68,7 @@ for _name in (
 
 table_fn("available_stock", catalog.available_stock)
 table_fn("catalog_page", lambda t: catalog.catalog_page(t, sort="price-asc", page=2, limit=10))
+table_fn("catalog_total", catalog.catalog_count)
 table_fn("category_page", lambda t: catalog.category_page(t, "brand-13"))
 table_fn("search_products", lambda t: catalog.search_products(t, "Gear", show_all=True))
 table_fn("admin_product_list", lambda t: catalog.admin_product_list(t, stock="low-stock", sort="name", show_all=True))
