@@ -83,17 +83,23 @@ def _mod(c: Column, n: int) -> Column:
 
 
 def map_categories(part: DataFrame) -> DataFrame:
-    brand_id = F.substring("p_brand", 7, 1 << 20).cast("int")
-    found = part.select(
-        brand_id.alias("category_id"),
+    """Distinct brands plus one category without products (id 99).
+
+    The extra row is unioned *below* the aggregate, tagged so that it stays
+    a separate row (UNION ALL semantics): the whole frame is then one
+    shuffle stage whose measured size lets AQE broadcast it into every
+    product join, instead of shuffling products by a ~25-value key.
+    """
+    brands = part.select(
+        F.substring("p_brand", 7, 1 << 20).cast("int").alias("category_id"),
         F.col("p_brand").alias("category_name"),
         F.lower(F.regexp_replace("p_brand", "#", "-")).alias("slug"),
-    ).distinct()
-    # A category without products (never-sold / empty branch).
+        F.lit(0).alias("_src"),
+    )
     empty = part.sparkSession.createDataFrame(
-        [(99, "Brand#99", "brand-99")], "category_id int, category_name string, slug string"
+        [(99, "Brand#99", "brand-99", 1)], "category_id int, category_name string, slug string, _src int"
     )
-    return found.unionByName(empty)
+    return brands.unionByName(empty).distinct().drop("_src")
 
 
 def map_products(part: DataFrame) -> DataFrame:
