@@ -61,12 +61,18 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_snapshot(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+def write_snapshot(
+    df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None
+) -> DataFrame:
     """Write a job's output table (parquet) and return it read back.
 
     Reading the written table back cuts the lineage: downstream jobs start
     from files in shared storage, so a lost executor never recomputes the
-    job that produced them.
+    job that produced them. ``partition_by`` lays the table out by columns
+    (e.g. the order month) so later date filters prune whole directories.
     """
-    df.write.mode(mode).parquet(path)
+    writer = df.write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
     return df.sparkSession.read.parquet(path)
