@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .oracle_sql import m, q, register
+from . import oracle_reports  # noqa: F401  (export statements reuse report statements)
+from .oracle_sql import ORACLE, m, q, register
 
 SQL_NAME = {"orders": "shop_orders"}
 
@@ -324,3 +325,29 @@ register(
               FROM shop_orders WHERE status != 'Cancelado' GROUP BY 1 ORDER BY month DESC LIMIT 12) t"""
     ),
 )
+
+
+def _csv_field(expr: str, kind: str) -> str:
+    """One quoted CSV field: text of the value ('' for NULL), quotes doubled."""
+    text = f"CAST(CAST({expr} AS DECIMAL(38,2)) AS VARCHAR)" if kind == "double" else f"CAST({expr} AS VARCHAR)"
+    return f"'\"' || replace(COALESCE({text}, ''), '\"', '\"\"') || '\"'"
+
+
+def _csv_line(fields: list[tuple[str, str]]) -> str:
+    return " || ',' || ".join(_csv_field(e, k) for e, k in fields)
+
+
+def _body(key: str) -> str:
+    return ORACLE[key]
+
+
+register(
+    "export_csv",
+    "SELECT "
+    + _csv_line(
+        [("category_id", "int"), ("category_name", "str"), ("total_orders", "int"), ("units_sold", "int"), ("revenue", "double")]
+    )
+    + " AS line FROM (\n"
+    + _body("sales_by_category")
+    + "\n) r",
+)

@@ -133,6 +133,27 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     from . import oracle_catalog, oracle_jobs, oracle_people, oracle_reports  # noqa: F401  (register statements)
-    from .oracle_sql import ORACLE
+    from .oracle_sql import ORACLE, register
+
+    if "report_registry" not in ORACLE:
+        # row counts of the download reports, from their own oracle statements
+        from ..operators.export import REPORT_FILES
+
+        report_keys = {
+            "full": "kpi_long",
+            "sales-by-category": "sales_by_category",
+            "top-products": "top_products",
+            "customer-orders": "customer_lifetime_value",
+            "monthly-revenue": "monthly_revenue",
+            "low-stock": "low_stock_products",
+        }
+        register(
+            "report_registry",
+            "\nUNION ALL\n".join(
+                f"SELECT '{kind}' AS report_type, '{REPORT_FILES[kind]}' AS file_name, "
+                f"CAST(COUNT(*) AS BIGINT) AS rows FROM (\n{ORACLE[key]}\n) r{i}"
+                for i, (kind, key) in enumerate(report_keys.items())
+            ),
+        )
 
     return {k: v for k, v in ORACLE.items() if k in _TABLE_FNS}
