@@ -51,14 +51,31 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return text.select(F.to_csv(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in text.columns]), opts).alias("line"))
 
 
+JSON_OPTIONS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+
+
+def _json_ready(df: DataFrame) -> DataFrame:
+    """Doubles are money at this boundary: exact 2-decimal JSON numbers, never
+    scientific notation."""
+    return df.select(
+        *[
+            F.col(f.name).cast("decimal(38,2)").alias(f.name)
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+            else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines; NULL fields are kept (``ignoreNullFields=false``)."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """JSON lines; NULL fields are kept, money as 2-decimal numbers."""
+    _json_ready(df).write.mode(mode).options(**JSON_OPTIONS).json(path)
 
 
 def json_lines(df: DataFrame) -> DataFrame:
-    """One JSON object per row in a ``value`` column, NULL fields kept."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    """One JSON object per row in a ``value`` column, as ``write_json`` writes it."""
+    ready = _json_ready(df)
+    return ready.select(F.to_json(F.struct(*ready.columns), JSON_OPTIONS).alias("value"))
 
 
 def write_snapshot(
