@@ -329,13 +329,16 @@ def approved_reviews(t: Tables) -> DataFrame:
     )
 
 
-def chunked_lists(rows: DataFrame, key: str, row_id: str, item: Column, sort_key: Column, chunk: int, name: str) -> DataFrame:
+def chunked_lists(
+    rows: DataFrame, key: str, row_id: str, item: Column, sort_key: Column, chunk: int, name: str, descending: bool = False
+) -> DataFrame:
     """(key, part, name): each key's items as sorted arrays of at most about ``chunk``.
 
     The number of parts per key comes from a per-key count (map-side
     partial), each row goes to part ``hash(row_id) mod parts``, so a key
     holding a huge share of rows is spread over many tasks instead of one.
-    Within a part the array is sorted by ``sort_key``.
+    Within a part the array is sorted by ``sort_key`` (reversed when
+    ``descending``).
     """
     parts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(
         key, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk))).cast("long").alias("_parts")
@@ -346,6 +349,7 @@ def chunked_lists(rows: DataFrame, key: str, row_id: str, item: Column, sort_key
         .withColumn("part", F.pmod(F.xxhash64(row_id), F.col("_parts")))
         .groupBy(key, "part")
         .agg(F.array_sort(F.collect_list("_e")).alias("_l"))
+        .withColumn("_l", F.reverse("_l") if descending else F.col("_l"))
         .select(key, "part", F.transform("_l", lambda e: e["v"]).alias(name))
     )
 
@@ -354,7 +358,7 @@ def product_detail(t: Tables, chunk: int = DETAIL_CHUNK) -> DataFrame:
     """Q26: per active product a product struct, its active variants and approved reviews.
 
     Variants are ordered by (size, color) with NULLs last, reviews newest
-    first. Each product's lists are split over rows (``part``) of at most
+    first (ties: higher review id first). Each product's lists are split over rows (``part``) of at most
     about ``chunk`` entries, so no row or task ever holds an unbounded list;
     a product with fewer than ``chunk`` variants and reviews has exactly one
     row (part 0), as the shop's single JSON document.
@@ -381,8 +385,10 @@ def product_detail(t: Tables, chunk: int = DETAIL_CHUNK) -> DataFrame:
         t.product_variants.filter("is_active"), "product_id", "variant_id", variant, variant_order, chunk, "variants"
     )
     review = F.struct("review_id", "rating", "review_text", "is_verified_purchase", "created_at", "customer_name")
-    review_order = F.struct(-F.unix_micros(F.col("created_at").cast("timestamp")), "review_id")
-    reviews = chunked_lists(approved_reviews(t), "product_id", "review_id", review, review_order, chunk, "reviews")
+    review_order = F.struct("created_at", "review_id")  # reversed: newest first, time-zone free
+    reviews = chunked_lists(
+        approved_reviews(t), "product_id", "review_id", review, review_order, chunk, "reviews", descending=True
+    )
     lists = variants.join(reviews, ["product_id", "part"], "full")
     empty_v = F.array().cast(variants.schema["variants"].dataType)
     empty_r = F.array().cast(reviews.schema["reviews"].dataType)
@@ -469,3 +475,10 @@ def stock_band(t: Tables) -> DataFrame:
 def stock_band_counts(t: Tables) -> DataFrame:
     """Q31 (grouped): products per stock band."""
     return stock_band(t).groupBy("band").agg(F.count(F.lit(1)).cast("long").alias("products"))
+
+
+def product_detail_json(t: Tables) -> DataFrame:
+    """Q26 as the JSON documents the storefront serves, one line per detail row."""
+    from ..sinks import json_lines
+
+    return json_lines(product_detail(t))

@@ -358,7 +358,7 @@ register(
                             'total_orders': total_orders,
                             'lifetime_value': CAST(lifetime_value AS DECIMAL(38,2)),
                             'avg_order_value': CAST(avg_order_value AS DECIMAL(38,2)),
-                            'last_order_date': last_order_date}) AS VARCHAR) AS value
+                            'last_order_date': strftime(last_order_date, '%Y-%m-%d %H:%M:%S.%f')}) AS VARCHAR) AS value
        FROM (\n"""
     + q(
         f"""SELECT customer_id, email, full_name, total_orders, {m('ltv')} AS lifetime_value, avg_order_value,

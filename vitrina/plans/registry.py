@@ -79,6 +79,7 @@ for _name in (
     "category_list",
     "products_by_ids",
     "product_detail",
+    "product_detail_json",
     "product_facets",
     "product_ratings",
     "latest_reviews",

@@ -51,7 +51,7 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return text.select(F.to_csv(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in text.columns]), opts).alias("line"))
 
 
-JSON_OPTIONS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+JSON_OPTIONS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 
 
 def _json_ready(df: DataFrame) -> DataFrame:
