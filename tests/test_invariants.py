@@ -71,3 +71,12 @@ def test_chart_series_is_last_months_ascending(t):
 def test_latest_reviews_plan_limits_before_shuffle(t):
     plan = catalog.latest_reviews(t)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_shuffle_partition_suggestion(spark):
+    from vitrina.session import input_bytes, suggested_shuffle_partitions
+
+    size = input_bytes(spark, SF0001)
+    assert size > 0
+    assert suggested_shuffle_partitions(spark, SF0001, target_bytes=size // 4 + 1, minimum=1) == 4
+    assert suggested_shuffle_partitions(spark, SF0001, minimum=7) == 7

@@ -70,3 +70,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (any Hadoop file system)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+def suggested_shuffle_partitions(
+    spark: SparkSession, path: str, target_bytes: int = 256 << 20, minimum: int | None = None
+) -> int:
+    """Shuffle partitions so the largest shuffle (about the input size) lands
+    near ``target_bytes`` per partition; AQE coalesces what turns out smaller.
+
+    A suggestion only: the caller decides whether to set it.
+    """
+    floor = minimum if minimum is not None else spark.sparkContext.defaultParallelism
+    return max(floor, -(-input_bytes(spark, path) // target_bytes))
