@@ -30,7 +30,9 @@ def plan_text(df: DataFrame, executed: bool) -> str:
 
 
 def summarize(plan: str) -> dict[str, object]:
-    plan = plan.split("== Initial Plan ==")[0]  # a final adaptive plan prints both
+    # a final adaptive plan prints its final and initial plans; only the
+    # top-level marker (column 0) splits them: cached relations nest their own
+    plan = plan.split("\n+- == Initial Plan ==")[0]
     exchanges = len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", plan))
     joins = Counter({j: plan.count(j + " ") + plan.count(j + "(") for j in JOINS})
     return {
