@@ -57,20 +57,26 @@ def roll_up(parent: DataFrame, key: str, children: DataFrame) -> DataFrame:
 def sales_by_category(t: Tables) -> DataFrame:
     """Q01: per category distinct orders, units and revenue (cancelled excluded).
 
-    The items-orders join runs once, into an aggregate per (product, order)
-    that feeds both the category figures and the product survival flags
-    (the second use is a reused exchange). Whether a product has items at
-    all comes from a join-free count over order_items.
+    Order items are read once: the items-orders join feeds one aggregate per
+    (product, order) carrying whether the order is kept (a property of the
+    order, so a group is all kept or all not). That aggregate is used twice
+    (a reused exchange): kept groups give the category figures, all groups
+    give each product's survival (no items, or some kept item).
     """
+    kept = kept_after_outer_join()
     per_po = (
         _item_rows(t)
-        .filter(kept_after_outer_join())
         .groupBy("product_id", "matched_order_id")
-        .agg(F.sum("quantity").alias("units"), F.sum(F.col("quantity") * F.col("unit_price")).alias("revenue"))
+        .agg(
+            F.max(kept.cast("int")).alias("_kept"),
+            F.sum("quantity").alias("units"),
+            F.sum(F.col("quantity") * F.col("unit_price")).alias("revenue"),
+        )
     )
     products = t.products.select("product_id", "category_id")
     stats = (
-        per_po.join(products, "product_id")
+        per_po.filter(F.col("_kept") == 1)
+        .join(products, "product_id")
         .groupBy("category_id")
         .agg(
             F.countDistinct("matched_order_id").alias("total_orders"),
@@ -78,12 +84,9 @@ def sales_by_category(t: Tables) -> DataFrame:
             F.sum("revenue").alias("revenue"),
         )
     )
-    has_items = t.order_items.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n_items"))
-    has_kept = per_po.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n_kept"))
-    product_flags = (
-        products.join(has_items, "product_id", "left")
-        .join(has_kept, "product_id", "left")
-        .select("category_id", (F.col("_n_items").isNull() | F.col("_n_kept").isNotNull()).alias("survives"))
+    product_kept = per_po.groupBy("product_id").agg(F.max("_kept").alias("_any_kept"))
+    product_flags = products.join(product_kept, "product_id", "left").select(
+        "category_id", (F.col("_any_kept").isNull() | (F.col("_any_kept") == 1)).alias("survives")
     )
     cats = roll_up(t.categories.select("category_id", "category_name"), "category_id", product_flags)
     out = cats.filter("survives").join(stats, "category_id", "left")
