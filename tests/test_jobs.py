@@ -95,3 +95,15 @@ def test_link_identities_branches(spark):
     )
     out = {r.provider_id: (r.action, r.customer_id) for r in ingest.link_identities(t, logins).collect()}
     assert out == {"g7": ("login", 7), "gX": ("link", 7), "f9": ("login", 9), "fZ": ("create", None)}
+
+
+def test_snapshots_after_set_quantity_and_retention(spark):
+    t = _shop(spark)
+    req = spark.createDataFrame(
+        [(1, "customer", "7", 4), (1, "customer", "7", 6), (2, "customer", "7", 3), (4, "session", "s5", 2)],
+        "id long, owner_type string, owner_id string, quantity int",
+    )
+    after = {r.id: r.quantity for r in carts.cart_set_quantity_snapshot(t, req).collect()}
+    assert after == {1: 6, 2: 1, 3: 1, 4: 2, 5: 1, 6: 1}  # line 2 rejected (stock 0) keeps its quantity
+    kept = {r.id for r in carts.retention_snapshot(t, as_of="2024-02-15 00:00:00").collect()}
+    assert kept == {1, 2, 3, 5, 6}

@@ -264,6 +264,22 @@ def cart_set_quantity(t: Tables, requests: DataFrame | None = None) -> DataFrame
     )
 
 
+def cart_set_quantity_snapshot(t: Tables, requests: DataFrame | None = None, now: str | None = None) -> DataFrame:
+    """Cart after ``cart_set_quantity``: accepted updates replace the line's quantity.
+
+    Several accepted requests for one line resolve to the largest requested
+    quantity's result (one aggregate per line id, deterministic).
+    """
+    res = cart_set_quantity(t, requests).filter(F.col("action") == ACTION_UPDATE)
+    per_line = res.groupBy("id").agg(F.max_by("new_quantity", F.struct("requested", "new_quantity")).alias("_newq"))
+    out = t.cart_items.join(per_line, "id", "left").withColumn("quantity", F.coalesce(F.col("_newq"), F.col("quantity")))
+    if now:
+        out = out.withColumn(
+            "updated_at", F.when(F.col("_newq").isNotNull(), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("updated_at"))
+        )
+    return out.drop("_newq")
+
+
 def removal_requests(t: Tables) -> DataFrame:
     """Removal requests derived from the carts: owners drop their lines on
     inactive products; guest lines are asked for by the user's customer account."""
@@ -310,6 +326,11 @@ def retention_cleanup(t: Tables, as_of: str = AS_OF_CARTS, days: int = RETENTION
     return t.cart_items.withColumn("expired", F.coalesce(_expired(as_of, days), F.lit(False)))
 
 
+def retention_snapshot(t: Tables, as_of: str = AS_OF_CARTS, days: int = RETENTION_DAYS) -> DataFrame:
+    """Q43 write path: the cart lines that survive the cleanup."""
+    return retention_cleanup(t, as_of, days).filter(~F.col("expired")).drop("expired")
+
+
 def retention_counts(t: Tables, as_of: str = AS_OF_CARTS, days: int = RETENTION_DAYS) -> DataFrame:
     """Q43 (counts): lines kept and expired."""
     return (
