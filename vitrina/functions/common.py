@@ -44,11 +44,6 @@ def avg_cents(total_cents: Column, n: Column) -> Column:
     return F.when(n > 0, q.cast("double") / F.lit(100.0))
 
 
-def avg_money(c: str | Column) -> tuple[Column, Column]:
-    """Aggregate pair (Σ cents, count of non-null) for ``avg_cents``."""
-    return F.sum(cents(c)), F.count(col(c))
-
-
 def count_long(c: str | Column | None = None) -> Column:
     return F.count(F.lit(1) if c is None else col(c)).cast("long")
 
