@@ -80,3 +80,11 @@ def test_shuffle_partition_suggestion(spark):
     assert size > 0
     assert suggested_shuffle_partitions(spark, SF0001, target_bytes=size // 4 + 1, minimum=1) == 4
     assert suggested_shuffle_partitions(spark, SF0001, minimum=7) == 7
+
+
+def test_scan_pruning_and_pushdown(t):
+    plan = reports.payment_status_summary(t)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "lineitem" in line)
+    assert "PushedFilters: [IsNotNull(l_linenumber), EqualTo(l_linenumber,1)]" in scan
+    read = scan.split("ReadSchema: struct<")[1].split(">")[0]
+    assert sorted(c.split(":")[0] for c in read.split(",")) == ["l_extendedprice", "l_linenumber", "l_returnflag"]
