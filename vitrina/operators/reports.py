@@ -57,39 +57,36 @@ def roll_up(parent: DataFrame, key: str, children: DataFrame) -> DataFrame:
 def sales_by_category(t: Tables) -> DataFrame:
     """Q01: per category distinct orders, units and revenue (cancelled excluded).
 
-    Order items are read once: the items-orders join feeds one aggregate per
-    (product, order) carrying whether the order is kept (a property of the
-    order, so a group is all kept or all not). That aggregate is used twice
-    (a reused exchange): kept groups give the category figures, all groups
-    give each product's survival (no items, or some kept item).
+    Order items are read once: item rows (joined to their order's status and
+    their product's category) go through one aggregate per category that
+    counts the distinct kept orders, sums the kept units and revenue, and
+    notes whether any row is kept and how many distinct products have items.
+    A category survives the outer-join filter (trap S1) when it has no
+    product, a product without items, or a kept item; the per-category
+    product count comes from a join-free count over products.
     """
     kept = kept_after_outer_join()
-    per_po = (
-        _item_rows(t)
-        .groupBy("product_id", "matched_order_id")
-        .agg(
-            F.max(kept.cast("int")).alias("_kept"),
-            F.sum("quantity").alias("units"),
-            F.sum(F.col("quantity") * F.col("unit_price")).alias("revenue"),
-        )
-    )
     products = t.products.select("product_id", "category_id")
-    stats = (
-        per_po.filter(F.col("_kept") == 1)
-        .join(products, "product_id")
-        .groupBy("category_id")
-        .agg(
-            F.countDistinct("matched_order_id").alias("total_orders"),
-            F.sum("units").alias("units_sold"),
-            F.sum("revenue").alias("revenue"),
-        )
+    rows = _item_rows(t).join(products, "product_id")
+    stats = rows.groupBy("category_id").agg(
+        F.countDistinct(F.when(kept, F.col("matched_order_id"))).alias("total_orders"),
+        F.sum(F.when(kept, F.col("quantity"))).alias("units_sold"),
+        F.sum(F.when(kept, F.col("quantity") * F.col("unit_price"))).alias("revenue"),
+        F.max(kept.cast("int")).alias("_any_kept"),
+        F.countDistinct("product_id").alias("_sold_products"),
+    )
+    n_products = products.groupBy("category_id").agg(F.countDistinct("product_id").alias("_products"))
+    survives = (
+        F.col("_products").isNull()
+        | (F.col("_products") > F.coalesce(F.col("_sold_products"), F.lit(0)))
+        | (F.col("_any_kept") == 1)
     )
-    product_kept = per_po.groupBy("product_id").agg(F.max("_kept").alias("_any_kept"))
-    product_flags = products.join(product_kept, "product_id", "left").select(
-        "category_id", (F.col("_any_kept").isNull() | (F.col("_any_kept") == 1)).alias("survives")
+    out = (
+        t.categories.select("category_id", "category_name")
+        .join(n_products, "category_id", "left")
+        .join(stats, "category_id", "left")
+        .filter(survives)
     )
-    cats = roll_up(t.categories.select("category_id", "category_name"), "category_id", product_flags)
-    out = cats.filter("survives").join(stats, "category_id", "left")
     return out.select(
         "category_id",
         "category_name",
