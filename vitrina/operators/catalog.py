@@ -330,7 +330,15 @@ def approved_reviews(t: Tables) -> DataFrame:
 
 
 def chunked_lists(
-    rows: DataFrame, key: str, row_id: str, item: Column, sort_key: Column, chunk: int, name: str, descending: bool = False
+    rows: DataFrame,
+    key: str,
+    row_id: str,
+    item: Column,
+    sort_key: Column,
+    chunk: int,
+    name: str,
+    descending: bool = False,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """(key, part, name): each key's items as sorted arrays of at most about ``chunk``.
 
@@ -338,9 +346,11 @@ def chunked_lists(
     partial), each row goes to part ``hash(row_id) mod parts``, so a key
     holding a huge share of rows is spread over many tasks instead of one.
     Within a part the array is sorted by ``sort_key`` (reversed when
-    ``descending``).
+    ``descending``). ``sizing`` (default ``rows``) is the frame counted to
+    choose the number of parts; any superset of ``rows`` per key works, so a
+    cheaper frame before a filtering join can be given.
     """
-    parts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(
+    parts = (rows if sizing is None else sizing).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(
         key, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk))).cast("long").alias("_parts")
     )
     keyed = rows.select(key, row_id, F.struct(sort_key.alias("k"), item.alias("v")).alias("_e"))
@@ -386,8 +396,11 @@ def product_detail(t: Tables, chunk: int = DETAIL_CHUNK) -> DataFrame:
     )
     review = F.struct("review_id", "rating", "review_text", "is_verified_purchase", "created_at", "customer_name")
     review_order = F.struct("created_at", "review_id")  # reversed: newest first, time-zone free
+    # parts are sized from approved reviews before the customer join (a superset)
+    sizing = t.product_reviews.filter(F.col("is_approved") & F.col("customer_id").isNotNull()).select("product_id")
     reviews = chunked_lists(
-        approved_reviews(t), "product_id", "review_id", review, review_order, chunk, "reviews", descending=True
+        approved_reviews(t), "product_id", "review_id", review, review_order, chunk, "reviews",
+        descending=True, sizing=sizing,
     )
     lists = variants.join(reviews, ["product_id", "part"], "full")
     empty_v = F.array().cast(variants.schema["variants"].dataType)
