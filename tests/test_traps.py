@@ -371,3 +371,18 @@ def test_product_detail_splits_long_lists(spark):
     for r in rows:  # newest first inside each part
         stamps = [x.created_at for x in r.reviews]
         assert stamps == sorted(stamps, reverse=True)
+
+
+# Mixed currencies are added as the shop does; per-currency split and USD view
+def test_s2_mixed_currency(spark):
+    t = make_tables(
+        spark,
+        orders=[order(1, total="100.00", currency="GTQ"), order(2, total="10.00", currency="USD"),
+                order(3, "Cancelado", total="7.00", currency="USD")],
+    )
+    per = {r.currency_code: (r.total_orders, r.revenue) for r in reports.sales_by_currency(t).collect()}
+    assert per == {"GTQ": (1, 100.0), "USD": (1, 10.0)}
+    assert reports.kpis(t).collect()[0].total_revenue == 110.0  # added without conversion
+    usd = {r.order_id: r.amount_usd for r in pricing.convert_currency(t).collect()}
+    assert usd == {1: 12.8, 2: 10.0, 3: 7.0}
+    assert {r.currency_code: r.total for r in reports.orders_by_currency_all(t).collect()} == {"GTQ": 1, "USD": 2}
