@@ -342,7 +342,9 @@ def shipping_zone_revenue(t: Tables) -> DataFrame:
 
     Survival through zone -> city -> address -> order (trap S1) is rolled up
     level by level; the heavy part is one aggregation of orders by address
-    and one inner join of kept orders to addresses.
+    and one inner join of kept orders to addresses. (One aggregate per city
+    summed per zone would read orders once, but is exact only if order ids
+    are unique; the distinct count per zone here does not assume it.)
     """
     kept = kept_after_outer_join()
     orders = t.orders.filter(F.col("shipping_address_id").isNotNull()).select(
