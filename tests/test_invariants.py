@@ -88,3 +88,13 @@ def test_scan_pruning_and_pushdown(t):
     assert "PushedFilters: [IsNotNull(l_linenumber), EqualTo(l_linenumber,1)]" in scan
     read = scan.split("ReadSchema: struct<")[1].split(">")[0]
     assert sorted(c.split(":")[0] for c in read.split(",")) == ["l_extendedprice", "l_linenumber", "l_returnflag"]
+
+
+def test_lifetime_value_agrees_with_profile_stats(t):
+    from vitrina.operators import customers
+
+    clv = {r.customer_id: (r.total_orders, r.lifetime_value or 0.0) for r in reports.customer_lifetime_value(t).collect()}
+    stats = {r.customer_id: (r.total_orders, r.total_spent) for r in customers.customer_order_stats(t).collect()}
+    assert clv and all(stats[c] == v for c, v in clv.items())
+    # customers missing from the lifetime-value report are exactly those with only cancelled orders
+    assert all(stats[c][0] == 0 for c in set(stats) - set(clv))
