@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, mixing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": mixing.op1_mix,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op8_bpe": bpe.op8_bpe,
 }
 
 #: Queries that SQL cannot express are tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_mix": mixing.ORACLE_SQL,
+    "op7_url_filter": url_filter.ORACLE_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
