@@ -138,3 +138,18 @@ def field(df: DataFrame, name: str) -> T.StructField:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fold(id_col: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; -1 for a null id."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds, F.lit(-1))
+
+
+def sampled_ids(ids: DataFrame, limit: int, seed: int) -> DataFrame:
+    """At most ``limit`` rows of ``ids`` (column ``doc_id``), the first by a seeded hash."""
+    return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(limit)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text, and what ``ids`` holds) of the sampled documents. ``ids`` has a stated bound, so it is broadcast."""
+    return docs.join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).drop("_id", "doc_id")

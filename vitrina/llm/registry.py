@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, url_filter
+from . import bpe, mixing, quality, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_bpe": bpe.op8_bpe,
+    "op10_quality": quality.op10_quality,
 }
 
 #: Queries that SQL cannot express are tested against brute force in tests/llm.
