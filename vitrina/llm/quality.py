@@ -10,7 +10,8 @@ classifier minimises the non-negative unbiased risk
     prior * L(P, +) + max(0, L(U, -) - prior * L(P, -))
 
 with logistic loss; where the second part turns negative, its gradient is
-followed upwards instead. The model is linear in quantile bins of text
+followed upwards instead. Scores are the logits put on the scale of the positives'
+share, which the prior and the two sets' densities give. The model is linear in quantile bins of text
 statistics (byte classes, word lengths, repetition), which need one pass over
 the text and no vocabulary.
 
@@ -41,6 +42,7 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 BINS = 10
+STEPS, DECAY = 300, 1e-4
 
 #: Byte classes whose shares are statistics.
 _CLASS = np.full(256, 0)
@@ -88,38 +90,57 @@ def statistics(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Bin edges (features x bins - 1), weights (features x bins) and the prior."""
+    """Bin edges (features x bins - 1), weights (features x bins), the prior, and the curve from logit to score."""
 
     edges: np.ndarray
     weights: np.ndarray
     bias: float
     prior: float
+    at: np.ndarray
+    share: np.ndarray
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return _binned_sum(x, self.edges, self.weights) + self.bias
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        z = self.weights[np.arange(len(self.edges)), _bins(x, self.edges)].sum(1) + self.bias
+        return 0.999 * np.interp(z, self.at, self.share) + 0.001 * _sigmoid(z)
+
+
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Upper ends of a statistic's bins: quantiles, with a bin of its own for 0 where that is common."""
+    above = x[x > 0]
+    if len(above) > 0.9 * len(x) or not len(above):
+        return np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1])
+    return np.concatenate([[0.0], np.quantile(above, np.linspace(0, 1, BINS)[1:-1])])
 
 
 def _bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    return np.stack([np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(edges)], 1)
+    return np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(edges)], 1)
 
 
-def _binned_sum(x: np.ndarray, edges: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return weights[np.arange(len(edges)), _bins(x, edges)].sum(1)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _one_hot(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    bins = _bins(x, edges)
-    out = np.zeros((len(x), len(edges) * BINS + 1), np.float32)
-    out[np.arange(len(x))[:, None], bins + np.arange(len(edges)) * BINS] = 1
-    out[:, -1] = 1
-    return out
+class _Cells:
+    """Rows as the cells (feature, bin) they fall in, and one cell for the bias."""
 
+    def __init__(self, x: np.ndarray, edges: np.ndarray):
+        cells = _bins(x, edges) + np.arange(len(edges)) * BINS
+        self.cells = np.concatenate([cells, np.full((len(x), 1), len(edges) * BINS)], 1).astype(np.int32)
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def __getitem__(self, rows: slice) -> _Cells:
+        out = object.__new__(_Cells)
+        out.cells = self.cells[rows]
+        return out
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return w[self.cells].sum(1)
 
+    def mean(self, values: np.ndarray, size: int) -> np.ndarray:
+        """Mean over rows of value x cell indicators."""
+        return np.bincount(self.cells.ravel(), np.repeat(values, self.cells.shape[1]), size) / max(1, len(values))
 
-def _descend(gradient, size: int, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+
+def _descend(gradient, size: int, steps: int = STEPS, rate: float = 0.05, decay: float = DECAY) -> np.ndarray:
     """Adam from zero."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for t in range(1, steps + 1):
@@ -129,40 +150,60 @@ def _descend(gradient, size: int, steps: int = 300, rate: float = 0.05, decay: f
     return w
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives in u: the least ratio of the two sets' shares above a score."""
-
-    def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _descend(lambda w: a.T @ (_sigmoid(a @ w) - 1) / len(a) + b.T @ _sigmoid(b @ w) / len(b), a.shape[1])
+def estimate_prior(p: _Cells, u: _Cells, size: int) -> float:
+    """Share of positives in u: the least ratio of the two sets' shares above a score.
 
+    Each half is scored by a classifier (positive against unlabelled) of the other.
+    """
     ratios = []
     for own, other in ((0, 1), (1, 0)):
-        w = fit(p[own::2], u[own::2])
-        of_p, of_u = np.sort(p[other::2] @ w), np.sort(u[other::2] @ w)
+        a, b = p[own::2], u[own::2]
+        w = _descend(lambda w: a.mean(_sigmoid(a.dot(w)) - 1, size) + b.mean(_sigmoid(b.dot(w)), size), size)  # noqa: B023
+        of_p, of_u = np.sort(p[other::2].dot(w)), np.sort(u[other::2].dot(w))
         at = np.quantile(of_p, np.linspace(0, 0.5, 51))
-        share = lambda s: 1 - np.searchsorted(s, at, side="left") / max(1, len(s))
+        share = lambda s: 1 - np.searchsorted(s, at, side="left") / max(1, len(s))  # noqa: B023, E731
         ratios.append(np.min(share(of_u) / np.maximum(share(of_p), 1e-9)))
     return float(np.clip(np.mean(ratios), 0.05, 0.98))
 
 
+def _calibrated(zp: np.ndarray, zu: np.ndarray, prior: float, cells: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Share of positives among unlabelled texts by logit: prior times the ratio of densities, made monotone.
+
+    Cells hold equal numbers of unlabelled texts; adjacent cells that fall are pooled.
+    """
+    cuts = np.unique(np.quantile(zu, np.linspace(0, 1, cells + 1)[1:-1]))
+    count = lambda z: np.bincount(np.searchsorted(cuts, z, side="right"), minlength=len(cuts) + 1)
+    positive, all_ = prior * count(zp) / len(zp), count(zu) / len(zu)
+    pools: list[list[float]] = []
+    for k in range(len(cuts) + 1):
+        pools.append([positive[k], max(all_[k], 1e-9), 1])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last)]
+    share = np.repeat([min(1.0, x / y) for x, y, _ in pools], [int(n) for _, _, n in pools])
+    ends = np.concatenate([[min(zu.min(), zp.min())], cuts, [max(zu.max(), zp.max())]])
+    return (ends[:-1] + ends[1:]) / 2, share
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    both = np.concatenate([positive, unlabelled])
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros((N_FEATURES, BINS - 1)), np.zeros((N_FEATURES, BINS)), 0.0, 0.5)
-    edges = np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    p, u = _one_hot(positive, edges), _one_hot(unlabelled, edges)
-    prior = estimate_prior(p, u)
+    if len(positive) < 2 or len(unlabelled) < 2:
+        half = np.array([0.5])
+        return Model(np.zeros((N_FEATURES, BINS - 1)), np.zeros((N_FEATURES, BINS)), 0.0, 0.5, np.zeros(1), half)
+    edges = np.stack([_edges(x) for x in np.concatenate([positive, unlabelled]).T])
+    size = N_FEATURES * BINS + 1
+    p, u = _Cells(positive, edges), _Cells(unlabelled, edges)
+    prior = estimate_prior(p, u, size)
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        zp, zu = np.clip(p @ w, -30, 30), np.clip(u @ w, -30, 30)
+        zp, zu = np.clip(p.dot(w), -30, 30), np.clip(u.dot(w), -30, 30)
         negative = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
-        of_negative = u.T @ _sigmoid(zu) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
+        of_negative = u.mean(_sigmoid(zu), size) - prior * p.mean(_sigmoid(zp), size)
         if negative < 0:
             return -of_negative
-        return prior * (p.T @ (_sigmoid(zp) - 1)) / len(p) + of_negative
+        return prior * p.mean(_sigmoid(zp) - 1, size) + of_negative
 
-    w = _descend(gradient, p.shape[1])
-    return Model(edges, w[:-1].reshape(N_FEATURES, BINS), float(w[-1]), prior)
+    w = _descend(gradient, size)
+    return Model(edges, w[:-1].reshape(N_FEATURES, BINS), float(w[-1]), prior, *_calibrated(p.dot(w), u.dot(w), prior))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -188,7 +229,7 @@ def scorer(model: Model):
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         x = np.array([statistics(t) for t in texts], np.float32).reshape(-1, N_FEATURES)
-        return pd.Series(_sigmoid(model.logits(x)).astype(float))
+        return pd.Series(model.scores(x).astype(float))
 
     return scored
 

@@ -1,10 +1,11 @@
 """Toxic passages by maximum-scoring segment search.
 
 A word's weight is its log-odds of standing in a toxic rather than a clean
-document, shrunk by a Dirichlet prior proportional to the word's share of all
-training words, and counted only if it is significant (``MIN_Z`` standard
-deviations). Words that have no weight of their own take that of their first
-``STEM`` characters. Every other word costs ``DRIFT``. The Ruzzo-Tompa scan finds
+document (counted once a document), shrunk by a Dirichlet prior proportional to
+the word's share of all training words, and used only if it is significant
+(``MIN_Z`` standard deviations). Words that have no weight of their own take that
+of their first ``STEMS`` characters. A word counts 0 if the weighted word before
+it is the same. Every other word costs ``DRIFT``. The Ruzzo-Tompa scan finds
 all maximal-scoring segments of a text in linear time. For clean text the best
 score of n words follows an extreme-value law with E = K n exp(-lambda s);
 lambda solves the moment equation for clean words and K is fitted to clean
@@ -40,12 +41,11 @@ from .common import fold, read_table, sampled_ids, texts_of, words
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 MAX_TOXIC, MAX_CLEAN = 6_000, 12_000
-PRIOR_WORDS = 1_000.0
-MIN_Z = 3.0
+MIN_Z = 3.5
 MIN_COUNT = 3
 DRIFT = 0.5
 MAX_E = 0.5
-STEM = 6
+STEMS = (7, 5)
 _EDGES = bytes(b for b in range(33, 128) if not chr(b).isalnum())
 
 
@@ -54,10 +54,10 @@ def token(word: bytes) -> bytes:
     return word.strip(_EDGES)
 
 
-def stem(tok: bytes) -> bytes | None:
-    """The key of a word's first characters; short words have none."""
+def stems(tok: bytes) -> list[bytes]:
+    """Keys of a word's first characters, longest first; words of no more characters have none."""
     text = tok.decode("utf-8", "ignore")
-    return b"\0" + text[:STEM].encode() if len(text) > STEM else None
+    return [b"\0" + text[:n].encode() for n in STEMS if len(text) > n]
 
 
 @dataclass
@@ -74,18 +74,18 @@ class Model:
         tok = token(word)
         if (found := self.weights.get(tok)) is not None:
             return found
-        key = stem(tok)
-        return self.weights.get(key, 0.0) if key else 0.0
+        return next((x for s in stems(tok) if (x := self.weights.get(s)) is not None), 0.0)
 
     def passages(self, ws: list[bytes], known: dict[bytes, float]) -> list[tuple[int, int, float, float]]:
         """(first word, end, score, -ln E) of every maximal segment with E below MAX_E."""
-        hits = []
+        hits, previous = [], None
         for at, w in enumerate(ws):
             x = known.get(w)
             if x is None:
                 known[w] = x = self.weight(w)
             if x:
-                hits.append((at, x))
+                hits.append((at, x if w != previous else 0.0))  # a word said over and over counts once
+                previous = w
         if not hits:
             return []
         room = self.ln_k + math.log(len(ws))
@@ -129,9 +129,10 @@ def log_odds(counts: pd.DataFrame, n_toxic: float, n_clean: float) -> dict[bytes
     if not len(counts) or not n_toxic or not n_clean:
         return {}
     t, c = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
-    prior = PRIOR_WORDS * (t + c) / (n_toxic + n_clean)
+    size = min(n_toxic, n_clean)  # of the prior, in words
+    prior = size * (t + c) / (n_toxic + n_clean)
     a, b = t + prior, c + prior
-    delta = np.log(a / (n_toxic + PRIOR_WORDS - a)) - np.log(b / (n_clean + PRIOR_WORDS - b))
+    delta = np.log(a / (n_toxic + size - a)) - np.log(b / (n_clean + size - b))
     z = delta / np.sqrt(1 / a + 1 / b)
     keep = (np.abs(z) >= MIN_Z) & (delta - DRIFT > 0)
     return dict(zip(counts["token"][keep], (delta[keep] - DRIFT).tolist()))
@@ -180,9 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
             for value, texts in part.groupby("toxic")["text"]:
                 of = Counter()
                 for text in texts:
-                    tokens = [token(w) for w in words(text)]
-                    of.update(tokens)
-                    of.update(s for t in tokens if (s := stem(t)))
+                    tokens = {token(w) for w in words(text)}
+                    of.update(tokens | {s for t in tokens for s in stems(t)})
                 yield pd.DataFrame({"token": list(of), "toxic": value, "n": list(of.values())})
 
     counts = (
