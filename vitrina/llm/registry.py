@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, toxicity, url_filter
+from . import bpe, fingerprint, mixing, quality, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
+    "op2_fingerprint": fingerprint.op2_fingerprint,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_bpe": bpe.op8_bpe,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Queries that SQL cannot express are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
     "op1_mix": mixing.ORACLE_SQL,
+    "op2_fingerprint": fingerprint.ORACLE_SQL,
     "op7_url_filter": url_filter.ORACLE_SQL,
 }
 
