@@ -46,26 +46,34 @@ def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with ``value`` evaluated once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running_totals(lengths: Column, block: int = 256) -> Column:
-    """Exclusive running sums of an int array as array<bigint>, in O(n * block).
+    """Exclusive running sums of an array<bigint>, in O(n * block).
 
     Sums of blocks are accumulated first, so an array of n values costs
     (n / block)^2 + n * block steps rather than n^2.
     """
-    n_blocks = F.ceil(F.size(lengths) / F.lit(block)).cast("int")
     none = F.array().cast("array<bigint>")
+    zero = F.lit(0).cast("bigint")
 
     def of(values: Column, start: Column) -> Column:
-        zero = F.struct(start.cast("bigint").alias("at"), none.alias("out"))
+        first = F.struct(start.alias("at"), none.alias("out"))
         step = lambda acc, x: F.struct((acc.at + x).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out"))
-        return F.aggregate(values, zero, step, lambda acc: acc.out)
-
-    blocks = F.when(
-        n_blocks > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
-    ).otherwise(F.array().cast("array<array<int>>"))
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    starts = of(F.transform(blocks, total), F.lit(0))
-    return F.flatten(F.zip_with(blocks, starts, of))
+        return F.aggregate(values, first, step, lambda acc: acc.out)
+
+    def cut(xs: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))
+        return F.transform(places, lambda b: F.slice(xs, b * block + 1, F.lit(block)))
+
+    def joined(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda xs: F.aggregate(xs, zero, lambda a, x: a + x))
+        return F.flatten(F.zip_with(blocks, of(sums, zero), of))
+
+    return bind(lengths, lambda xs: F.when(F.size(xs) > 0, bind(cut(xs), joined)).otherwise(none))
 
 
 def components(edges: DataFrame) -> DataFrame:

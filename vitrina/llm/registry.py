@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, quality, toxicity, url_filter
+from . import bpe, fingerprint, mixing, quality, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
     "op2_fingerprint": fingerprint.op2_fingerprint,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_secrets": secrets.op6_secrets,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_bpe": bpe.op8_bpe,
     "op10_quality": quality.op10_quality,
