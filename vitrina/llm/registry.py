@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, quality, secrets, toxicity, url_filter
+from . import ann, bpe, fingerprint, mixing, quality, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": secrets.op6_secrets,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_bpe": bpe.op8_bpe,
+    "op9_nearest": ann.op9_nearest,
     "op10_quality": quality.op10_quality,
 }
 
