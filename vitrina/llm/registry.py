@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprint, jaccard_join, mixing, quality, secrets, toxicity, url_filter
+from . import ann, bpe, fingerprint, jaccard_join, lm_score, mixing, quality, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
     "op2_fingerprint": fingerprint.op2_fingerprint,
     "op3_jaccard": jaccard_join.op3_jaccard,
+    "op4_lm": lm_score.op4_lm,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_secrets": secrets.op6_secrets,
     "op7_url_filter": url_filter.op7_url_filter,
