@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -126,8 +126,8 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, decoded) of every row.
+def encode(docs: DataFrame, vocabulary: str | None = None, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """(the columns of ``keep``, ids, decoded) of every row.
 
     ids: binary, little-endian unsigned 32-bit integers; decoded: the text that
     the ids stand for. ``vocabulary``: path of a byte-level BPE file, read by
@@ -135,20 +135,20 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     """
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    fields = [T.StructField(id_col, field(docs, id_col).dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    fields = [*(field(docs, c) for c in keep), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    names = [f.name for f in fields]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(sent.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids = [codec.encode(x.as_py() or "") for x in part.column(1)]
+                ids = [codec.encode(x.as_py() or "") for x in part.column(len(keep))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.string())],
-                    names=[id_col, "ids", "decoded"],
+                    [*part.columns[: len(keep)], pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.string())], names=names
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(task, T.StructType(fields))
+    return docs.select(*keep, text_col).mapInArrow(task, T.StructType(fields))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -302,10 +303,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (of rows equal in id and text, one)."""
-    kept = join(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.withColumn("_text", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "_text"]).drop("_text")
+    """``docs`` with one row of each component: that of the smallest id (of rows equal in id and text, one).
+
+    The texts are shuffled once, by id, for both the join and the choice among repeated rows.
+    """
+    by_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
+    kept = join(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(by_id("doc_id")).distinct()
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
+    rows = docs.select(row, by_id(id_col), F.xxhash64(F.col(text_col)).alias("_text")).join(kept, "_id", "left_semi")
+    one = W.partitionBy("_id", "_text").orderBy("_text")
+    rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
