@@ -132,13 +132,17 @@ def search(
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest vectors of every 50th vector."""
-    rows = usable(read_table(spark, sf_dir, "embeddings"))
-    asked = rows.where(F.col("vec_id") % QUERY_EVERY == 0)
-    one = W.partitionBy("vec_id").orderBy("vector")
-    asked = asked.withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
-    indexed = checkpoint(index(rows))
+def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K, pivots: int = PIVOTS, length: int = LENGTH, **options) -> DataFrame:
+    """The k nearest of every row whose id is divisible by ``every``, among all rows."""
+    rows = usable(vectors)
+    asked = rows.where(F.col("vec_id") % every == 0)
+    asked = asked.withColumn("n", F.row_number().over(W.partitionBy("vec_id").orderBy("vector"))).where("n = 1").drop("n")
+    indexed = checkpoint(index(rows, pivots, length, k + 1))
     # a query's order of pivots is that of its vector in the index
     places = indexed.select("vector", "places").dropDuplicates(["vector"])
-    return search(asked.join(places, "vector").select("vec_id", "vector", "places"), indexed)
+    return search(asked.join(places, "vector").select("vec_id", "vector", "places"), indexed, k, **options)
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every 50th vector."""
+    return nearest(read_table(spark, sf_dir, "embeddings"))
