@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, checkpoint, field, fold, mix64, read_table, words
+from .common import WordHash, field, fold, mix64, read_table, words
 
 FOLDS, HELD_OUT = 10, 0
 ORDER = 2
@@ -96,8 +96,10 @@ _ANSWER = "block int, n int, bucket int, counts binary, tokens long, types long"
 
 
 def count_ngrams(rows: DataFrame, n_buckets: int, order: int) -> DataFrame:
-    """Answers (block, n, bucket, counts) to every block, and per bucket a row of block -1 with
-    the training tokens and distinct training words it counted. ``rows``: (block, text, train)."""
+    """Answers (block, n, bucket, counts, tokens, types) to every block. ``rows``: (block, text, train).
+
+    tokens and types: of the training words the bucket counted, in its answer for n = 1, which every block gets.
+    """
 
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -111,7 +113,7 @@ def count_ngrams(rows: DataFrame, n_buckets: int, order: int) -> DataFrame:
             if n == 1:
                 counts[np.searchsorted(found, _START)] += train.sum()
             cuts = _buckets(found, n_buckets)
-            for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            for b in range(n_buckets) if n == 1 else np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                 part = slice(cuts[b], cuts[b + 1])
                 for name, value in zip(out, (b, n, block, found[part].tobytes(), _packed(counts[part]))):
                     out[name].append(value)
@@ -134,8 +136,7 @@ def count_ngrams(rows: DataFrame, n_buckets: int, order: int) -> DataFrame:
                 tokens, types = int(totals[seen].sum()), int(seen.sum())
             ends = np.cumsum([len(h) for h in hashes])
             for block, part in zip(own.column("block").to_pylist(), np.split(totals[places], ends[:-1])):
-                out.append((block, n, bucket, _packed(part), None, None))
-        out.append((-1, 0, bucket, None, tokens, types))
+                out.append((block, n, bucket, _packed(part), tokens if n == 1 else 0, types if n == 1 else 0))
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         names = ("block", "n", "bucket", "counts", "tokens", "types")
         return pa.table({name: pa.array(values, kind) for name, values, kind in zip(names, zip(*out), kinds)})
@@ -193,8 +194,7 @@ def score(docs: DataFrame, train, order: int = ORDER, block_chars: int = BLOCK_C
     n_blocks = max(1, -(-size // block_chars))
     n_buckets = max(1, -(-n_blocks // BLOCKS_A_BUCKET))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    answers = checkpoint(count_ngrams(rows, n_buckets, order))
-    tokens, types = (x or 0 for x in answers.where("block = -1").agg(F.sum("tokens"), F.sum("types")).first())
+    answers = count_ngrams(rows, n_buckets, order)
     schema = T.StructType([
         T.StructField("doc_id", field(docs, id_col).dataType), T.StructField("held_out", T.BooleanType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
@@ -205,12 +205,13 @@ def score(docs: DataFrame, train, order: int = ORDER, block_chars: int = BLOCK_C
         own = Block(texts.column("text").to_pylist(), WordHash(), order)
         answer = answer.sort_by([("n", "ascending"), ("bucket", "ascending")])
         ns, packed = answer.column("n").to_pylist(), answer.column("counts")
+        tokens, types = (sum(answer.column(c).to_pylist()) for c in ("tokens", "types"))
         counts, places, contexts, lower = [], [], [], []
         start = 0
         for n in range(1, order + 1):
             found, at = own.distinct(n)
             cuts = _buckets(found, n_buckets)
-            sizes = [int(x) for x in np.diff(cuts) if x]
+            sizes = [int(x) for x in np.diff(cuts) if x or n == 1]
             mine = [packed[i].as_py() for i, x in enumerate(ns) if x == n]
             counts.append(np.concatenate([_unpacked(x, k) for x, k in zip(mine, sizes)]))
             if n == 1:
@@ -237,7 +238,8 @@ def score(docs: DataFrame, train, order: int = ORDER, block_chars: int = BLOCK_C
             "score": pa.array(total(model.walk(places, own.whole))),
         })
 
-    return rows.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(walk, schema)
+    # the same rows by block as those that were counted: their shuffle is used twice
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, schema)
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
