@@ -8,8 +8,6 @@ DECIMALs first and rounding after can double-round.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +65,22 @@ def full_name(first: str | Column = "first_name", last: str | Column = "last_nam
     return F.concat(col(first), F.lit(" "), col(last))
 
 
+def after_row(sort: str, ascending: bool, key: str, last: tuple, collation: str | None = None) -> Column:
+    """Rows that follow ``last`` (its sort value and key) in the order of ``sort``, then ascending ``key``.
+
+    Nulls are last in ascending and first in descending order. With it, a deep page
+    costs as much as the first one.
+    """
+    value, last_key = last
+    c = F.col(sort) if collation is None else F.collate(F.col(sort), collation)
+    tie = F.col(key) > F.lit(last_key)
+    if value is None:
+        return (c.isNull() & tie) if ascending else (c.isNotNull() | tie)
+    v = F.lit(value) if collation is None else F.collate(F.lit(value), collation)
+    beyond = (c > v) | c.isNull() if ascending else c < v
+    return beyond | ((c == v) & tie)
+
+
 def paginate(df: DataFrame, order: list[Column], page: int, limit: int, show_all: bool = False) -> DataFrame:
     """Sorted page ``page`` (1-based) of ``limit`` rows; all rows if ``show_all``."""
     ordered = df.orderBy(*order)
@@ -80,5 +94,8 @@ def paginate(df: DataFrame, order: list[Column], page: int, limit: int, show_all
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
-def total_pages(total: int, limit: int) -> int:
-    return math.ceil(total / limit) if limit else 0
+def count_pages(df: DataFrame, limit: int, show_all: bool = False) -> DataFrame:
+    """(total, total_pages) of a listing, one row; all on one page if ``show_all``."""
+    n = F.count(F.lit(1)).cast("long")
+    pages = F.lit(1).cast("long") if show_all else F.ceil(F.col("total") / F.lit(limit)).cast("long")
+    return df.agg(n.alias("total")).withColumn("total_pages", pages)

@@ -46,15 +46,16 @@ def owner_id() -> Column:
 
 
 def line_owners(cart: DataFrame) -> DataFrame:
-    """(id, owner_type, owner_id) for every identity that owns a cart line.
+    """(id, owner_type, owner_id, quantity, product_id) for every identity that owns a cart line.
 
     A line may carry both a customer and a session id; it answers to both.
     """
+    cart = cart.select("id", "customer_id", "session_id", "quantity", "product_id")
     by_customer = cart.filter(F.col("customer_id").isNotNull()).select(
-        "id", F.lit(OWNER_CUSTOMER).alias("owner_type"), F.col("customer_id").cast("string").alias("owner_id")
+        "id", "quantity", "product_id", F.lit(OWNER_CUSTOMER).alias("owner_type"), F.col("customer_id").cast("string").alias("owner_id")
     )
     by_session = cart.filter(F.col("session_id").isNotNull()).select(
-        "id", F.lit(OWNER_SESSION).alias("owner_type"), F.col("session_id").alias("owner_id")
+        "id", "quantity", "product_id", F.lit(OWNER_SESSION).alias("owner_type"), F.col("session_id").alias("owner_id")
     )
     return by_customer.unionByName(by_session)
 
@@ -234,7 +235,7 @@ def cart_set_quantity(t: Tables, requests: DataFrame | None = None) -> DataFrame
         requests = quantity_requests(t)
     lines = (
         line_owners(t.cart_items)
-        .join(t.cart_items.select("id", F.col("quantity").alias("old_quantity"), "product_id"), "id")
+        .withColumnRenamed("quantity", "old_quantity")
         .join(t.products.select("product_id", F.col("stock").alias("_stock"), F.col("is_active").alias("_active")), "product_id")
     )
     rows = requests.select("id", "owner_type", "owner_id", F.col("quantity").alias("requested")).join(

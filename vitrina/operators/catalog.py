@@ -7,10 +7,12 @@ three correlated sub-queries per product row the shop issues.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import full_name, money, paginate
+from ..functions.common import after_row, count_pages, full_name, money, paginate
 from ..sources.tables import Tables
 
 # --- fixed values -----------------------------------------------------------
@@ -49,13 +51,25 @@ PRODUCT_COLUMNS = [
 ]
 
 
+#: Names are ordered linguistically: accents and case decide only between equal letters.
+NAME_COLLATION = "UNICODE"
+
+
 def sort_columns(sort: str) -> list[Column]:
     """Sort option -> ordering, with the key as tie-breaker (PostgreSQL null order)."""
     name, asc = SORT_OPTIONS.get(sort, SORT_OPTIONS[DEFAULT_SORT])
-    c = F.col(name)
+    c = F.collate(F.col(name), NAME_COLLATION) if name == "product_name" else F.col(name)
     return [c.asc_nulls_last() if asc else c.desc_nulls_first(), F.col("product_id").asc()]
 
 
+def following(rows: DataFrame, sort: str, after: tuple | None) -> DataFrame:
+    """Rows beyond ``after`` = (sort value, product_id) of the last row seen; all rows for None."""
+    if after is None:
+        return rows
+    name, asc = SORT_OPTIONS.get(sort, SORT_OPTIONS[DEFAULT_SORT])
+    return rows.filter(after_row(name, asc, "product_id", after, NAME_COLLATION if name == "product_name" else None))
+
+
 def variant_stock(t: Tables) -> DataFrame:
     """(product_id, _vstock, _vcount) over active variants, one row per product."""
     return (
@@ -79,14 +93,20 @@ def with_available_stock(products: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-def _product_rows(t: Tables) -> DataFrame:
-    """products LEFT JOIN categories, with variant-aware stock (money kept exact)."""
-    return with_available_stock(
-        t.products.select(*PRODUCT_COLUMNS).join(
-            t.categories.select("category_id", "category_name"), "category_id", "left"
-        ),
-        t,
-    )
+def _named_products(t: Tables) -> DataFrame:
+    """products LEFT JOIN categories (money kept exact)."""
+    return t.products.select(*PRODUCT_COLUMNS).join(t.categories.select("category_id", "category_name"), "category_id", "left")
+
+
+def _page(rows: DataFrame, t: Tables, sort: str, page: int, limit: int, show_all: bool, after: tuple | None = None) -> DataFrame:
+    """A sorted page of products, and only then the stock of what is on it."""
+    if show_all:
+        return with_available_stock(rows, t).orderBy(*sort_columns(sort))
+    chosen = paginate(following(rows, sort, after), sort_columns(sort), 1 if after else page, limit)
+    # at most ``limit`` ids, which the planner knows: variants are filtered by them before they are added up
+    ids = chosen.select(F.col("product_id").alias("_id"))
+    variants = t.product_variants.join(ids, F.col("product_id") == F.col("_id"), "left_semi")
+    return with_available_stock(chosen, t.replace(product_variants=variants)).orderBy(*sort_columns(sort))
 
 
 def _product_out(df: DataFrame) -> DataFrame:
@@ -100,7 +120,7 @@ def _product_out(df: DataFrame) -> DataFrame:
 
 def available_stock(t: Tables) -> DataFrame:
     """Q17: every product with category name, available stock and has_variants."""
-    return _product_out(_product_rows(t))
+    return _product_out(with_available_stock(_named_products(t), t))
 
 
 def _catalog_filter(
@@ -129,10 +149,23 @@ def catalog_page(
     page: int = 1,
     limit: int = 10,
     show_all: bool = False,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """Q18: filtered, sorted page of active products."""
-    rows = _catalog_filter(_product_rows(t), categories, min_price, max_price)
-    return _product_out(paginate(rows, sort_columns(sort), page, limit, show_all))
+    """Q18: filtered, sorted page of active products.
+
+    ``after`` = (sort value, product_id) of the last row of a page gives the page that
+    follows, whatever its number, at the cost of the first.
+    """
+    rows = _catalog_filter(_named_products(t), categories, min_price, max_price)
+    return _product_out(_page(rows, t, sort, page, limit, show_all, after))
+
+
+def catalog_names(t: Tables, page: int = 2, limit: int = 10) -> DataFrame:
+    """Q18 by name, with each row's place in the linguistic order."""
+    names = catalog_page(t, sort="name", page=page, limit=limit)
+    # one page of rows
+    place = F.row_number().over(Window.orderBy(*sort_columns("name"))) + (page - 1) * limit
+    return names.withColumn("place", place.cast("int"))
 
 
 def catalog_count(t: Tables, **filters) -> DataFrame:
@@ -164,11 +197,22 @@ def category_page(
     show_all: bool = False,
 ) -> DataFrame:
     """Q19: Q18 restricted to the category a slug resolves to (empty if unknown)."""
+    rows = _category_rows(t, slug, routes, min_price, max_price)
+    return _product_out(_page(rows, t, sort, page, limit, show_all))
+
+
+def _category_rows(t: Tables, slug: str, routes: DataFrame | None, min_price: float, max_price: float | None) -> DataFrame:
     names = slug_map(t, routes).filter(F.col("route_slug") == F.lit(slug)).select(
         F.col("route_category_name").alias("category_name")
     )
-    rows = _catalog_filter(_product_rows(t), None, min_price, max_price).join(names, "category_name", "left_semi")
-    return _product_out(paginate(rows, sort_columns(sort), page, limit, show_all))
+    return _catalog_filter(_named_products(t), None, min_price, max_price).join(names, "category_name", "left_semi")
+
+
+def category_total(
+    t: Tables, slug: str, *, routes: DataFrame | None = None, min_price: float = 0, max_price: float | None = None, limit: int = 10
+) -> DataFrame:
+    """Q19: products and pages of a category."""
+    return count_pages(_category_rows(t, slug, routes, min_price, max_price), limit)
 
 
 def search_products(
@@ -186,17 +230,28 @@ def search_products(
     The term is not escaped: ``%`` and ``_`` act as wildcards (trap S13).
     Price filters do not apply to search.
     """
+    return _product_out(_page(_search_rows(t, term, category), t, sort, page, limit, show_all))
+
+
+def like_pattern(term: str) -> str:
+    """``%term%`` with backslashes as PostgreSQL reads them: before any other character they only quote it."""
+    return re.sub(r"\\(.)", lambda m: m.group(0) if m.group(1) in "%_\\" else m.group(1), f"%{term}%", flags=re.DOTALL)
+
+
+def _search_rows(t: Tables, term: str, category: str | None) -> DataFrame:
     term = term.strip()
     if not term:
         raise ValueError("empty search term")
-    pattern = F.lower(F.lit(f"%{term}%"))
-    cond = F.col("is_active") & (
-        F.like(F.lower("product_name"), pattern) | F.like(F.lower("description"), pattern)
-    )
+    pattern = F.lower(F.lit(like_pattern(term)))
+    cond = F.col("is_active") & (F.like(F.lower("product_name"), pattern) | F.like(F.lower("description"), pattern))
     if category:
         cond = cond & (F.col("category_name") == F.lit(category))
-    rows = _product_rows(t).filter(cond)
-    return _product_out(paginate(rows, sort_columns(sort), page, limit, show_all))
+    return _named_products(t).filter(cond)
+
+
+def search_total(t: Tables, term: str, *, category: str | None = None, limit: int = 10) -> DataFrame:
+    """Q20: products and pages a search finds."""
+    return count_pages(_search_rows(t, term, category), limit)
 
 
 def band_of(c: Column) -> Column:
@@ -218,14 +273,35 @@ def admin_product_list(
     show_all: bool = False,
 ) -> DataFrame:
     """Q21: admin product list with stock, filters, sort and paging."""
-    rows = with_available_stock(
-        t.products.select("product_id", "product_name", "price", "stock", "image_url", "is_active", "created_at", "category_id")
-        .join(t.categories.select("category_id", "category_name"), "category_id", "left"),
-        t,
-    ).withColumnRenamed("available_stock", "total_stock")
+    rows, stocked = _admin_rows(t, search, category, status, min_price, max_price, stock)
+    if stocked:  # the stock band decides what is on the page
+        page_rows = paginate(rows, sort_columns(sort), page, limit, show_all)
+    else:
+        page_rows = _page(rows, t, sort, page, limit, show_all)
+    return page_rows.withColumnRenamed("available_stock", "total_stock").select(
+        "product_id",
+        "product_name",
+        money("price").alias("price"),
+        "stock",
+        "image_url",
+        "is_active",
+        "created_at",
+        "category_name",
+        "total_stock",
+        "has_variants",
+    )
+
+
+def _admin_rows(
+    t: Tables, search: str, category: str, status: str, min_price: float, max_price: float, stock: str
+) -> tuple[DataFrame, bool]:
+    """Products of the admin list, and whether they carry their stock (they do when it is filtered on)."""
+    rows = t.products.select(
+        "product_id", "product_name", "price", "stock", "image_url", "is_active", "created_at", "category_id"
+    ).join(t.categories.select("category_id", "category_name"), "category_id", "left")
     cond = F.lit(True)
     if search.strip():
-        cond = cond & F.ilike("product_name", F.lit(f"%{search.strip()}%"))
+        cond = cond & F.ilike("product_name", F.lit(like_pattern(search.strip())))
     if category:
         cond = cond & (F.col("category_name") == F.lit(category))
     if status == "active":
@@ -236,21 +312,27 @@ def admin_product_list(
         cond = cond & (F.col("price") >= F.lit(min_price))
     if max_price < ADMIN_MAX_PRICE:
         cond = cond & (F.col("price") <= F.lit(max_price))
+    rows = rows.filter(cond)
     if stock in (BAND_OUT, BAND_LOW, BAND_IN):
-        cond = cond & (band_of(F.col("total_stock")) == F.lit(stock))
-    page_rows = paginate(rows.filter(cond), sort_columns(sort), page, limit, show_all)
-    return page_rows.select(
-        "product_id",
-        "product_name",
-        money("price").alias("price"),
-        "stock",
-        "image_url",
-        "is_active",
-        "created_at",
-        "category_name",
-        "total_stock",
-        "has_variants",
-    )
+        return with_available_stock(rows, t).filter(band_of(F.col("available_stock")) == F.lit(stock)), True
+    return rows, False
+
+
+def admin_total(
+    t: Tables,
+    *,
+    search: str = "",
+    category: str = "",
+    status: str = "",
+    min_price: float = 0,
+    max_price: float = ADMIN_MAX_PRICE,
+    stock: str = "",
+    limit: int = 10,
+    show_all: bool = False,
+) -> DataFrame:
+    """Q21: products and pages of the admin list (one page when showing all)."""
+    rows, _ = _admin_rows(t, search, category, status, min_price, max_price, stock)
+    return count_pages(rows, limit, show_all)
 
 
 def price_range(t: Tables) -> DataFrame:
@@ -270,14 +352,9 @@ def price_range_by_category(t: Tables) -> DataFrame:
     )
 
 
-# Scramble for the featured sample: a multiplicative permutation mod a prime.
-SAMPLE_PRIME = 1000003
-SAMPLE_MULTIPLIER = 7919
-
-
 def sample_key(c: Column, seed: int) -> Column:
-    """Pseudo-random, seed-dependent sort key in exact integer arithmetic."""
-    return (F.pmod(c, F.lit(SAMPLE_PRIME)) * SAMPLE_MULTIPLIER + F.lit(seed)) % F.lit(SAMPLE_PRIME)
+    """Pseudo-random sort key: another seed gives another order, whatever the ids are."""
+    return F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")))
 
 
 def featured_sample(t: Tables, n: int = 6, seed: int = 42) -> DataFrame:
@@ -287,8 +364,10 @@ def featured_sample(t: Tables, n: int = 6, seed: int = 42) -> DataFrame:
     merge of n rows per partition), never a full sort; the same seed always
     yields the same sample.
     """
-    rows = _product_rows(t).filter("is_active")
-    return _product_out(rows.orderBy(sample_key(F.col("product_id"), seed), "product_id").limit(n))
+    rows = _named_products(t).filter("is_active").orderBy(sample_key(F.col("product_id"), seed), "product_id").limit(n)
+    ids = rows.select(F.col("product_id").alias("_id"))
+    variants = t.product_variants.join(ids, F.col("product_id") == F.col("_id"), "left_semi")
+    return _product_out(with_available_stock(rows, t.replace(product_variants=variants)))
 
 
 def category_list(t: Tables) -> DataFrame:
@@ -329,54 +408,52 @@ def approved_reviews(t: Tables) -> DataFrame:
     )
 
 
-def chunked_lists(
-    rows: DataFrame,
-    key: str,
-    row_id: str,
-    item: Column,
-    sort_key: Column,
-    chunk: int,
-    name: str,
-    descending: bool = False,
-    sizing: DataFrame | None = None,
-) -> DataFrame:
-    """(key, part, name): each key's items as sorted arrays of at most about ``chunk``.
-
-    The number of parts per key comes from a per-key count (map-side
-    partial), each row goes to part ``hash(row_id) mod parts``, so a key
-    holding a huge share of rows is spread over many tasks instead of one.
-    Within a part the array is sorted by ``sort_key`` (reversed when
-    ``descending``). ``sizing`` (default ``rows``) is the frame counted to
-    choose the number of parts; any superset of ``rows`` per key works, so a
-    cheaper frame before a filtering join can be given.
+def positions(rows: DataFrame, key: str, bucket: list[Column], order: list[Column]) -> DataFrame:
+    """``rows`` with ``position``: the row's 1-based place in its key, by ``bucket``, then ``order``.
+
+    Rows are counted per (key, bucket); running sums of these few counts give each
+    bucket its offset, and rows are numbered inside their bucket only. No task holds
+    a whole key's rows.
     """
-    parts = (rows if sizing is None else sizing).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(
-        key, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk))).cast("long").alias("_parts")
-    )
-    keyed = rows.select(key, row_id, F.struct(sort_key.alias("k"), item.alias("v")).alias("_e"))
-    return (
-        keyed.join(parts, key)
-        .withColumn("part", F.pmod(F.xxhash64(row_id), F.col("_parts")))
-        .groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list("_e")).alias("_l"))
-        .withColumn("_l", F.reverse("_l") if descending else F.col("_l"))
-        .select(key, "part", F.transform("_l", lambda e: e["v"]).alias(name))
+    names = [f"_b{k}" for k in range(len(bucket))]
+    rows = rows.withColumns(dict(zip(names, bucket)))
+    counts = rows.groupBy(key, *names).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col(key).alias("_key"), *(F.col(n).alias(f"{n}o") for n in names), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
+    same = [F.col(key) == F.col("_key"), *(F.col(n).eqNullSafe(F.col(f"{n}o")) for n in names)]
+    inside = F.row_number().over(Window.partitionBy(key, *names).orderBy(*order))
+    numbered = rows.withColumn("_i", inside).join(offsets, same)
+    return numbered.withColumn("position", F.col("_offset") + F.col("_i")).drop("_key", "_offset", "_i", *names, *(f"{n}o" for n in names))
 
 
-def product_detail(t: Tables, chunk: int = DETAIL_CHUNK) -> DataFrame:
+def chunked_lists(rows: DataFrame, key: str, item: Column, chunk: int, name: str) -> DataFrame:
+    """(key, part, name): rows with ``position`` as arrays of ``chunk``; part p holds places p * chunk + 1 and on,
+    so the parts one after the other are the whole list in order."""
+    part = F.floor((F.col("position") - 1) / F.lit(chunk)).cast("long")
+    placed = rows.select(key, part.alias("part"), F.struct(F.col("position").alias("k"), item.alias("v")).alias("_e"))
+    lists = placed.groupBy(key, "part").agg(F.array_sort(F.collect_list("_e")).alias("_l"))
+    return lists.select(key, "part", F.transform("_l", lambda e: e["v"]).alias(name))
+
+
+def product_detail_parts(t: Tables, chunk: int = DETAIL_CHUNK, ids: DataFrame | None = None) -> DataFrame:
     """Q26: per active product a product struct, its active variants and approved reviews.
 
-    Variants are ordered by (size, color) with NULLs last, reviews newest
-    first (ties: higher review id first). Each product's lists are split over rows (``part``) of at most
-    about ``chunk`` entries, so no row or task ever holds an unbounded list;
-    a product with fewer than ``chunk`` variants and reviews has exactly one
-    row (part 0), as the shop's single JSON document.
+    Variants are ordered by (size, color) with NULLs last, reviews newest first
+    (ties: higher review id first). A row holds at most ``chunk`` entries of either
+    list: part 0 the first ones, part 1 the next, and so on; every product has a
+    part 0. ``ids`` (a frame with ``product_id``) restricts it to some products.
     """
-    products = t.products.filter("is_active").join(
+    products, variants_of, reviews_of = t.products.filter("is_active"), t.product_variants.filter("is_active"), t.product_reviews
+    if ids is not None:
+        wanted = ids.select(F.col("product_id").cast("long").alias("_id")).distinct()
+        products, variants_of, reviews_of = (
+            df.join(wanted, F.col("product_id") == F.col("_id"), "left_semi") for df in (products, variants_of, reviews_of)
+        )
+    product = products.join(
         t.categories.select("category_id", "category_name", F.col("slug").alias("category_slug")), "category_id", "left"
-    )
-    product = products.select(
+    ).select(
         "product_id",
         F.struct(
             *[money(c).alias(c) if c in ("price", "wholesale_price") else F.col(c) for c in PRODUCT_COLUMNS],
@@ -388,32 +465,38 @@ def product_detail(t: Tables, chunk: int = DETAIL_CHUNK) -> DataFrame:
         "variant_id", "variant_name", "sku", "size", "color", "material",
         money("additional_price").alias("additional_price"), "stock", "is_active",
     )
-    variant_order = F.struct(
-        F.col("size").isNull(), "size", F.col("color").isNull(), "color", "variant_id"
-    )
-    variants = chunked_lists(
-        t.product_variants.filter("is_active"), "product_id", "variant_id", variant, variant_order, chunk, "variants"
-    )
+    looks = [F.col("size").isNull(), F.col("size"), F.col("color").isNull(), F.col("color")]
+    variants = chunked_lists(positions(variants_of, "product_id", looks, [F.col("variant_id")]), "product_id", variant, chunk, "variants")
     review = F.struct("review_id", "rating", "review_text", "is_verified_purchase", "created_at", "customer_name")
-    review_order = F.struct("created_at", "review_id")  # reversed: newest first, time-zone free
-    # parts are sized from approved reviews before the customer join (a superset)
-    sizing = t.product_reviews.filter(F.col("is_approved") & F.col("customer_id").isNotNull()).select("product_id")
+    # newest first: by hours back from the year 2200, then by time and id
+    hour = [F.timestamp_diff("HOUR", F.date_trunc("hour", "created_at").cast("timestamp_ntz"), F.lit("2200-01-01").cast("timestamp_ntz"))]
+    newest = [F.col("created_at").desc(), F.col("review_id").desc()]
     reviews = chunked_lists(
-        approved_reviews(t), "product_id", "review_id", review, review_order, chunk, "reviews",
-        descending=True, sizing=sizing,
+        positions(approved_reviews(t.replace(product_reviews=reviews_of)), "product_id", hour, newest), "product_id", review, chunk, "reviews"
     )
     lists = variants.join(reviews, ["product_id", "part"], "full")
+    first = product.select("product_id", F.lit(0).cast("long").alias("part"))
+    parts = first.join(lists, ["product_id", "part"], "full")
     empty_v = F.array().cast(variants.schema["variants"].dataType)
     empty_r = F.array().cast(reviews.schema["reviews"].dataType)
-    return product.join(lists, "product_id", "left").select(
+    return product.join(parts, "product_id").select(
         "product_id",
-        F.coalesce(F.col("part"), F.lit(0)).cast("long").alias("part"),
+        "part",
         "product",
         F.coalesce(F.col("variants"), empty_v).alias("variants"),
         F.coalesce(F.col("reviews"), empty_r).alias("reviews"),
     )
 
 
+def product_detail(t: Tables, chunk: int = DETAIL_CHUNK) -> DataFrame:
+    """Q26 flat: the product's columns, and per part its lists as JSON text."""
+    from ..sinks.files import JSON_OPTIONS
+
+    rows = product_detail_parts(t, chunk)
+    text = lambda c: F.when(F.size(c) > 0, F.to_json(c, JSON_OPTIONS)).otherwise("[]")
+    return rows.select("product.*", "part", text("variants").alias("variants"), text("reviews").alias("reviews"))
+
+
 def product_facets(t: Tables) -> DataFrame:
     """Q27: distinct non-empty sizes / colours / materials of active variants, sorted, as text."""
 
@@ -490,8 +573,8 @@ def stock_band_counts(t: Tables) -> DataFrame:
     return stock_band(t).groupBy("band").agg(F.count(F.lit(1)).cast("long").alias("products"))
 
 
-def product_detail_json(t: Tables) -> DataFrame:
+def product_detail_json(t: Tables, chunk: int = DETAIL_CHUNK) -> DataFrame:
     """Q26 as the JSON documents the storefront serves, one line per detail row."""
     from ..sinks import json_lines
 
-    return json_lines(product_detail(t))
+    return json_lines(product_detail_parts(t, chunk))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import count_long, money, not_cancelled, paginate, total_pages
+from ..functions.common import count_long, money, not_cancelled, paginate
 from ..sources.tables import Tables
 from .reports import customer_lifetime_value
 
@@ -100,5 +100,4 @@ __all__ = [
     "clv_page",
     "clv_page_meta",
     "clv_params",
-    "total_pages",
 ]

@@ -42,6 +42,15 @@ def kpi_long(t: Tables) -> DataFrame:
     return long.select(F.replace(F.col("metrica"), F.lit("_"), F.lit(" ")).alias("metrica"), "valor")
 
 
+def kpi_text(t: Tables) -> DataFrame:
+    """Q57 as the download writes it: counts as whole numbers, money with 2 decimals."""
+    row = reports.kpis(t)
+    money = ("total_revenue", "avg_ticket")
+    text = row.select(*[F.col(c).cast("decimal(38,2)" if c in money else "bigint").cast("string").alias(c) for c in KPI_COLUMNS])
+    long = text.unpivot([], KPI_COLUMNS, "metrica", "valor")
+    return long.select(F.replace(F.col("metrica"), F.lit("_"), F.lit(" ")).alias("metrica"), "valor")
+
+
 def abbreviate(amount: Column, ladder=LADDER_FULL) -> Column:
     """'1.2K' / '3M' / '4.5B' / 'T' with one decimal ('.0' dropped), else two decimals.
 
@@ -78,7 +87,7 @@ def chart_series_monthly(t: Tables, months: int = CHART_MONTHS) -> DataFrame:
 
 def report_functions() -> dict[str, Callable[[Tables], DataFrame]]:
     return {
-        "full": kpi_long,
+        "full": kpi_text,
         # the download re-sorts with a bare DESC: NULL revenue first (trap S3)
         "sales-by-category": lambda t: reports.sales_by_category(t).orderBy(
             F.col("revenue").desc_nulls_first(), "category_id"
@@ -119,6 +128,25 @@ def export_csv(t: Tables, report_type: str = "sales-by-category") -> DataFrame:
     return csv_lines(df)
 
 
+#: Reports of the JSON endpoints; each is served whole but for the paged lifetime value.
+JSON_REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
+    "kpis": reports.kpis,
+    "sales-by-category": reports.top_categories,
+    "top-products": reports.top_products,
+    "monthly-revenue": reports.monthly_revenue,
+    "low-stock": reports.top_low_stock,
+    "pending-shipments": reports.pending_orders,
+    "payment-status": reports.payment_status_summary,
+    "shipping-zones": reports.shipping_zone_revenue,
+    "currencies": reports.sales_by_currency,
+}
+
+
+def export_json_report(t: Tables, report_type: str) -> DataFrame:
+    """Q59 for the other endpoints: a report's rows as JSON."""
+    return json_lines(JSON_REPORTS[report_type](t))
+
+
 def export_json(t: Tables, page: int = 1, limit: int = 20) -> DataFrame:
     """Q59: the lifetime-value page as JSON rows (the data part of the payload)."""
     return json_lines(customers.clv_page(t, page=page, limit=limit))

@@ -33,7 +33,8 @@ def price_orders(t: Tables) -> DataFrame:
     promos = t.promotions.select("promo_id", "discount_type", "discount_value")
     rows = (
         t.orders.select("order_id", "currency_code", "promo_id")
-        .join(subtotal, "order_id")
+        .join(subtotal, "order_id", "left")  # an order without lines costs nothing
+        .withColumn("subtotal", F.coalesce("subtotal", F.lit(Decimal("0"))))
         .join(promos, "promo_id", "left")
     )
     fixed = F.when(

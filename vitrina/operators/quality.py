@@ -2,9 +2,8 @@
 constraints turned into counting jobs, plus per-table row counts.
 
 Each audit reads every table it needs once: a CHECK audit is one aggregate
-with a conditional count per rule; the FK audit reduces all child keys to
-(rule, key) counts and anti-joins them against all parent keys in one
-shuffle; the UNIQUE audit is one grouped count over tagged key tuples.
+with a conditional count per rule; the FK audit anti-joins the child keys of
+each parent table once; the UNIQUE audit is one grouped count over tagged key tuples.
 """
 
 from __future__ import annotations
@@ -16,10 +15,12 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import Tables
 
+# --- fixed values -----------------------------------------------------------
 ORDER_STATUSES = ["Pendiente", "Procesando", "Enviado", "Entregado", "Cancelado"]
 SHIPPING_STATUSES = ["Preparando", "En tránsito", "Entregado", "Fallido"]
 PAYMENT_STATUSES = ["Pendiente", "Aprobado", "Rechazado", "Reembolsado"]
 DISCOUNT_TYPES = ["percentage", "fixed"]
+# ---------------------------------------------------------------------------
 
 
 def _c(name: str) -> Column:
@@ -33,21 +34,30 @@ def check_rules() -> list[tuple[str, str, Column]]:
         ("categories", "category_name not null", _c("category_name").isNotNull()),
         ("products", "product_name not null", _c("product_name").isNotNull()),
         ("products", "category_id not null", _c("category_id").isNotNull()),
+        ("products", "price not null", _c("price").isNotNull()),
+        ("products", "stock not null", _c("stock").isNotNull()),
         ("products", "price >= 0", _c("price") >= 0),
+        ("products", "wholesale_price >= 0", _c("wholesale_price") >= 0),
         ("products", "stock >= 0", _c("stock") >= 0),
         ("product_variants", "stock >= 0", _c("stock") >= 0),
+        ("product_variants", "stock not null", _c("stock").isNotNull()),
+        ("product_reviews", "rating not null", _c("rating").isNotNull()),
         ("product_reviews", "rating between 1 and 5", _c("rating").between(1, 5)),
         ("customers", "email not null", _c("email").isNotNull()),
         ("customers", "first_name not null", _c("first_name").isNotNull()),
         ("customers", "last_name not null", _c("last_name").isNotNull()),
+        ("orders", "total not null", _c("total").isNotNull()),
         ("orders", "total >= 0", _c("total") >= 0),
         ("orders", "status in domain", _c("status").isin(*ORDER_STATUSES)),
         ("orders", "shipping_status in domain", _c("shipping_status").isin(*SHIPPING_STATUSES)),
         ("orders", "currency_code length 3", F.length("currency_code") == 3),
+        ("order_items", "quantity not null", _c("quantity").isNotNull()),
         ("order_items", "quantity > 0", _c("quantity") > 0),
         ("order_items", "unit_price >= 0", _c("unit_price") >= 0),
+        ("payments", "amount not null", _c("amount").isNotNull()),
         ("payments", "amount > 0", _c("amount") > 0),
         ("payments", "status in domain", _c("status").isin(*PAYMENT_STATUSES)),
+        ("cart_items", "quantity not null", _c("quantity").isNotNull()),
         ("cart_items", "quantity between 1 and 15", (_c("quantity") > 0) & (_c("quantity") <= 15)),
         ("cart_items", "session or customer present", _c("session_id").isNotNull() | _c("customer_id").isNotNull()),
         ("promotions", "discount_type in domain", _c("discount_type").isin(*DISCOUNT_TYPES)),
@@ -96,48 +106,41 @@ def foreign_keys() -> list[tuple[str, str, str, str]]:
     ]
 
 
-def _tagged_keys(t: Tables, specs: list[tuple[str, str, str]]) -> DataFrame:
-    """(rule, k) rows for (table, column, rule) specs, one scan per table.
-
-    Each table is read once; its key columns are exploded into tagged rows.
-    """
-    by_table: dict[str, list[tuple[str, str]]] = {}
-    for table, column, rule in specs:
-        by_table.setdefault(table, []).append((column, rule))
-    parts = []
-    for table, cols in by_table.items():
-        tagged = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).cast("long").alias("k")) for c, rule in cols])
-        parts.append(getattr(t, table).select(F.explode(tagged).alias("x")).select("x.rule", "x.k"))
-    return reduce(DataFrame.unionByName, parts).filter(F.col("k").isNotNull())
-
-
 def referential_audit(t: Tables) -> DataFrame:
     """Q48: child rows whose non-NULL foreign key has no parent row.
 
-    Every child table and every parent table is scanned once: the child keys
-    of all rules are counted per (rule, key) with a map-side partial, anti-
-    joined in one shuffle against all parents' keys tagged with the same
-    rules, and summed per rule; rules without orphans report 0.
+    Foreign keys are numbered. For each parent table, the child keys of all its
+    foreign keys are anti-joined once against its keys: small parents are broadcast
+    by the planner's own size check, large ones take one shuffle in which a hot
+    child key can be split. Only orphans are counted, by number; keys without
+    orphans report 0.
     """
     fks = foreign_keys()
-    rules = [(child, f"{ccol} -> {parent}.{pcol}") for child, ccol, parent, pcol in fks]
-    child_keys = (
-        _tagged_keys(t, [(child, ccol, rule) for (child, ccol, _, _), (_, rule) in zip(fks, rules)])
-        .groupBy("rule", "k")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    parent_keys = _tagged_keys(t, [(parent, pcol, rule) for (_, _, parent, pcol), (_, rule) in zip(fks, rules)])
-    orphans = child_keys.join(parent_keys, ["rule", "k"], "left_anti").groupBy("rule").agg(F.sum("_n").alias("_v"))
-    catalog = t.spark.createDataFrame(rules, "table_name string, rule string")
-    return catalog.join(orphans, "rule", "left").select(
-        "table_name", "rule", F.coalesce(F.col("_v"), F.lit(0)).cast("long").alias("violations")
+    orphans = []
+    for parent, column in dict.fromkeys((p, pc) for _, _, p, pc in fks):
+        keys = getattr(t, parent).select(F.col(column).cast("long").alias("_parent"))
+        children = [
+            getattr(t, child).select(F.lit(number).alias("fk"), F.col(c).cast("long").alias("_key"))
+            for number, (child, c, p, pc) in enumerate(fks)
+            if (p, pc) == (parent, column)
+        ]
+        rows = reduce(DataFrame.unionByName, children).filter(F.col("_key").isNotNull())
+        orphans.append(rows.join(keys, F.col("_key") == F.col("_parent"), "left_anti").select("fk"))
+    counts = reduce(DataFrame.unionByName, orphans).groupBy("fk").agg(F.count(F.lit(1)).alias("_n"))
+    rules = [(number, child, f"{c} -> {p}.{pc}") for number, (child, c, p, pc) in enumerate(fks)]
+    catalog = t.spark.createDataFrame(rules, "number int, table_name string, rule string")
+    return catalog.join(counts, F.col("number") == F.col("fk"), "left").select(
+        "table_name", "rule", F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("violations")
     )
 
 
 def unique_keys() -> list[tuple[str, list[str]]]:
     return [
         ("countries", ["country_code"]),
+        ("countries", ["country_name"]),
         ("customers", ["email"]),
+        ("customers", ["google_id"]),
+        ("customers", ["facebook_id"]),
         ("categories", ["category_name"]),
         ("categories", ["slug"]),
         ("product_variants", ["sku"]),

@@ -41,51 +41,43 @@ def _item_rows(t: Tables) -> DataFrame:
     return items.join(orders, "order_id", "left")
 
 
-def roll_up(parent: DataFrame, key: str, children: DataFrame) -> DataFrame:
-    """Parent rows plus ``survives``: no child at all, or some child survives.
-
-    ``children`` has columns (``key``, ``survives``). The children are
-    reduced to one flag per key by an aggregation (map-side partial), then
-    joined 1:1 to the parent, so a hot key never lands in one join task.
-    """
-    flags = children.groupBy(key).agg(F.max(F.col("survives").cast("int")).alias("_any"))
-    return parent.join(flags, key, "left").withColumn(
-        "survives", F.col("_any").isNull() | (F.col("_any") == 1)
-    ).drop("_any")
-
-
 def sales_by_category(t: Tables) -> DataFrame:
     """Q01: per category distinct orders, units and revenue (cancelled excluded).
 
-    Order items are read once: item rows (joined to their order's status and
-    their product's category) go through one aggregate per category that
-    counts the distinct kept orders, sums the kept units and revenue, and
-    notes whether any row is kept and how many distinct products have items.
-    A category survives the outer-join filter (trap S1) when it has no
-    product, a product without items, or a kept item; the per-category
-    product count comes from a join-free count over products.
+    Order items are read once and aggregated by (category, order), an order being
+    kept or not as a whole; the second aggregate, by category, then counts rows
+    instead of distinct orders. A category survives the outer-join filter (trap S1)
+    when it has no product, a product that no item names, or a kept item.
     """
     kept = kept_after_outer_join()
     products = t.products.select("product_id", "category_id")
-    rows = _item_rows(t).join(products, "product_id")
-    stats = rows.groupBy("category_id").agg(
-        F.countDistinct(F.when(kept, F.col("matched_order_id"))).alias("total_orders"),
-        F.sum(F.when(kept, F.col("quantity"))).alias("units_sold"),
-        F.sum(F.when(kept, F.col("quantity") * F.col("unit_price"))).alias("revenue"),
-        F.max(kept.cast("int")).alias("_any_kept"),
-        F.countDistinct("product_id").alias("_sold_products"),
+    per_order = (
+        _item_rows(t)
+        .join(products, "product_id")
+        .groupBy("category_id", "matched_order_id")
+        .agg(
+            F.max(kept.cast("int")).alias("_kept"),
+            F.sum(F.when(kept, F.col("quantity"))).alias("_units"),
+            F.sum(F.when(kept, F.col("quantity") * F.col("unit_price"))).alias("_revenue"),
+        )
+    )
+    stats = per_order.groupBy("category_id").agg(
+        F.count(F.when(F.col("_kept") == 1, F.col("matched_order_id"))).alias("total_orders"),
+        F.sum("_units").alias("units_sold"),
+        F.sum("_revenue").alias("revenue"),
+        F.max("_kept").alias("_any_kept"),
     )
-    n_products = products.groupBy("category_id").agg(F.countDistinct("product_id").alias("_products"))
-    survives = (
-        F.col("_products").isNull()
-        | (F.col("_products") > F.coalesce(F.col("_sold_products"), F.lit(0)))
-        | (F.col("_any_kept") == 1)
+    sold = t.order_items.select(F.col("product_id").alias("_sold")).distinct()
+    idle = (
+        products.join(sold, F.col("product_id") == F.col("_sold"), "left")
+        .groupBy("category_id")
+        .agg(F.max(F.col("_sold").isNull()).alias("_idle"))
     )
     out = (
         t.categories.select("category_id", "category_name")
-        .join(n_products, "category_id", "left")
+        .join(idle, "category_id", "left")
         .join(stats, "category_id", "left")
-        .filter(survives)
+        .filter(F.col("_idle").isNull() | F.col("_idle") | (F.col("_any_kept") == 1))
     )
     return out.select(
         "category_id",
@@ -96,22 +88,32 @@ def sales_by_category(t: Tables) -> DataFrame:
     ).orderBy(F.col("revenue").desc_nulls_last(), "category_id")
 
 
+def top_categories(t: Tables, n: int = 10) -> DataFrame:
+    """Q01 as the dashboard reads it: the ``n`` largest revenues, no revenue first (trap S3)."""
+    return sales_by_category(t).orderBy(F.col("revenue").desc_nulls_first(), "category_id").limit(n)
+
+
 def monthly_revenue(t: Tables) -> DataFrame:
-    """Q02: per month distinct orders, revenue, half-up average, distinct customers.
+    """Q02: per month orders, revenue, half-up average, distinct customers.
 
-    The two distinct counts plan as one Expand + two-phase aggregate: the
-    map-side partial collapses the expanded copies before the shuffle, so
-    this reads orders once and shuffles no more than two separate
-    aggregates would.
+    Orders are aggregated by (month, customer) first, so the month's customers are
+    counted as rows. Order ids are unique (``uniqueness_audit`` checks it), so
+    orders are counted as rows too.
     """
     o = t.orders.filter(not_cancelled())
     month = F.trunc("order_date", "month").cast("timestamp_ntz")
-    agg = o.groupBy(month.alias("month")).agg(
-        F.countDistinct("order_id").cast("long").alias("total_orders"),
-        F.sum("total").alias("revenue"),
+    per_customer = o.groupBy(month.alias("month"), "customer_id").agg(
+        F.count(F.lit(1)).alias("_orders"),
+        F.sum("total").alias("_revenue"),
         F.sum(cents("total")).alias("_cents"),
         F.count("total").alias("_n"),
-        F.countDistinct("customer_id").cast("long").alias("unique_customers"),
+    )
+    agg = per_customer.groupBy("month").agg(
+        F.sum("_orders").cast("long").alias("total_orders"),
+        F.sum("_revenue").alias("revenue"),
+        F.sum("_cents").alias("_cents"),
+        F.sum("_n").alias("_n"),
+        F.count("customer_id").cast("long").alias("unique_customers"),
     )
     return agg.select(
         "month",
@@ -255,13 +257,19 @@ def low_stock_products(t: Tables, max_stock: int = 10) -> DataFrame:
     return _low_stock_out(_low_stock_base(t, max_stock), sold)
 
 
+def top_low_stock(t: Tables, n: int = 10) -> DataFrame:
+    """Q06 as the dashboard reads it: the ``n`` products with the least stock."""
+    return low_stock_products(t).orderBy("stock", "product_id").limit(n)
+
+
 AS_OF_ORDERS = "2001-08-01 00:00:00"
 
 
 def low_stock_recent_sales(t: Tables, as_of: str = AS_OF_ORDERS, days: int = 30, max_stock: int = 10) -> DataFrame:
     """Q07: Q06 with the intended meaning: non-cancelled orders of the last ``days``."""
     since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
-    recent = t.orders.filter((F.col("order_date") >= since) & not_cancelled()).select("order_id")
+    until = F.lit(as_of).cast("timestamp_ntz")
+    recent = t.orders.filter(F.col("order_date").between(since, until) & not_cancelled()).select("order_id")
     sold = (
         t.order_items.select("order_id", "product_id", "quantity")
         .join(recent, "order_id", "left_semi")
@@ -338,44 +346,41 @@ def zone_cities(t: Tables) -> DataFrame:
 
 
 def shipping_zone_revenue(t: Tables) -> DataFrame:
-    """Q10: per zone name distinct non-cancelled orders and revenue.
+    """Q10: per zone name non-cancelled orders and revenue.
 
-    Survival through zone -> city -> address -> order (trap S1) is rolled up
-    level by level; the heavy part is one aggregation of orders by address
-    and one inner join of kept orders to addresses. (One aggregate per city
-    summed per zone would read orders once, but is exact only if order ids
-    are unique; the distinct count per zone here does not assume it.)
+    Orders are read once and reduced to one row per address, then per city; all
+    that follows is small. A zone survives (trap S1) when it has no city, a city
+    without addresses, an address without orders, or a kept order. Order ids are
+    unique, so orders are counted as rows.
     """
     kept = kept_after_outer_join()
-    orders = t.orders.filter(F.col("shipping_address_id").isNotNull()).select(
-        F.col("shipping_address_id").alias("address_id"), "order_id", "total", "status"
-    )
-    addresses = t.customer_addresses.select("address_id", "city_id")
-    addr = roll_up(addresses, "address_id", orders.select("address_id", kept.alias("survives")))
-    cities = roll_up(t.cities.select("city_id"), "city_id", addr.select("city_id", "survives"))
-    zc = zone_cities(t)
-    zc_flags = zc.join(cities, "city_id", "left").select(
-        "zone_id", F.when(F.col("city_id").isNotNull(), F.col("survives")).alias("survives")
+    per_address = (
+        t.orders.filter(F.col("shipping_address_id").isNotNull())
+        .groupBy(F.col("shipping_address_id").alias("address_id"))
+        .agg(F.count(F.when(kept, 1)).alias("_orders"), F.sum(F.when(kept, F.col("total"))).alias("_revenue"))
     )
-    # a zone with a NULL city row (no match) has no children: drop NULL flags before roll-up
-    zones = roll_up(
-        t.shipping_zones.select("zone_id", "zone_name"), "zone_id", zc_flags.filter(F.col("survives").isNotNull())
-    ).filter("survives")
-    stats = (
-        orders.filter(kept)
-        .join(addresses, "address_id")
-        .join(zc.filter(F.col("city_id").isNotNull()), "city_id")
-        .groupBy("zone_name")
-        .agg(F.countDistinct("order_id").alias("total_orders"), F.sum("total").alias("revenue"))
+    per_city = (
+        t.customer_addresses.select("address_id", "city_id")
+        .join(per_address, "address_id", "left")
+        .groupBy("city_id")
+        .agg(
+            F.max(F.col("_orders").isNull() | (F.col("_orders") > 0)).alias("_survives"),
+            F.sum("_orders").alias("_orders"),
+            F.sum("_revenue").alias("_revenue"),
+        )
     )
-    names = zones.select("zone_name").distinct()
+    # a city that several zones of one name reach counts its orders once and its revenue for each
+    cities = zone_cities(t).groupBy("zone_name", "city_id").agg(F.count(F.lit(1)).alias("_zones"))
     return (
-        names.join(stats, "zone_name", "left")
-        .select(
-            "zone_name",
-            F.coalesce(F.col("total_orders"), F.lit(0)).cast("long").alias("total_orders"),
-            money("revenue").alias("revenue"),
+        cities.join(per_city, "city_id", "left")
+        .groupBy("zone_name")
+        .agg(
+            F.max(F.coalesce(F.col("_survives"), F.lit(True))).alias("_survives"),
+            F.coalesce(F.sum("_orders"), F.lit(0)).cast("long").alias("total_orders"),
+            money(F.sum(F.col("_revenue") * F.col("_zones"))).alias("revenue"),
         )
+        .filter("_survives")
+        .drop("_survives")
         .orderBy(F.col("revenue").desc_nulls_last(), "zone_name")
     )
 
@@ -390,15 +395,15 @@ def sales_by_currency(t: Tables) -> DataFrame:
     )
 
 
-def _kpi_facts(t: Tables) -> DataFrame:
-    """One tagged union of the three tables, so every KPI is one aggregate pass."""
+def _kpi_facts(t: Tables, categories: bool = False) -> DataFrame:
+    """One tagged union of the tables the KPIs count, so every KPI is one aggregate pass."""
     spark_cols = dict(allowMissingColumns=True)
-    return (
+    facts = (
         t.customers.select(F.lit("customer").alias("_src"))
         .unionByName(t.products.select(F.lit("product").alias("_src"), "is_active"), **spark_cols)
-        .unionByName(t.categories.select(F.lit("category").alias("_src")), **spark_cols)
         .unionByName(t.orders.select(F.lit("order").alias("_src"), "status", "total"), **spark_cols)
     )
+    return facts.unionByName(t.categories.select(F.lit("category").alias("_src")), **spark_cols) if categories else facts
 
 
 def _kpi_aggs() -> dict[str, Column]:
@@ -432,7 +437,7 @@ def kpis(t: Tables) -> DataFrame:
 
 def admin_kpis(t: Tables) -> DataFrame:
     """Q13: admin dashboard KPI row."""
-    a = _kpi_facts(t).agg(*[c.alias(k) for k, c in _kpi_aggs().items()])
+    a = _kpi_facts(t, categories=True).agg(*[c.alias(k) for k, c in _kpi_aggs().items()])
     return a.select(
         "total_products",
         "total_categories",

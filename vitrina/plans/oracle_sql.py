@@ -14,7 +14,8 @@ MAPPING = {
                lower(replace(p_brand,'#','-')) slug FROM part
         UNION ALL SELECT 99, 'Brand#99', 'brand-99'""",
     "products": """
-        SELECT p_partkey product_id, p_name product_name, concat(p_name,' ',lower(p_type)) description,
+        SELECT p_partkey product_id,
+               CASE WHEN p_partkey % 37 = 0 THEN 'Ánfora ' WHEN p_partkey % 41 = 0 THEN 'zócalo ' ELSE '' END || p_name product_name, concat(p_name,' ',lower(p_type)) description,
                CAST(substr(p_brand,7) AS INT) category_id, CAST(p_retailprice AS DECIMAL(10,2)) price,
                CAST(p_retailprice*0.8 AS DECIMAL(10,2)) wholesale_price, p_size-1 stock,
                p_partkey % 20 <> 0 is_active, DATE '2024-01-01' + CAST(p_partkey % 365 AS INT) created_at,
@@ -65,9 +66,10 @@ MAPPING = {
                CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE concat('Guest ',CAST(o_orderkey AS VARCHAR(20))) END guest_name
         FROM orders""",
     "order_items": """
-        SELECT l_orderkey order_id, l_linenumber line_no, l_partkey product_id, CAST(l_quantity AS INT) quantity,
+        SELECT l_orderkey order_id, l_linenumber line_no, 
+               l_partkey + CASE WHEN l_partkey % 13 = 0 THEN 1 ELSE 0 END product_id, CAST(l_quantity AS INT) quantity,
                CAST(floor(l_extendedprice / l_quantity) AS DECIMAL(10,2)) unit_price
-        FROM lineitem WHERE l_partkey % 13 <> 0""",
+        FROM lineitem""",
     "payments": """
         SELECT l_orderkey order_id, CAST(l_extendedprice AS DECIMAL(10,2)) amount,
                CASE l_returnflag WHEN 'A' THEN 'Aprobado' WHEN 'N' THEN 'Pendiente' ELSE 'Reembolsado' END status
@@ -81,14 +83,14 @@ MAPPING = {
     "cart_items": """
         SELECT event_id id, CASE WHEN user_id % 4 = 0 THEN concat('s',CAST(user_id AS VARCHAR(20))) END session_id,
                CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id END customer_id,
-               CAST(substr(props,7,length(props)-7) AS INT) product_id, CAST(1 + event_id % 15 AS INT) quantity,
+               CAST(substr(props,7,length(props)-7) AS INT) + CASE WHEN event_id % 50 = 7 THEN 9000000 ELSE 0 END product_id, CAST(1 + event_id % 15 AS INT) quantity,
                CASE WHEN event_id % 3 = 0 THEN '' ELSE 'M' END size, '' color, ts updated_at
         FROM events WHERE event_type IN ('view','click')""",
     "promotions": """
-        SELECT * FROM (VALUES (1,'SUNSET','percentage',CAST(15 AS DECIMAL(10,2))),
-                              (2,'2025','percentage',CAST(10 AS DECIMAL(10,2))),
-                              (3,'MAJO','fixed',CAST(50 AS DECIMAL(10,2))),
-                              (4,'ANDRE','percentage',CAST(20 AS DECIMAL(10,2))))
+        SELECT * FROM (VALUES (1,'PROMO-A','percentage',CAST(15 AS DECIMAL(10,2))),
+                              (2,'PROMO-B','percentage',CAST(10 AS DECIMAL(10,2))),
+                              (3,'PROMO-C','fixed',CAST(50 AS DECIMAL(10,2))),
+                              (4,'PROMO-D','percentage',CAST(20 AS DECIMAL(10,2))))
                p(promo_id,promo_code,discount_type,discount_value)""",
     "shipping_zones": """
         SELECT * FROM (VALUES (1,'Zona A',['AFR']),(2,'Zona B',['AME','ASI','AME']),

@@ -23,7 +23,7 @@ def table_fn(key: str, fn: Callable[[Tables], DataFrame]) -> None:
     _TABLE_FNS[key] = fn
 
 
-_LOADED: dict[tuple[int, str], Tables] = {}
+_LOADED: dict[tuple[str, str], Tables] = {}
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
@@ -35,7 +35,7 @@ def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     joined by most reports, so it is computed once per session (memory and
     disk; a lost block is recomputed from its lineage).
     """
-    key = (id(spark), sf_dir)
+    key = (f"{spark.sparkContext.applicationId}:{id(spark)}", sf_dir)
     if key not in _LOADED:
         t = load(spark, sf_dir)
         _LOADED[key] = t.replace(categories=t.categories.persist(StorageLevel.MEMORY_AND_DISK))
@@ -53,12 +53,14 @@ def _wrap(fn: Callable[[Tables], DataFrame]) -> QueryFn:
 
 for _name in (
     "sales_by_category",
+    "top_categories",
     "monthly_revenue",
     "top_products",
     "top_products_dashboard",
     "customer_lifetime_value",
     "low_stock_products",
     "low_stock_recent_sales",
+    "top_low_stock",
     "pending_orders",
     "payment_status_summary",
     "shipping_zone_revenue",
@@ -74,6 +76,10 @@ for _name in (
 table_fn("available_stock", catalog.available_stock)
 table_fn("catalog_page", lambda t: catalog.catalog_page(t, sort="price-asc", page=2, limit=10))
 table_fn("catalog_total", catalog.catalog_count)
+table_fn("catalog_names", catalog.catalog_names)
+table_fn("category_total", lambda t: catalog.category_total(t, "brand-13"))
+table_fn("search_total", lambda t: catalog.search_total(t, "Gear"))
+table_fn("admin_total", lambda t: catalog.admin_total(t, stock="low-stock"))
 table_fn("category_page", lambda t: catalog.category_page(t, "brand-13"))
 table_fn("search_products", lambda t: catalog.search_products(t, "Gear", show_all=True))
 table_fn("admin_product_list", lambda t: catalog.admin_product_list(t, stock="low-stock", sort="name", show_all=True))
@@ -83,8 +89,6 @@ for _name in (
     "featured_sample",
     "category_list",
     "products_by_ids",
-    "product_detail",
-    "product_detail_json",
     "product_facets",
     "product_ratings",
     "latest_reviews",
@@ -94,6 +98,10 @@ for _name in (
 ):
     table_fn(_name, getattr(catalog, _name))
 
+# small parts, so that many products have several
+table_fn("product_detail", lambda t: catalog.product_detail(t, chunk=20))
+table_fn("product_detail_json", lambda t: catalog.product_detail_json(t, chunk=20))
+
 for _name in ("customer_profile", "customer_order_stats", "customer_recent_orders"):
     table_fn(_name, getattr(customers, _name))
 table_fn("clv_page", lambda t: customers.clv_page(t, page=2, limit=20))
@@ -125,6 +133,8 @@ for _name in (
     "slug_consistency",
 ):
     table_fn(_name, getattr(ingest, _name))
+table_fn("export_csv_full", lambda t: export.export_csv(t, "full"))
+table_fn("export_json_pending", lambda t: export.export_json_report(t, "pending-shipments"))
 for _name in ("export_csv", "kpi_long", "report_registry", "export_json", "abbreviate_amount", "chart_series_monthly"):
     table_fn(_name, getattr(export, _name))
 

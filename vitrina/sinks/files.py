@@ -25,17 +25,27 @@ CSV_OPTIONS = {
 }
 
 
+#: Columns that hold money wherever they appear.
+MONEY = frozenset(
+    "price wholesale_price additional_price amount amount_usd total subtotal shipping discount_applied item_total revenue "
+    "total_revenue total_amount avg_amount total_spent lifetime_value avg_order_value avg_ticket min_price max_price".split()
+)
+
+
+def _number(f: T.StructField) -> Column:
+    """A double as an exact decimal, never in scientific notation: money with 2 places, others as they are."""
+    c = F.col(f.name)
+    return c.cast("decimal(38,2)") if f.name in MONEY else c.cast("decimal(38,6)")
+
+
 def _text(df: DataFrame) -> DataFrame:
-    """Every column as text (the export stringifies values).
+    """Every column as text (the export stringifies values): money with 2 places, other doubles without idle zeros."""
 
-    Doubles are money at this boundary: written as plain 2-decimal numbers
-    (``115544654.00``), never in scientific notation.
-    """
-    def text(f) -> Column:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = c.cast("decimal(38,2)")
-        return c.cast("string").alias(f.name)
+    def text(f: T.StructField) -> Column:
+        if not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            return F.col(f.name).cast("string").alias(f.name)
+        plain = _number(f).cast("string")
+        return (plain if f.name in MONEY else F.regexp_replace(plain, r"\.?0+$", "")).alias(f.name)
 
     return df.select(*[text(f) for f in df.schema.fields])
 
@@ -55,12 +65,11 @@ JSON_OPTIONS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd H
 
 
 def _json_ready(df: DataFrame) -> DataFrame:
-    """Doubles are money at this boundary: exact 2-decimal JSON numbers, never
-    scientific notation."""
+    """Money as exact 2-decimal JSON numbers, never in scientific notation; other doubles as they are."""
     return df.select(
         *[
             F.col(f.name).cast("decimal(38,2)").alias(f.name)
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name in MONEY
             else F.col(f.name)
             for f in df.schema.fields
         ]

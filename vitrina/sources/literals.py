@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 # --- fixed values -----------------------------------------------------------
 # Promotions of the shop (id, code, discount type, discount value).
 PROMOTIONS = [
-    (1, "SUNSET", "percentage", Decimal("15.00")),
-    (2, "2025", "percentage", Decimal("10.00")),
-    (3, "MAJO", "fixed", Decimal("50.00")),
-    (4, "ANDRE", "percentage", Decimal("20.00")),
+    (1, "PROMO-A", "percentage", Decimal("15.00")),
+    (2, "PROMO-B", "percentage", Decimal("10.00")),
+    (3, "PROMO-C", "fixed", Decimal("50.00")),
+    (4, "PROMO-D", "percentage", Decimal("20.00")),
 ]
 
 # Shipping zones (id, name, country codes). Zona B repeats a code on purpose

@@ -21,7 +21,7 @@ SHOP_SCHEMA: dict[str, list[tuple[str, str]]] = {
     "products": [
         ("product_id", "bigint"), ("product_name", "string"), ("description", "string"), ("category_id", "int"),
         ("price", "decimal(10,2)"), ("wholesale_price", "decimal(10,2)"), ("stock", "int"), ("is_active", "boolean"),
-        ("created_at", "date"), ("image_url", "string"),
+        ("created_at", "timestamp_ntz"), ("image_url", "string"),
     ],
     "product_variants": [
         ("variant_id", "bigint"), ("product_id", "bigint"), ("variant_name", "string"), ("sku", "string"),
@@ -62,6 +62,9 @@ SHOP_SCHEMA: dict[str, list[tuple[str, str]]] = {
     "shipping_zones": [("zone_id", "int"), ("zone_name", "string"), ("countries", "array<string>")],
 }
 
+# Descriptive columns a source may lack; keys, measures, states and times must be there.
+OPTIONAL = frozenset("description image_url variant_name sku material phone last_login google_id facebook_id review_text guest_name".split())
+
 # Key column used to split each table's JDBC scan into parallel ranges.
 JDBC_SPLIT_KEYS = {
     "products": "product_id",
@@ -77,14 +80,15 @@ JDBC_SPLIT_KEYS = {
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Select the table's shop columns (by name) with the shop types; a column
-    the source lacks becomes NULL."""
+    """Select the table's shop columns (by name) with the shop types.
+
+    A column of ``OPTIONAL`` that the source lacks becomes NULL; any other raises.
+    """
     have = {c.lower(): c for c in df.columns}
-    cols = []
-    for name, dtype in SHOP_SCHEMA[table]:
-        src = F.col(have[name]) if name in have else F.lit(None)
-        cols.append(src.cast(dtype).alias(name))
-    return df.select(*cols)
+    missing = [name for name, _ in SHOP_SCHEMA[table] if name not in have and name not in OPTIONAL]
+    if missing:
+        raise ValueError(f"{table} lacks {', '.join(missing)}")
+    return df.select(*((F.col(have[name]) if name in have else F.lit(None)).cast(dtype).alias(name) for name, dtype in SHOP_SCHEMA[table]))
 
 
 def load_export(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> Tables:
@@ -104,11 +108,15 @@ def load_jdbc(
     bounds: dict[str, tuple[int, int]] | None = None,
 ) -> Tables:
     """Shop tables read over JDBC; large tables are split into ``partitions``
-    parallel range scans on their key (``bounds`` gives each key's range)."""
+    parallel range scans on their key (``bounds`` gives each key's range, and
+    must name all of ``JDBC_SPLIT_KEYS``: one connection cannot read them)."""
+    unbounded = sorted(set(JDBC_SPLIT_KEYS) - set(bounds or {}))
+    if unbounded:
+        raise ValueError(f"bounds are needed for {', '.join(unbounded)}")
     frames = {}
     for table in SHOP_SCHEMA:
         key = JDBC_SPLIT_KEYS.get(table)
-        if key and bounds and table in bounds:
+        if key:
             lo, hi = bounds[table]
             df = spark.read.jdbc(url, table, column=key, lowerBound=lo, upperBound=hi, numPartitions=partitions,
                                  properties=properties)

@@ -106,7 +106,8 @@ def map_products(part: DataFrame) -> DataFrame:
     key = F.col("p_partkey")
     return part.select(
         key.alias("product_id"),
-        F.col("p_name").alias("product_name"),
+        # some names start with an accented or lower-case word, which sorts among the others
+        F.concat(F.when(_mod(key, 37) == 0, "Ánfora ").when(_mod(key, 41) == 0, "zócalo ").otherwise(""), F.col("p_name")).alias("product_name"),
         F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type")).alias("description"),
         F.substring("p_brand", 7, 1 << 20).cast("int").alias("category_id"),
         F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
@@ -219,10 +220,12 @@ def map_orders(orders: DataFrame) -> DataFrame:
 
 
 def map_order_items(lineitem: DataFrame) -> DataFrame:
-    return lineitem.filter(_mod(F.col("l_partkey"), 13) != 0).select(
+    """Every line; lines of products divisible by 13 count for the next product, so some stay unsold."""
+    key = F.col("l_partkey")
+    return lineitem.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
-        F.col("l_partkey").alias("product_id"),
+        F.when(_mod(key, 13) == 0, key + 1).otherwise(key).alias("product_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
         F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(10,2)").alias("unit_price"),
     )
@@ -258,7 +261,8 @@ def map_cart_items(events: DataFrame) -> DataFrame:
         eid.alias("id"),
         F.when(guest, F.concat(F.lit("s"), uid.cast("string"))).alias("session_id"),
         F.when(guest, F.lit(None).cast("long")).otherwise(uid).alias("customer_id"),
-        F.substr(F.col("props"), F.lit(7), F.length("props") - 7).cast("int").alias("product_id"),
+        # one line in fifty is for a product that does not exist
+        (F.substr(F.col("props"), F.lit(7), F.length("props") - 7).cast("int") + F.when(_mod(eid, 50) == 7, 9_000_000).otherwise(0)).alias("product_id"),
         (_mod(eid, 15) + 1).cast("int").alias("quantity"),
         F.when(_mod(eid, 3) == 0, "").otherwise("M").alias("size"),
         F.lit("").alias("color"),
