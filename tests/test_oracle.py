@@ -27,8 +27,7 @@ def test_rows_only_queries_run(spark, key):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    # only nested / random / file-format outputs go without an oracle
-    assert set(QUERIES) - set(ORACLES) == {"product_detail"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_smoke(spark):

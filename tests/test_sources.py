@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from tests.conftest import SF0001
 from vitrina.operators import catalog, reports
 from vitrina.plans.registry import tables_for
@@ -21,13 +23,21 @@ def test_export_round_trip_gives_same_reports(spark, tmp_path):
         assert sorted(fn(back).collect()) == sorted(fn(t).collect())
 
 
-def test_missing_source_columns_become_null(spark, tmp_path):
-    spark.createDataFrame([(1, "Jade", "jade", "extra")], "category_id int, category_name string, slug string, x string") \
-        .write.parquet(str(tmp_path / "cats"))
-    from vitrina.sources.shop import conform
+def test_missing_source_columns(spark):
+    from vitrina.sources.shop import conform, load_jdbc
 
-    df = conform(spark.read.parquet(str(tmp_path / "cats")), "categories")
+    df = conform(spark.createDataFrame([(1, "Jade", "jade", "extra")], "category_id int, category_name string, slug string, x string"), "categories")
     assert df.columns == ["category_id", "category_name", "slug"]
-    prods = conform(spark.createDataFrame([(1, "a")], "product_id long, product_name string"), "products")
-    row = prods.collect()[0]
-    assert row.product_id == 1 and row.price is None and prods.schema["price"].dataType.simpleString() == "decimal(10,2)"
+    items = "order_id long, line_no int, product_id long, quantity int, unit_price double"
+    assert conform(spark.createDataFrame([(1, 1, 1, 1, 2.5)], items), "order_items").schema["unit_price"].dataType.simpleString() == "decimal(10,2)"
+    with pytest.raises(ValueError, match="price"):
+        conform(spark.createDataFrame([(1, "a")], "product_id long, product_name string"), "products")
+    with pytest.raises(ValueError, match="orders"):
+        load_jdbc(spark, "jdbc:none", {})
+
+
+def test_creation_time_keeps_its_hour(spark):
+    from vitrina.sources.shop import SHOP_SCHEMA, conform
+
+    row = spark.range(1).selectExpr(*(f"TIMESTAMP_NTZ'2024-01-02 03:04:05' AS {c}" if c == "created_at" else f"CAST(NULL AS {k}) AS {c}" for c, k in SHOP_SCHEMA["products"]))
+    assert conform(row, "products").first().created_at.hour == 3

@@ -240,32 +240,42 @@ def test_s17_cart_merge(spark):
         cart_items=[
             {"id": 100, "customer_id": 7, "product_id": 1, "quantity": 10, "size": "M", "color": ""},
             {"id": 101, "customer_id": 7, "product_id": 2, "quantity": 1, "size": None, "color": ""},
+            {"id": 102, "customer_id": 7, "product_id": 1, "quantity": 2, "size": "N", "color": ""},
         ],
     )
     batch = spark.createDataFrame(
         [
-            (7, 1, "M", "", 9),   # existing: min(10+9, 15, 20) = 15
-            (7, 1, "S", "", 20),  # new single insert above 15 -> CHECK -> reject
-            (7, 2, "", "", 3),    # new key, under stock 4 -> 3
-            (7, 2, "", "", 3),    # repeated -> min(6, 15, 4) = 4
-            (7, 2, None, "", 1),  # NULL size never matches the existing NULL-size line -> insert
-            (7, 3, "", "", 1),    # stock 0 -> 0 -> reject
-            (7, 4, "", "", 1),    # inactive
-            (7, 9, "", "", 1),    # unknown
+            (7, 1, "M", "", 9, 1),     # existing: min(10 + 9, 15, 20) = 15
+            (7, 1, "S", "", 20, 2),    # a new line above 15 breaks the CHECK
+            (7, 1, "S", "", 3, 3),     # the next one starts the line
+            (7, 1, "S", "", 20, 4),    # and now 20 more are capped
+            (7, 2, "", "", 3, 5),      # new key, under stock 4 -> 3
+            (7, 2, "", "", 3, 6),      # repeated -> min(6, 15, 4) = 4
+            (7, 2, None, "", 1, 7),    # NULL size never matches the existing NULL-size line
+            (7, 2, None, "", 2, 8),    # nor the line just inserted
+            (7, 3, "", "", 1, 9),      # stock 0 -> 0 -> reject
+            (7, 4, "", "", 1, 10),     # inactive
+            (7, 9, "", "", 1, 11),     # unknown
+            (7, 1, "N", "", None, 12),  # missing and negative quantities leave a line alone
+            (7, 1, "N", "", -1, 13),
+            (7, 1, "O", "", None, 14),
         ],
-        "customer_id long, product_id long, size string, color string, quantity int",
+        "customer_id long, product_id long, size string, color string, quantity int, arrival long",
     )
-    out = {(r.product_id, r.size): r.asDict() for r in carts.cart_merge(t, batch).collect()}
-    assert out[(1, "M")]["action"] == "update" and out[(1, "M")]["new_quantity"] == 15 and out[(1, "M")]["line_id"] == 100
-    assert out[(1, "S")]["action"] == "reject"
-    assert out[(2, "")]["action"] == "insert" and out[(2, "")]["new_quantity"] == 4
-    assert out[(2, None)]["action"] == "insert" and out[(2, None)]["new_quantity"] == 1
-    assert out[(3, "")]["action"] == "reject"
-    assert out[(4, "")]["reason"] == "inactive product"
-    assert out[(9, "")]["reason"] == "unknown product"
+    rows = carts.cart_merge(t, batch).collect()
+    out = {(r.product_id, r.size): r for r in rows if r.size is not None}
+    assert (out[(1, "M")].action, out[(1, "M")].new_quantity, out[(1, "M")].line_id) == ("update", 15, 100)
+    assert (out[(1, "S")].action, out[(1, "S")].new_quantity, out[(1, "S")].requests, out[(1, "S")].accepted) == ("insert", 15, 3, 2)
+    assert (out[(2, "")].action, out[(2, "")].new_quantity) == ("insert", 4)
+    assert sorted(r.new_quantity for r in rows if r.size is None) == [1, 2]
+    assert out[(3, "")].action == "reject"
+    assert out[(4, "")].reason == "inactive product"
+    assert out[(9, "")].reason == "unknown product"
+    assert (out[(1, "N")].action, out[(1, "N")].old_quantity, out[(1, "N")].new_quantity) == ("reject", 2, None)
+    assert (out[(1, "O")].action, out[(1, "O")].reason) == ("reject", "invalid quantity")
     empty = spark.createDataFrame([], "customer_id long, product_id long, size string, color string, quantity int")
     assert carts.cart_merge(t, empty).count() == 0
-    assert sorted(carts.cart_merge_snapshot(t, empty).collect()) == sorted(t.cart_items.collect())
+    assert sorted(map(str, carts.cart_merge_snapshot(t, empty).collect())) == sorted(map(str, t.cart_items.collect()))
 
 
 # pricing
@@ -364,13 +374,11 @@ def test_product_detail_splits_long_lists(spark):
             for i in range(1, 21)
         ],
     )
-    rows = catalog.product_detail(t, chunk=5).collect()
-    assert len(rows) >= 2 and all(r.product_id == 1 for r in rows)
-    ids = [x.review_id for r in rows for x in r.reviews]
-    assert sorted(ids) == list(range(1, 21))
-    for r in rows:  # newest first inside each part
-        stamps = [x.created_at for x in r.reviews]
-        assert stamps == sorted(stamps, reverse=True)
+    rows = sorted(catalog.product_detail_parts(t, chunk=6).collect(), key=lambda r: r.part)
+    assert [len(r.reviews) for r in rows] == [6, 6, 6, 2] and [r.part for r in rows] == [0, 1, 2, 3]
+    assert [x.review_id for r in rows for x in r.reviews] == list(range(20, 0, -1))  # the parts are the list
+    one = spark.createDataFrame([(1,), (5,)], "product_id long")
+    assert catalog.product_detail_parts(t, chunk=100, ids=one).count() == 1
 
 
 # Mixed currencies are added as the shop does; per-currency split and USD view

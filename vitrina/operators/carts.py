@@ -10,7 +10,7 @@ per-request results; ``*_snapshot`` functions return the cart after the job
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import money
@@ -28,13 +28,14 @@ REASON_INACTIVE = "inactive product"
 REASON_RANGE = "quantity out of range"
 REASON_INVALID = "invalid quantity"
 REASON_NOT_FOUND = "item not found"
+REASON_FULL = "cart holds the most products"
 OWNER_CUSTOMER = "customer"
 OWNER_SESSION = "session"
 AS_OF_CARTS = "2024-02-15 00:00:00"
 RETENTION_DAYS = 30
 # ---------------------------------------------------------------------------
 
-KEY = ["customer_id", "product_id", "size", "color"]
+KEY = ["owner_type", "owner_id", "product_id", "size", "color"]
 
 
 def owner_type() -> Column:
@@ -46,16 +47,17 @@ def owner_id() -> Column:
 
 
 def line_owners(cart: DataFrame) -> DataFrame:
-    """(id, owner_type, owner_id, quantity, product_id) for every identity that owns a cart line.
+    """(id, owner_type, owner_id, quantity, product_id, size, color) for every identity that owns a cart line.
 
     A line may carry both a customer and a session id; it answers to both.
     """
-    cart = cart.select("id", "customer_id", "session_id", "quantity", "product_id")
+    columns = ["id", "quantity", "product_id", "size", "color"]
+    cart = cart.select("customer_id", "session_id", *columns)
     by_customer = cart.filter(F.col("customer_id").isNotNull()).select(
-        "id", "quantity", "product_id", F.lit(OWNER_CUSTOMER).alias("owner_type"), F.col("customer_id").cast("string").alias("owner_id")
+        *columns, F.lit(OWNER_CUSTOMER).alias("owner_type"), F.col("customer_id").cast("string").alias("owner_id")
     )
     by_session = cart.filter(F.col("session_id").isNotNull()).select(
-        "id", "quantity", "product_id", F.lit(OWNER_SESSION).alias("owner_type"), F.col("session_id").alias("owner_id")
+        *columns, F.lit(OWNER_SESSION).alias("owner_type"), F.col("session_id").alias("owner_id")
     )
     return by_customer.unionByName(by_session)
 
@@ -116,88 +118,170 @@ def cart_distinct_products(t: Tables) -> DataFrame:
     )
 
 
+def _asked(quantity: Column, number: Column) -> Column:
+    """Quantities of a derived batch: some are missing, negative or above the limit."""
+    turn = number % 20
+    return F.when(turn == 3, F.lit(None)).when(turn == 7, -1).when(turn == 11, 20).otherwise(quantity).cast("int")
+
+
 def guest_sync_batch(t: Tables) -> DataFrame:
     """Guest cart lines handed to the account of the same user at login.
 
     Sessions are named ``s<user id>``; the batch has the sync request shape
-    (customer_id, product_id, size, color, quantity).
+    (customer_id, product_id, size, color, quantity) and an ``arrival`` order.
     """
     return t.cart_items.filter(F.col("session_id").isNotNull()).select(
         F.substring("session_id", 2, 1 << 20).cast("long").alias("customer_id"),
         "product_id",
         "size",
         "color",
-        "quantity",
+        _asked(F.col("quantity"), F.col("id")).alias("quantity"),
+        F.col("id").alias("arrival"),
     )
 
 
-def _existing_lines(t: Tables) -> DataFrame:
-    """Per customer cart key: the line the shop would update (lowest id) and its quantity."""
-    return (
-        t.cart_items.filter(F.col("customer_id").isNotNull())
-        .groupBy(*KEY)
-        .agg(F.min("id").alias("line_id"), F.min_by("quantity", "id").alias("old_quantity"))
+def add_batch(t: Tables) -> DataFrame:
+    """Additions by every owner, guests too: each cart line again, of it or of one of the next products."""
+    return t.cart_items.select(
+        "customer_id",
+        "session_id",
+        (F.col("product_id") + F.col("id") % 3).alias("product_id"),
+        "size",
+        "color",
+        _asked(F.col("quantity"), F.col("id")).alias("quantity"),
+        F.col("id").alias("arrival"),
     )
 
 
-def cart_merge(t: Tables, batch: DataFrame | None = None) -> DataFrame:
-    """Q40: merge a batch of cart additions into customer carts (the login sync).
-
-    Per key: unknown or inactive product -> skip; an existing line becomes
-    least(old + Σ added, 15, stock); a new line is least(added, stock) (no
-    15 cap on a single insert, as in the shop) and least(Σ, 15, stock) when
-    the key repeats in the batch. A result outside 1..15, or a new key with
-    an added quantity outside 1..15, would break the table's CHECK and is
-    rejected. ``size``/``color`` match by equality, so NULL never matches.
+def _requests(batch: DataFrame) -> DataFrame:
+    """Requests (owner_type, owner_id, product_id, size, color, quantity, at, alone).
+
+    ``at`` is the arrival order; without an ``arrival`` column it is arbitrary but
+    fixed. A NULL size or color equals nothing, so such a request is ``alone``.
     """
-    if batch is None:
-        batch = guest_sync_batch(t)
-    req = batch.groupBy(*KEY).agg(
-        F.sum("quantity").alias("_added"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min("quantity").alias("_qmin"),
-        F.max("quantity").alias("_qmax"),
+    if "session_id" not in batch.columns:
+        batch = batch.withColumn("session_id", F.lit(None).cast("string"))
+    values = ["customer_id", "session_id", "product_id", "size", "color", "quantity"]
+    at = F.col("arrival") if "arrival" in batch.columns else F.xxhash64(*values)
+    return batch.select(
+        owner_type().alias("owner_type"),
+        owner_id().alias("owner_id"),
+        F.col("product_id").cast("long").alias("product_id"),
+        "size",
+        "color",
+        F.col("quantity").cast("int").alias("quantity"),
+        at.cast("long").alias("at"),
+        F.when(F.col("size").isNull() | F.col("color").isNull(), F.struct(at.alias("at"), F.xxhash64(*values).alias("h"))).alias("alone"),
+    )
+
+
+def _merged(t: Tables, batch: DataFrame, limited: bool, top: int | None) -> DataFrame:
+    """Per cart key, what the shop does with the requests one after the other.
+
+    A line takes min(old + quantity, 15, stock) with each request. As quantities are
+    positive, after several that is min(old + sum, 15, stock). A line that does not
+    exist is born with the first request that leaves 1 to 15 units; those before it
+    fail. With ``limited``, an owner's requests end with the one that brings the cart
+    to ``MAX_CART_PRODUCTS`` products: that is the birth of the last new product the
+    cart has room for, so only the first births of each owner are ranked.
+    """
+    req = _requests(batch)
+    lines = (
+        line_owners(t.cart_items)
+        .withColumn("product_id", F.col("product_id").cast("long"))
+        .groupBy(*KEY)
+        .agg(F.min("id").alias("line_id"), F.min_by("quantity", "id").alias("old_quantity"))
     )
     products = t.products.select("product_id", F.col("stock").alias("_stock"), F.col("is_active").alias("_active"))
-    rows = req.join(products, "product_id", "left").join(_existing_lines(t), KEY, "left")
+    rows = req.join(products, "product_id", "left").join(lines, KEY, "left")
+    q, stock, cap = F.col("quantity"), F.col("_stock"), F.lit(MAX_LINE_QTY)
     exists = F.col("line_id").isNotNull()
-    cap = F.lit(MAX_LINE_QTY)
-    new_qty = (
-        F.when(exists, F.least(F.col("old_quantity") + F.col("_added"), cap, F.col("_stock")))
-        .when(F.col("_n") == 1, F.least(F.col("_added"), F.col("_stock")))
-        .otherwise(F.least(F.col("_added"), cap, F.col("_stock")))
+    invalid = q.isNull() | (q < 1) | ((q > cap) if top else F.lit(False))
+    usable = ~invalid & F.coalesce(F.col("_active"), F.lit(False))
+    first = F.least(q, stock)
+    rows = rows.withColumn("_fits", usable & F.when(exists, stock >= 1).otherwise((first >= 1) & (first <= cap)))
+    births = rows.filter("_fits AND line_id IS NULL").groupBy(*KEY, "alone").agg(F.min("at").alias("_birth"))
+    over = F.lit(False)
+    if limited:
+        owner = ["owner_type", "owner_id"]
+        held = line_owners(t.cart_items).select(*owner, F.col("product_id").cast("long").alias("product_id")).distinct()
+        new = births.groupBy(*owner, "product_id").agg(F.min("_birth").alias("_birth")).join(held, [*owner, "product_id"], "left_anti")
+        place = F.row_number().over(Window.partitionBy(*owner).orderBy("_birth", "product_id"))
+        ranked = new.withColumn("_place", place).filter(F.col("_place") <= top)
+        counts = held.groupBy(*owner).agg(F.count(F.lit(1)).alias("_held"))
+        last = (
+            ranked.join(counts, owner, "left")
+            .filter(F.col("_place") == top - F.coalesce(F.col("_held"), F.lit(0)))
+            .select(*owner, F.col("_birth").alias("_last"))
+        )
+        full = counts.filter(F.col("_held") >= top).select(*owner, F.lit(-(1 << 62)).alias("_last"))
+        rows = rows.join(last.unionByName(full), owner, "left")
+        over = F.coalesce(F.col("at") > F.col("_last"), F.lit(False))
+    b = births.select(*(F.col(c).alias(f"b_{c}") for c in [*KEY, "alone"]), "_birth")
+    same = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in [*KEY, "alone"]]
+    rows = rows.withColumn("_over", over).join(b, same, "left")
+    counted = usable & ~F.col("_over") & F.when(exists, stock >= 1).otherwise(F.col("at") >= F.col("_birth"))
+    rows = rows.withColumn("_counted", F.coalesce(counted, F.lit(False)))
+    reason = (
+        F.when(F.lit(bool(top)) & invalid, REASON_INVALID)
+        .when(F.col("_over"), REASON_FULL)
+        .when(F.col("_active").isNull(), REASON_UNKNOWN)
+        .when(~F.col("_active"), REASON_INACTIVE)
+        .when(invalid, REASON_INVALID)
+        .otherwise(REASON_RANGE)
     )
-    unknown = F.col("_active").isNull()
-    inactive = ~F.col("_active")
-    bad_input = ~exists & ((F.col("_qmin") < 1) | (F.col("_qmax") > MAX_LINE_QTY))
-    out_of_range = bad_input | (new_qty < 1) | (new_qty > MAX_LINE_QTY)
-    action = (
-        F.when(unknown | inactive, ACTION_SKIP)
-        .when(out_of_range, ACTION_REJECT)
-        .when(exists, ACTION_UPDATE)
-        .otherwise(ACTION_INSERT)
+    got = rows.withColumn("_reason", reason).groupBy(*KEY, "alone").agg(
+        F.min("line_id").alias("line_id"),
+        F.min("old_quantity").alias("old_quantity"),
+        F.min("_stock").alias("_stock"),
+        F.count(F.lit(1)).cast("long").alias("requests"),
+        F.count(F.when(F.col("_counted"), 1)).cast("long").alias("accepted"),
+        F.sum(F.when(F.col("_counted"), q)).alias("_added"),
+        F.max_by("_reason", F.struct("at", "quantity")).alias("_reason"),
     )
-    reason = F.when(unknown, REASON_UNKNOWN).when(inactive, REASON_INACTIVE).when(out_of_range, REASON_RANGE)
-    return rows.select(
+    taken = F.col("accepted") > 0
+    new_quantity = F.least(F.coalesce(F.col("old_quantity"), F.lit(0)) + F.col("_added"), cap, F.col("_stock"))
+    skipped = F.col("_reason").isin(REASON_UNKNOWN, REASON_INACTIVE)
+    return got.select(
         *KEY,
         "line_id",
         F.col("old_quantity").cast("int").alias("old_quantity"),
-        F.when(~(unknown | inactive) & ~out_of_range, new_qty).cast("int").alias("new_quantity"),
-        action.alias("action"),
-        reason.alias("reason"),
+        F.when(taken, new_quantity).cast("int").alias("new_quantity"),
+        "requests",
+        "accepted",
+        F.when(taken & exists, ACTION_UPDATE).when(taken, ACTION_INSERT).when(skipped, ACTION_SKIP).otherwise(ACTION_REJECT).alias("action"),
+        F.when(~taken, F.col("_reason")).alias("reason"),
     )
 
 
+def cart_merge(t: Tables, batch: DataFrame | None = None) -> DataFrame:
+    """Q40: merge a batch into carts as the login sync does, request after request.
+
+    Per owner and key: the line, its quantity before and after, the requests and how
+    many of them counted, and an action; a key none of whose requests counted has the
+    last one's reason. Unknown and inactive products are skipped, missing quantities
+    and those below 1 rejected; a new line would break the table's CHECK if it
+    started outside 1..15.
+    """
+    return _merged(t, guest_sync_batch(t) if batch is None else batch, limited=False, top=None)
+
+
+def cart_add(t: Tables, batch: DataFrame | None = None, max_products: int = MAX_CART_PRODUCTS) -> DataFrame:
+    """Q40 for single additions, of customers and guests: as ``cart_merge``, but a quantity must be 1..15
+    and a cart that holds ``max_products`` products takes nothing more, not even of those."""
+    return _merged(t, add_batch(t) if batch is None else batch, limited=True, top=max_products)
+
+
 def cart_merge_snapshot(
-    t: Tables, batch: DataFrame | None = None, batch_tag: int | None = None, now: str | None = None
+    t: Tables, batch: DataFrame | None = None, batch_tag: int | None = None, now: str | None = None, result: DataFrame | None = None
 ) -> DataFrame:
-    """Cart after ``cart_merge``: updated lines replaced, inserted lines appended.
+    """Cart after ``cart_merge`` (or after ``result`` of it or of ``cart_add``): updated lines replaced, inserted lines appended.
 
     New lines get id NULL, or, with ``batch_tag``, a negative id hashed from
     (tag, cart key): the same batch always yields the same ids, so a retried
     micro-batch rewrites an identical snapshot. ``now`` stamps touched lines.
     """
-    res = cart_merge(t, batch)
+    res = cart_merge(t, batch) if result is None else result
     stamp = F.lit(now).cast("timestamp_ntz") if now else None
     updates = res.filter(F.col("action") == ACTION_UPDATE).select(F.col("line_id").alias("id"), F.col("new_quantity").alias("_newq"))
     kept = t.cart_items.join(updates, "id", "left").withColumn(
@@ -211,9 +295,11 @@ def cart_merge_snapshot(
         if batch_tag is None
         else -F.abs(F.xxhash64(F.lit(batch_tag), *[F.col(c) for c in KEY])) - 1
     )
+    of = lambda kind: F.when(F.col("owner_type") == kind, F.col("owner_id"))
     inserts = res.filter(F.col("action") == ACTION_INSERT).select(
-        new_id.alias("id"), F.lit(None).cast("string").alias("session_id"),
-        "customer_id", "product_id", F.col("new_quantity").alias("quantity"), "size", "color",
+        new_id.alias("id"), of(OWNER_SESSION).alias("session_id"), of(OWNER_CUSTOMER).cast("long").alias("customer_id"),
+        F.col("product_id").cast(t.cart_items.schema["product_id"].dataType).alias("product_id"),
+        F.col("new_quantity").alias("quantity"), "size", "color",
         (stamp if stamp is not None else F.lit(None).cast("timestamp_ntz")).alias("updated_at"),
     )
     return kept.unionByName(inserts)

@@ -8,7 +8,9 @@ row. Registered instances derive their batch from the shop tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import money
@@ -55,172 +57,227 @@ def product_form_batch(t: Tables) -> DataFrame:
     )
 
 
+def _form_values() -> dict[str, Column]:
+    """The columns a product form sets, as the shop stores them (see ``clean_products``)."""
+    image = F.trim(F.col("image_url"))
+    return {
+        "product_name": F.trim(F.col("product_name")),
+        "description": F.coalesce(F.trim(F.col("description")), F.lit("")),
+        "price": F.trim(F.col("price")).try_cast("decimal(10,2)"),
+        "stock": F.coalesce(F.trim(F.col("stock")).try_cast("int"), F.lit(0)),
+        "category_id": F.trim(F.col("category_id")).try_cast("int"),
+        "is_active": F.coalesce(F.col("is_active") == "true", F.lit(False)),
+        "image_url": F.when(image != "", image),
+    }
+
+
 def clean_products(t: Tables, batch: DataFrame | None = None) -> DataFrame:
     """Q50: validate and normalise product form input.
 
     Required: name, price, category (a missing or zero price counts as
     missing, trap S19); price and category must parse completely (no numeric
     prefixes); stock defaults to 0; description trimmed or ''; image trimmed
-    or NULL; ``is_active`` is true only for 'true'. Negative price or stock
-    breaks the table's CHECK and is rejected.
+    or NULL; ``is_active`` is true only for 'true'. An unknown category breaks the
+    foreign key, a negative price or stock the table's CHECK: both are rejected.
     """
     if batch is None:
         batch = product_form_batch(t)
-    price_txt = F.trim(F.col("price"))
-    price = price_txt.try_cast("decimal(10,2)")
-    cat = F.trim(F.col("category_id")).try_cast("int")
-    stock = F.coalesce(F.trim(F.col("stock")).try_cast("int"), F.lit(0))
+    values = _form_values()
+    price, cat, stock = values["price"], values["category_id"], values["stock"]
+    known = t.categories.select(F.col("category_id").alias("_known")).distinct()
+    batch = batch.join(known, cat == F.col("_known"), "left")
     missing = _blank(F.col("product_name")) | _blank(F.col("price")) | _blank(F.col("category_id")) | (price == 0) | (cat == 0)
     reason = (
         F.when(missing, REASON_REQUIRED)
         .when(price.isNull(), REASON_PRICE)
         .when(cat.isNull(), REASON_CATEGORY)
+        .when(F.col("_known").isNull(), REASON_CATEGORY)
         .when((price < 0) | (stock < 0), REASON_NEGATIVE)
     )
-    image = F.trim(F.col("image_url"))
     return batch.select(
         "form_id",
-        F.trim(F.col("product_name")).alias("product_name"),
-        F.coalesce(F.trim(F.col("description")), F.lit("")).alias("description"),
-        money(price).alias("price"),
-        stock.alias("stock"),
-        cat.alias("category_id"),
-        F.coalesce(F.col("is_active") == "true", F.lit(False)).alias("is_active"),
-        F.when(image != "", image).alias("image_url"),
+        *((money(c) if name == "price" else c).alias(name) for name, c in values.items()),
         F.when(reason.isNull(), ACCEPTED).otherwise(REJECTED).alias("status"),
         reason.alias("reason"),
     )
 
 
+#: Columns that a product update or creation sets.
+PRODUCT_VALUES = ["product_name", "description", "price", "stock", "category_id", "is_active", "image_url"]
+
+
 def product_change_batch(t: Tables) -> DataFrame:
-    """Change set derived from the catalog: accepted form posts update their
-    product (newer price = form price), never-sold products are deleted."""
+    """Change set derived from the catalog, in order of ``seq``: products that never
+    sold are deleted, accepted form posts update their product or, for every eleventh,
+    create a copy under a new id, some copies are updated, every seventh product is
+    deleted afterwards, and some changes are for products that do not exist."""
     forms = clean_products(t).filter(F.col("status") == ACCEPTED)
-    updates = forms.select(
-        F.col("form_id").alias("product_id"),
-        F.lit("update").alias("op"),
-        F.col("price").cast("decimal(10,2)").alias("price"),
-        "stock",
-        "is_active",
-        F.lit(2).alias("seq"),
-    )
-    sold = t.order_items.select("product_id").distinct()
-    deletes = t.products.join(sold, "product_id", "left_anti").select(
-        "product_id",
-        F.lit("delete").alias("op"),
-        F.lit(None).cast("decimal(10,2)").alias("price"),
-        F.lit(None).cast("int").alias("stock"),
-        F.lit(None).cast("boolean").alias("is_active"),
-        F.lit(1).alias("seq"),
-    )
-    return updates.unionByName(deletes)
+    key = F.col("form_id")
+    values = [F.col(c).cast("decimal(10,2)").alias(c) if c == "price" else F.col(c) for c in PRODUCT_VALUES]
 
+    def posts(op: str, seq: int, shift: int, wanted: Column) -> DataFrame:
+        return forms.filter(wanted).select((key + shift).alias("product_id"), F.lit(op).alias("op"), F.lit(seq).alias("seq"), *values)
 
-def _latest_change(changes: DataFrame) -> DataFrame:
-    """Latest change per product by ``seq`` (ties: delete wins, then a hash of
-    the change, so a recomputed task always picks the same row), as one
-    aggregate."""
-    rank = F.struct(
-        F.col("seq"),
-        (F.col("op") == "delete").cast("int").alias("_del"),
-        F.xxhash64("op", "price", "stock", "is_active").alias("_h"),
-    )
-    return changes.groupBy("product_id").agg(
-        F.max_by(F.struct("op", "price", "stock", "is_active"), rank).alias("c"), F.count(F.lit(1)).alias("changes")
-    ).select("product_id", "c.op", "c.price", "c.stock", "c.is_active", "changes")
+    def deletes(ids: DataFrame, seq: int) -> DataFrame:
+        return ids.select("product_id", F.lit("delete").alias("op"), F.lit(seq).alias("seq"))
+
+    sold = t.order_items.select("product_id").distinct()
+    parts = [
+        posts("update", 1, 10_000_000, key % 22 == 0),  # before the copy is there
+        posts("update", 2, 0, F.lit(True)),
+        posts("insert", 2, 10_000_000, key % 11 == 0),
+        posts("update", 3, 10_000_000, key % 33 == 0),
+        posts("update", 2, 20_000_000, key % 50 == 0),
+        deletes(t.products.join(sold, "product_id", "left_anti"), 1),
+        deletes(t.products.filter(F.col("product_id") % 7 == 0), 4),
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def apply_product_changes(t: Tables, changes: DataFrame | None = None) -> DataFrame:
-    """Q51: per product the effect of its latest change: update, soft delete
-    (``is_active = false``) or not found."""
+    """Q51: the effect of a change set, as if its changes came one after the other by ``seq``.
+
+    A product that is not there is born with its first ``insert``; what comes before
+    that is not found. The latest update or insert gives all columns, the latest
+    operation whether the product is active (a delete only deactivates). An insert of
+    a product that is there is ignored. Changes of equal ``seq``: a delete is the last.
+    """
     if changes is None:
         changes = product_change_batch(t)
-    latest = _latest_change(changes)
-    current = t.products.select(
-        "product_id", F.col("price").alias("_old_price"), F.col("stock").alias("_old_stock"), F.col("is_active").alias("_old_active")
+    current = t.products.select(F.col("product_id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in PRODUCT_VALUES))
+    births = changes.filter(F.col("op") == "insert").groupBy(F.col("product_id").alias("_born")).agg(F.min("seq").alias("_birth"))
+    exists, is_insert = F.col("_id").isNotNull(), F.col("op") == "insert"
+    # a product's changes meet its row and birth; the larger side is never grouped as a list
+    rows = changes.join(current.select("_id"), F.col("product_id") == F.col("_id"), "left").join(
+        births, F.col("product_id") == F.col("_born"), "left"
     )
-    rows = latest.join(current, "product_id", "left")
-    found = F.col("_old_active").isNotNull()
-    is_delete = F.col("op") == "delete"
-    return rows.select(
+    effective = F.when(exists, ~is_insert).otherwise(
+        F.coalesce((F.col("seq") > F.col("_birth")) | ((F.col("seq") == F.col("_birth")) & (is_insert | (F.col("op") == "delete"))), F.lit(False))
+    )
+    order = F.struct("seq", (F.col("op") == "delete").cast("int"), (F.col("op") == "update").cast("int"), F.xxhash64(*PRODUCT_VALUES))
+    writes = effective & (F.col("op") != "delete")
+    latest = rows.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("changes"),
+        F.max_by("op", F.when(effective, order)).alias("op"),
+        F.max_by(F.struct(*PRODUCT_VALUES), F.when(writes, order)).alias("w"),
+        F.max(F.col("_id").isNotNull()).alias("_existed"),
+        F.count(F.when(writes, 1)).alias("_writes"),
+        F.count(F.when(effective, 1)).alias("_effects"),
+    )
+    out = latest.join(current, F.col("product_id") == F.col("_id"), "left")
+    deleted = F.col("op") == "delete"
+
+    def value(c: str) -> Column:
+        v = F.when(F.col("_writes") > 0, F.col(f"w.{c}")).otherwise(F.col(f"_{c}"))
+        return F.when(deleted, F.lit(False)).otherwise(v) if c == "is_active" else v
+
+    found = F.col("_effects") > 0
+    return out.select(
         "product_id",
-        "op",
+        F.when(found, F.col("op")).alias("op"),
         "changes",
-        F.when(~found, "not found").when(is_delete, "deleted").otherwise("updated").alias("result"),
-        money(F.when(found, F.when(is_delete, F.col("_old_price")).otherwise(F.col("price")))).alias("price"),
-        F.when(found, F.when(is_delete, F.col("_old_stock")).otherwise(F.col("stock"))).alias("stock"),
-        F.when(found, F.when(is_delete, F.lit(False)).otherwise(F.col("is_active"))).alias("is_active"),
+        F.when(~found, "not found").when(deleted, "deleted").when(F.col("_existed"), "updated").otherwise("created").alias("result"),
+        *(F.when(found, money(value(c)) if c == "price" else value(c)).alias(c) for c in PRODUCT_VALUES),
     )
 
 
 def product_snapshot_after_changes(t: Tables, changes: DataFrame | None = None) -> DataFrame:
-    """Products with the change set applied (unchanged products pass through)."""
-    res = apply_product_changes(t, changes).filter(F.col("result") != "not found").select(
-        "product_id", F.col("price").alias("_p"), F.col("stock").alias("_s"), F.col("is_active").alias("_a")
-    )
-    p = t.products.join(res, "product_id", "left")
-    return p.select(
-        *[
-            F.coalesce(F.col("_p").cast("decimal(10,2)"), F.col("price")).alias("price") if c == "price"
-            else F.coalesce(F.col("_s"), F.col("stock")).alias("stock") if c == "stock"
-            else F.coalesce(F.col("_a"), F.col("is_active")).alias("is_active") if c == "is_active"
-            else F.col(c)
-            for c in t.products.columns
-        ]
-    )
+    """Products with the change set applied: changed ones replaced, created ones added."""
+    res = apply_product_changes(t, changes).filter(F.col("result") != "not found")
+    res = res.select(F.col("product_id").alias("_id"), F.col("price").cast("decimal(10,2)").alias("_price"), *(F.col(c).alias(f"_{c}") for c in PRODUCT_VALUES if c != "price"))
+    p = t.products.join(res, F.col("product_id") == F.col("_id"), "full")
+    touched = F.col("_id").isNotNull()
+    columns = {c: F.when(touched, F.col(f"_{c}")).otherwise(F.col(c)) for c in PRODUCT_VALUES}
+    columns["product_id"] = F.coalesce("product_id", "_id")
+    return p.select(*(columns.get(c, F.col(c)).alias(c) for c in t.products.columns))
 
 
 def registration_batch(t: Tables) -> DataFrame:
-    """Registrations derived from the shop: guest checkouts registering with
-    their guest name and e-mail, and existing customers signing up again with
-    an upper-cased e-mail (the taken-e-mail path)."""
-    guests = t.orders.filter(F.col("customer_id").isNull()).select(
-        F.concat(F.lit("o"), F.col("order_id").cast("string")).alias("request_id"),
-        F.split_part(F.col("guest_name"), F.lit(" "), F.lit(1)).alias("first_name"),
-        F.split_part(F.col("guest_name"), F.lit(" "), F.lit(2)).alias("last_name"),
+    """Registrations derived from the shop, in order of ``arrival``: guest checkouts
+    register with their guest name and e-mail, some with a missing, short or mistyped
+    password; every third tries again in capitals; and customers sign up again."""
+    guests = t.orders.filter(F.col("customer_id").isNull())
+    number = F.col("order_id")
+    good = F.concat(F.lit("secret-"), number.cast("string"), F.lit("-word"))
+    password = F.when(number % 9 == 1, F.lit(None)).when(number % 9 == 2, "short").otherwise(good)
+    confirm = F.when(number % 9 == 4, "other").when(number % 9 == 5, F.lit(None)).otherwise(password)
+    name = lambda k: F.split_part(F.col("guest_name"), F.lit(" "), F.lit(k))
+    first = guests.select(
+        F.concat(F.lit("o"), number.cast("string")).alias("request_id"),
+        number.alias("arrival"),
+        name(1).alias("first_name"),
+        name(2).alias("last_name"),
         F.concat(F.lit(" "), F.col("guest_email")).alias("email"),
         F.lit(None).cast("string").alias("phone"),
+        password.alias("password"),
+        confirm.alias("password_confirm"),
+    )
+    retry = guests.filter(number % 3 == 0).select(
+        F.concat(F.lit("p"), number.cast("string")).alias("request_id"),
+        (number + 1_000_000_000_000).alias("arrival"),
+        F.lit("Guest").alias("first_name"),
+        number.cast("string").alias("last_name"),
+        F.upper("guest_email").alias("email"),
+        F.lit("555").alias("phone"),
+        good.alias("password"),
+        good.alias("password_confirm"),
     )
     again = t.customers.select(
         F.concat(F.lit("c"), F.col("customer_id").cast("string")).alias("request_id"),
+        (F.col("customer_id") + 2_000_000_000_000).alias("arrival"),
         "first_name",
         "last_name",
         F.upper("email").alias("email"),
         "phone",
+        F.lit("long enough").alias("password"),
+        F.lit("long enough").alias("password_confirm"),
     )
-    return guests.unionByName(again)
+    return first.unionByName(retry).unionByName(again)
 
 
 def clean_customers(t: Tables, batch: DataFrame | None = None) -> DataFrame:
-    """Q52: registration validation: trim, lower-case e-mail, required fields,
-    e-mail pattern, optional password rules, e-mail already registered
-    (case-insensitive) and repeated within the batch (first request wins)."""
+    """Q52: registrations in order of arrival: trim, lower-case e-mail, required
+    fields, e-mail pattern, password rules, e-mail already registered.
+
+    The first valid request of an e-mail creates the account; later valid ones find it
+    registered ("repeated in batch"). A batch without password columns is not checked
+    for them; one without ``arrival`` is ordered by request id.
+    """
     if batch is None:
         batch = registration_batch(t)
 
     def clean(c: str) -> Column:
         return F.coalesce(F.trim(F.col(c)), F.lit(""))
 
+    has_password = "password" in batch.columns
+    at = F.col("arrival").cast("long") if "arrival" in batch.columns else F.lit(0).cast("long")
     rows = batch.select(
         "request_id",
+        at.alias("_at"),
         clean("first_name").alias("first_name"),
         clean("last_name").alias("last_name"),
         F.lower(clean("email")).alias("email"),
         clean("phone").alias("phone"),
-        *(["password", "password_confirm"] if "password" in batch.columns else []),
+        *(["password", "password_confirm"] if has_password else []),
     )
-    taken = t.customers.select(F.lower("email").alias("email")).distinct().withColumn("_taken", F.lit(True))
-    # first request per e-mail: one aggregate (min request id), not a window
-    first = rows.groupBy("email").agg(F.min("request_id").alias("_first"))
-    rows = rows.join(taken, "email", "left").join(first, "email", "left")
     required = (F.col("first_name") == "") | (F.col("last_name") == "") | (F.col("email") == "")
+    if has_password:
+        required = required | _blank(F.col("password"))
     reason = F.when(required, REASON_FIELDS).when(~F.col("email").rlike(EMAIL_PATTERN), REASON_EMAIL)
-    if "password" in batch.columns:
-        reason = reason.when(F.col("password") != F.col("password_confirm"), REASON_PASSWORD_MATCH).when(
+    if has_password:
+        reason = reason.when(~F.col("password").eqNullSafe(F.col("password_confirm")), REASON_PASSWORD_MATCH).when(
             F.length("password") < MIN_PASSWORD, REASON_PASSWORD_SHORT
         )
-    reason = reason.when(F.col("_taken").isNotNull(), REASON_EMAIL_TAKEN).when(
-        F.col("request_id") != F.col("_first"), REASON_BATCH_DUP
+    rows = rows.withColumn("_invalid", reason).withColumn("_email", F.when(F.col("_invalid").isNull(), F.col("email")))
+    # only valid requests look for their e-mail: blank and broken ones have no key to meet on
+    valid = rows.filter(F.col("_email").isNotNull())
+    first = valid.groupBy(F.col("_email").alias("_e")).agg(F.min(F.struct("_at", "request_id")).alias("_first"))
+    taken = t.customers.select(F.lower("email").alias("_t")).distinct()
+    rows = rows.join(taken, F.col("_email") == F.col("_t"), "left").join(first, F.col("_email") == F.col("_e"), "left")
+    reason = (
+        F.when(F.col("_invalid").isNotNull(), F.col("_invalid"))
+        .when(F.col("_t").isNotNull(), REASON_EMAIL_TAKEN)
+        .when(F.struct("_at", "request_id") != F.col("_first"), REASON_BATCH_DUP)
     )
     return rows.select(
         "request_id",
@@ -234,55 +291,85 @@ def clean_customers(t: Tables, batch: DataFrame | None = None) -> DataFrame:
 
 
 def oauth_login_batch(t: Tables) -> DataFrame:
-    """OAuth logins derived from the shop: every customer signs in with Google
-    (its stored Google id when it has one, else a fresh one; e-mail upper-cased),
-    and every guest e-mail signs in with Facebook."""
-    customers = t.customers.select(
-        F.lit("google").alias("provider"),
-        F.coalesce(F.col("google_id"), F.concat(F.lit("new-g"), F.col("customer_id").cast("string"))).alias("provider_id"),
-        F.upper("email").alias("email"),
-        F.col("first_name").alias("given_name"),
-        F.col("last_name").alias("family_name"),
-    )
-    guests = t.orders.filter(F.col("customer_id").isNull()).select(
-        F.lit("facebook").alias("provider"),
-        F.concat(F.lit("fb-"), F.col("order_id").cast("string")).alias("provider_id"),
-        F.col("guest_email").alias("email"),
-        F.split_part(F.col("guest_name"), F.lit(" "), F.lit(1)).alias("given_name"),
-        F.split_part(F.col("guest_name"), F.lit(" "), F.lit(2)).alias("family_name"),
-    )
-    return customers.unionByName(guests)
+    """OAuth logins derived from the shop, in order of ``arrival``: every customer signs
+    in with Google (its stored id, or a fresh one; e-mail upper-cased), every fourth then
+    with another id and with the first again; guest e-mails sign in with Facebook, some
+    repeat the login, some come back with Google."""
+    c, number = t.customers, F.col("customer_id")
+    own = F.coalesce(F.col("google_id"), F.concat(F.lit("new-g"), number.cast("string")))
+
+    def customer(step: int, provider_id: Column, wanted: Column) -> DataFrame:
+        return c.filter(wanted).select(
+            (number + step * 1_000_000_000_000).alias("arrival"), F.lit("google").alias("provider"), provider_id.alias("provider_id"),
+            F.upper("email").alias("email"), F.col("first_name").alias("given_name"), F.col("last_name").alias("family_name"),
+        )
+
+    guests, order = t.orders.filter(F.col("customer_id").isNull()), F.col("order_id")
+
+    def guest(step: int, provider: str, wanted: Column) -> DataFrame:
+        return guests.filter(wanted).select(
+            (order + step * 1_000_000_000_000).alias("arrival"), F.lit(provider).alias("provider"),
+            F.concat(F.lit(provider[0] + "b-"), order.cast("string")).alias("provider_id"), F.col("guest_email").alias("email"),
+            F.split_part(F.col("guest_name"), F.lit(" "), F.lit(1)).alias("given_name"),
+            F.split_part(F.col("guest_name"), F.lit(" "), F.lit(2)).alias("family_name"),
+        )
+
+    other = F.concat(F.lit("other-g"), number.cast("string"))
+    parts = [
+        customer(0, own, F.lit(True)), guest(1, "facebook", F.lit(True)), guest(2, "google", order % 5 == 0),
+        guest(3, "facebook", order % 7 == 0), customer(4, other, number % 4 == 0), customer(5, own, number % 4 == 0),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def link_identities(t: Tables, logins: DataFrame | None = None) -> DataFrame:
-    """Q53: match each login by provider id, else by e-mail (case-insensitive),
-    else create. Ties on e-mail pick the lowest customer id."""
+    """Q53: logins in order of arrival: by provider id, else linked by e-mail
+    (case-insensitive; the lowest customer id), else an account is created.
+
+    An account holds one id per provider, that of its last login with it: each login
+    either finds it there or puts it there. So among an account's logins with one
+    provider, one is a ``login`` if its id equals the one before (at first, the stored
+    one), and otherwise a ``link``; the first login of an e-mail without customer is the
+    ``create``. A provider id that a customer stores belongs to that customer whatever
+    the login's e-mail; any other one belongs to the e-mail it first comes with.
+    ``customer_id`` is NULL for accounts created by the batch.
+    """
     if logins is None:
         logins = oauth_login_batch(t)
+    at = F.col("arrival").cast("long") if "arrival" in logins.columns else F.xxhash64("provider", "provider_id", "email")
+    rows = logins.select(at.alias("_at"), "provider", "provider_id", "email", F.lower("email").alias("_email"))
     c = t.customers
-    by_provider = (
-        c.filter(F.col("google_id").isNotNull())
-        .select(F.lit("google").alias("provider"), F.col("google_id").alias("provider_id"), "customer_id")
-        .unionByName(
-            c.filter(F.col("facebook_id").isNotNull()).select(
-                F.lit("facebook").alias("provider"), F.col("facebook_id").alias("provider_id"), "customer_id"
-            )
-        )
-        .groupBy("provider", "provider_id")
-        .agg(F.min("customer_id").alias("_by_id"))
+    stored = [
+        c.filter(F.col(f"{p}_id").isNotNull()).select(F.lit(p).alias("provider"), F.col(f"{p}_id").alias("provider_id"), "customer_id")
+        for p in ("google", "facebook")
+    ]
+    holders = reduce(DataFrame.unionByName, stored).groupBy("provider", "provider_id").agg(F.min("customer_id").alias("_holder"))
+    by_email = c.groupBy(F.lower("email").alias("_e")).agg(F.min("customer_id").alias("_by_email"))
+    first_email = rows.groupBy("provider", "provider_id").agg(F.min_by("_email", F.struct("_at", "_email")).alias("_first_email"))
+    rows = (
+        rows.join(holders, ["provider", "provider_id"], "left")
+        .join(first_email, ["provider", "provider_id"], "left")
+        .withColumn("_owner", F.coalesce(F.col("_first_email"), F.col("_email")))
+        .join(by_email, F.col("_owner") == F.col("_e"), "left")
     )
-    by_email = c.groupBy(F.lower("email").alias("_email")).agg(F.min("customer_id").alias("_by_email"))
-    rows = logins.join(by_provider, ["provider", "provider_id"], "left").join(
-        by_email, F.lower(logins["email"]) == by_email["_email"], "left"
+    customer = F.coalesce(F.col("_holder"), F.col("_by_email"))
+    account = F.struct(customer.alias("id"), F.when(customer.isNull(), F.col("_owner")).alias("email"))
+    rows = rows.withColumn("_customer", customer).withColumn("_account", account)
+    ids = c.select(F.col("customer_id").alias("_id"), "google_id", "facebook_id")
+    rows = rows.join(ids, F.col("_customer") == F.col("_id"), "left")
+    initial = F.when(F.col("provider") == "google", F.col("google_id")).otherwise(F.col("facebook_id"))
+    order = ["_at", "provider", "provider_id"]
+    before = F.lag("provider_id").over(Window.partitionBy("_account", "provider").orderBy(*order))
+    births = rows.filter(F.col("_customer").isNull()).groupBy(F.col("_owner").alias("_born")).agg(F.min(F.struct(*order)).alias("_birth"))
+    rows = rows.withColumn("_before", F.coalesce(before, initial)).join(
+        births, F.col("_customer").isNull() & (F.col("_owner") == F.col("_born")), "left"
     )
-    action = F.when(F.col("_by_id").isNotNull(), "login").when(F.col("_by_email").isNotNull(), "link").otherwise("create")
-    return rows.select(
-        "provider",
-        "provider_id",
-        "email",
-        action.alias("action"),
-        F.coalesce(F.col("_by_id"), F.col("_by_email")).alias("customer_id"),
+    action = (
+        F.when(F.col("_before") == F.col("provider_id"), "login")
+        .when(F.struct(*order) == F.col("_birth"), "create")
+        .otherwise("link")
     )
+    return rows.select("provider", "provider_id", "email", F.col("_at").alias("arrival"), action.alias("action"), F.col("_customer").alias("customer_id"))
 
 
 def product_slug(name: Column, suffix: Column) -> Column:

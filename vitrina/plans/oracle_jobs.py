@@ -176,7 +176,7 @@ _FORMS = """forms AS (
                      OR category_id IS NULL OR category_id = '' OR p = 0 OR c = 0
                 THEN 'name, price and category are required'
                 WHEN p IS NULL THEN 'invalid price'
-                WHEN c IS NULL THEN 'invalid category'
+                WHEN c IS NULL OR c NOT IN (SELECT category_id FROM categories) THEN 'invalid category'
                 WHEN p < 0 OR s < 0 THEN 'negative price or stock' END AS reason
     FROM parsed)"""
 
@@ -190,75 +190,100 @@ register(
     ),
 )
 
+_VALUES = "product_name, description, price, stock, category_id, is_active, image_url"
+_NONE = "NULL, NULL, NULL, NULL, NULL, NULL, NULL"
 register(
     "apply_product_changes",
     q(
-        f"""SELECT l.product_id, l.op, l.changes,
-                   CASE WHEN cur.product_id IS NULL THEN 'not found' WHEN l.op = 'delete' THEN 'deleted' ELSE 'updated' END AS result,
-                   {m("CASE WHEN cur.product_id IS NULL THEN NULL WHEN l.op = 'delete' THEN cur.price ELSE l.price END")} AS price,
-                   CASE WHEN cur.product_id IS NULL THEN NULL WHEN l.op = 'delete' THEN cur.stock ELSE l.stock END AS stock,
-                   CASE WHEN cur.product_id IS NULL THEN NULL WHEN l.op = 'delete' THEN false ELSE l.is_active END AS is_active
-            FROM (SELECT *, CAST(COUNT(*) OVER (PARTITION BY product_id) AS BIGINT) AS changes,
-                         ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY seq DESC, (op = 'delete') DESC) AS rn
-                  FROM changes) l
-            LEFT JOIN products cur ON cur.product_id = l.product_id
-            WHERE l.rn = 1""",
+        f"""SELECT product_id, last_op AS op, changes,
+                   CASE WHEN last_op IS NULL THEN 'not found' WHEN last_op = 'delete' THEN 'deleted' WHEN existed THEN 'updated' ELSE 'created' END AS result,
+                   state.product_name, state.description, {m('state.price')} AS price, state.stock, state.category_id,
+                   CASE WHEN last_op = 'delete' THEN FALSE ELSE state.is_active END AS is_active, state.image_url
+            FROM (
+              SELECT e.product_id, CAST(COUNT(*) AS BIGINT) AS changes, BOOL_OR(existed) AS existed, arg_max(op, place) FILTER (works) AS last_op,
+                     CASE WHEN COUNT(*) FILTER (works) = 0 THEN NULL
+                          WHEN COUNT(*) FILTER (works AND op <> 'delete') > 0 THEN arg_max(own, place) FILTER (works AND op <> 'delete')
+                          ELSE ANY_VALUE(old) END AS state
+              FROM (
+                SELECT c.product_id, c.op, g.product_id IS NOT NULL AS existed, c.place,
+                       {{'product_name': c.product_name, 'description': c.description, 'price': c.price, 'stock': c.stock,
+                         'category_id': c.category_id, 'is_active': c.is_active, 'image_url': c.image_url}} AS own,
+                       {{'product_name': g.product_name, 'description': g.description, 'price': g.price, 'stock': g.stock,
+                         'category_id': g.category_id, 'is_active': g.is_active, 'image_url': g.image_url}} AS old,
+                       -- a change works if the product is there when it comes
+                       CASE WHEN g.product_id IS NOT NULL THEN c.op <> 'insert'
+                            ELSE COALESCE(BOOL_OR(c.op = 'insert') OVER (PARTITION BY c.product_id ORDER BY c.place), FALSE) END AS works
+                FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY seq, op = 'delete', op = 'update') AS place FROM changes) c
+                LEFT JOIN products g ON g.product_id = c.product_id) e
+              GROUP BY e.product_id) r""",
         _FORMS
-        + """,
+        + f""",
+  posts AS (SELECT form_id, product_name, description, p AS price, stock, category_id, is_active, image_url FROM cleaned WHERE reason IS NULL),
   changes AS (
-    SELECT form_id AS product_id, 'update' AS op, p AS price, stock, is_active, 2 AS seq
-    FROM cleaned WHERE reason IS NULL
-    UNION ALL
-    SELECT product_id, 'delete', NULL, NULL, NULL, 1 FROM products
-    WHERE product_id NOT IN (SELECT product_id FROM order_items))""",
+    SELECT form_id + 10000000 AS product_id, 'update' AS op, 1 AS seq, {_VALUES} FROM posts WHERE form_id % 22 = 0
+    UNION ALL SELECT form_id, 'update', 2, {_VALUES} FROM posts
+    UNION ALL SELECT form_id + 10000000, 'insert', 2, {_VALUES} FROM posts WHERE form_id % 11 = 0
+    UNION ALL SELECT form_id + 10000000, 'update', 3, {_VALUES} FROM posts WHERE form_id % 33 = 0
+    UNION ALL SELECT form_id + 20000000, 'update', 2, {_VALUES} FROM posts WHERE form_id % 50 = 0
+    UNION ALL SELECT product_id, 'delete', 1, {_NONE} FROM products WHERE product_id NOT IN (SELECT product_id FROM order_items)
+    UNION ALL SELECT product_id, 'delete', 4, {_NONE} FROM products WHERE product_id % 7 = 0)""",
     ),
 )
 
 register(
     "clean_customers",
     q(
-        """SELECT request_id, first_name, last_name, email, CASE WHEN phone <> '' THEN phone END AS phone,
-                  CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason
+        """SELECT request_id, first_name, last_name, email, NULLIF(phone, '') AS phone,
+                  CASE WHEN why IS NULL AND NOT known AND turn = 1 THEN 'accepted' ELSE 'rejected' END AS status,
+                  CASE WHEN why IS NOT NULL THEN why WHEN known THEN 'email already registered'
+                       WHEN turn > 1 THEN 'email repeated in batch' END AS reason
            FROM (
-             SELECT r.*,
-               CASE WHEN first_name = '' OR last_name = '' OR email = '' THEN 'all fields are required'
-                    WHEN NOT regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') THEN 'invalid email'
-                    WHEN email IN (SELECT lower(email) FROM customers) THEN 'email already registered'
-                    WHEN request_id <> MIN(request_id) OVER (PARTITION BY email) THEN 'email repeated in batch'
-               END AS reason
+             SELECT *, email IN (SELECT lower(email) FROM customers) AS known,
+                    ROW_NUMBER() OVER (PARTITION BY email, why IS NULL ORDER BY arrival) AS turn
              FROM (
-               SELECT request_id, COALESCE(trim(first_name), '') AS first_name, COALESCE(trim(last_name), '') AS last_name,
-                      lower(COALESCE(trim(email), '')) AS email, COALESCE(trim(phone), '') AS phone
-               FROM regs) r) x""",
-        """regs AS (
-    SELECT 'o' || CAST(order_id AS VARCHAR) AS request_id, split_part(guest_name, ' ', 1) AS first_name,
-           split_part(guest_name, ' ', 2) AS last_name, ' ' || guest_email AS email, CAST(NULL AS VARCHAR) AS phone
-    FROM shop_orders WHERE customer_id IS NULL
+               SELECT *, CASE WHEN first_name = '' OR last_name = '' OR email = '' OR COALESCE(password, '') = '' THEN 'all fields are required'
+                              WHEN NOT regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') THEN 'invalid email'
+                              WHEN password IS DISTINCT FROM confirm THEN 'passwords do not match'
+                              WHEN length(password) < 8 THEN 'password shorter than 8 characters' END AS why
+               FROM (SELECT request_id, arrival, COALESCE(trim(first_name), '') AS first_name, COALESCE(trim(last_name), '') AS last_name,
+                            lower(COALESCE(trim(email), '')) AS email, COALESCE(trim(phone), '') AS phone, password, confirm FROM regs) c) d) e""",
+        """guests AS (
+    SELECT order_id, guest_name, guest_email, 'secret-' || CAST(order_id AS VARCHAR) || '-word' AS good FROM shop_orders WHERE customer_id IS NULL),
+  tries AS (
+    SELECT *, CASE order_id % 9 WHEN 1 THEN NULL WHEN 2 THEN 'short' ELSE good END AS password FROM guests),
+  regs AS (
+    SELECT 'o' || CAST(order_id AS VARCHAR) AS request_id, order_id AS arrival, split_part(guest_name, ' ', 1) AS first_name,
+           split_part(guest_name, ' ', 2) AS last_name, ' ' || guest_email AS email, CAST(NULL AS VARCHAR) AS phone, password,
+           CASE order_id % 9 WHEN 4 THEN 'other' WHEN 5 THEN NULL ELSE password END AS confirm FROM tries
+    UNION ALL
+    SELECT 'p' || CAST(order_id AS VARCHAR), order_id + 1000000000000, 'Guest', CAST(order_id AS VARCHAR), upper(guest_email), '555', good, good
+    FROM guests WHERE order_id % 3 = 0
     UNION ALL
-    SELECT 'c' || CAST(customer_id AS VARCHAR), first_name, last_name, upper(email), phone FROM customers)""",
+    SELECT 'c' || CAST(customer_id AS VARCHAR), customer_id + 2000000000000, first_name, last_name, upper(email), phone, 'long enough', 'long enough'
+    FROM customers)""",
     ),
 )
 
 register(
     "link_identities",
     q(
-        """SELECT l.provider, l.provider_id, l.email,
-                  CASE WHEN bp.cid IS NOT NULL THEN 'login' WHEN be.cid IS NOT NULL THEN 'link' ELSE 'create' END AS action,
-                  COALESCE(bp.cid, be.cid) AS customer_id
-           FROM logins l
-           LEFT JOIN (SELECT provider, provider_id, MIN(customer_id) AS cid FROM (
-                        SELECT 'google' AS provider, google_id AS provider_id, customer_id FROM customers WHERE google_id IS NOT NULL
-                        UNION ALL
-                        SELECT 'facebook', facebook_id, customer_id FROM customers WHERE facebook_id IS NOT NULL) t
-                      GROUP BY provider, provider_id) bp
-             ON bp.provider = l.provider AND bp.provider_id = l.provider_id
-           LEFT JOIN (SELECT lower(email) AS em, MIN(customer_id) AS cid FROM customers GROUP BY lower(email)) be
-             ON be.em = lower(l.email)""",
-        """logins AS (
-    SELECT 'google' AS provider, COALESCE(google_id, 'new-g' || CAST(customer_id AS VARCHAR)) AS provider_id,
-           upper(email) AS email FROM customers
-    UNION ALL
-    SELECT 'facebook', 'fb-' || CAST(order_id AS VARCHAR), guest_email FROM shop_orders WHERE customer_id IS NULL)""",
+        """SELECT provider, provider_id, email, arrival,
+                  CASE WHEN held = provider_id THEN 'login' WHEN customer_id IS NULL AND turn = 1 THEN 'create' ELSE 'link' END AS action, customer_id
+           FROM (
+             SELECT l.*, u.customer_id, ROW_NUMBER() OVER (PARTITION BY lower(l.email) ORDER BY l.arrival) AS turn,
+                    -- what the account holds for the provider: the id of its login before, or the stored one
+                    COALESCE(LAG(l.provider_id) OVER (PARTITION BY lower(l.email), l.provider ORDER BY l.arrival),
+                             CASE l.provider WHEN 'google' THEN u.google_id ELSE u.facebook_id END) AS held
+             FROM logins l LEFT JOIN customers u ON lower(u.email) = lower(l.email)) x""",
+        """own AS (SELECT *, COALESCE(google_id, 'new-g' || CAST(customer_id AS VARCHAR)) AS g FROM customers),
+  guests AS (SELECT order_id, guest_email FROM shop_orders WHERE customer_id IS NULL),
+  logins AS (
+    SELECT customer_id AS arrival, 'google' AS provider, g AS provider_id, upper(email) AS email FROM own
+    UNION ALL SELECT order_id + 1000000000000, 'facebook', 'fb-' || CAST(order_id AS VARCHAR), guest_email FROM guests
+    UNION ALL SELECT order_id + 2000000000000, 'google', 'gb-' || CAST(order_id AS VARCHAR), guest_email FROM guests WHERE order_id % 5 = 0
+    UNION ALL SELECT order_id + 3000000000000, 'facebook', 'fb-' || CAST(order_id AS VARCHAR), guest_email FROM guests WHERE order_id % 7 = 0
+    UNION ALL SELECT customer_id + 4000000000000, 'google', 'other-g' || CAST(customer_id AS VARCHAR), upper(email) FROM own WHERE customer_id % 4 = 0
+    UNION ALL SELECT customer_id + 5000000000000, 'google', g, upper(email) FROM own WHERE customer_id % 4 = 0)""",
     ),
 )
 

@@ -100,49 +100,76 @@ register(
     ),
 )
 
-register(
-    "cart_merge",
-    q(
-        """SELECT customer_id, product_id, size, color, line_id, old_quantity,
-                  CASE WHEN action IN ('insert', 'update') THEN new_q END AS new_quantity, action, reason
-           FROM (
-             SELECT *,
-               CASE WHEN active IS NULL OR NOT active THEN 'skip'
-                    WHEN bad THEN 'reject'
-                    WHEN line_id IS NOT NULL THEN 'update' ELSE 'insert' END AS action,
-               CASE WHEN active IS NULL THEN 'unknown product'
-                    WHEN NOT active THEN 'inactive product'
-                    WHEN bad THEN 'quantity out of range' END AS reason
-             FROM (
-               SELECT *, (line_id IS NULL AND (qmin < 1 OR qmax > 15)) OR new_q < 1 OR new_q > 15 AS bad
-               FROM (
-                 SELECT b.*, p.stock, p.is_active AS active, ex.line_id, ex.old_quantity,
-                        CAST(CASE WHEN ex.line_id IS NOT NULL THEN least(ex.old_quantity + b.added, 15, p.stock)
-                             WHEN b.n = 1 THEN least(b.added, p.stock)
-                             ELSE least(b.added, 15, p.stock) END AS INTEGER) AS new_q
-                 FROM b LEFT JOIN products p ON p.product_id = b.product_id
-                 LEFT JOIN ex ON ex.customer_id = b.customer_id AND ex.product_id = b.product_id
-                              AND ex.size = b.size AND ex.color = b.color) x) y) z""",
-        """batch AS (
-             SELECT CAST(substr(session_id, 2) AS BIGINT) AS customer_id, product_id, size, color, quantity
-             FROM cart_items WHERE session_id IS NOT NULL),
-           b AS (
-             SELECT customer_id, product_id, size, color, SUM(quantity) AS added, COUNT(*) AS n,
-                    MIN(quantity) AS qmin, MAX(quantity) AS qmax
-             FROM batch GROUP BY customer_id, product_id, size, color),
-           ex AS (
-             SELECT customer_id, product_id, size, color, MIN(id) AS line_id,
-                    CAST(arg_min(quantity, id) AS INTEGER) AS old_quantity
-             FROM cart_items WHERE customer_id IS NOT NULL
-             GROUP BY customer_id, product_id, size, color)""",
-    ),
-)
-
 _LINE_OWNERS = """line_owners AS (
     SELECT id, 'customer' AS owner_type, CAST(customer_id AS VARCHAR) AS owner_id FROM cart_items WHERE customer_id IS NOT NULL
     UNION ALL
     SELECT id, 'session', session_id FROM cart_items WHERE session_id IS NOT NULL)"""
 
+def _cart_job(batch: str, top: int | None) -> str:
+    """The cart rules request by request: each request sees the line as the ones before it left it."""
+    invalid = "q IS NULL OR q < 1" + (" OR q > 15" if top else "")
+    # a cart is full once its products and the new ones born before the request reach the limit
+    full = f"COALESCE(h.n, 0) + (SELECT COUNT(*) FROM newest w WHERE w.owner_type = r.owner_type AND w.owner_id = r.owner_id AND w.birth < r.moment) >= {top}" if top else "FALSE"
+    return q(
+        """SELECT owner_type, owner_id, product_id, size, color, MIN(line_id) AS line_id, CAST(MIN(old) AS INTEGER) AS old_quantity,
+                  CAST(CASE WHEN COUNT(*) FILTER (counted) > 0 THEN LEAST(COALESCE(MIN(old), 0) + SUM(q) FILTER (counted), 15, MIN(stock)) END AS INTEGER) AS new_quantity,
+                  CAST(COUNT(*) AS BIGINT) AS requests, CAST(COUNT(*) FILTER (counted) AS BIGINT) AS accepted,
+                  CASE WHEN COUNT(*) FILTER (counted) > 0 THEN CASE WHEN MIN(line_id) IS NULL THEN 'insert' ELSE 'update' END
+                       WHEN arg_max(why, moment) IN ('unknown product', 'inactive product') THEN 'skip' ELSE 'reject' END AS action,
+                  CASE WHEN COUNT(*) FILTER (counted) = 0 THEN arg_max(why, moment) END AS reason
+           FROM judged GROUP BY owner_type, owner_id, product_id, size, color""",
+        f"""owned AS (
+    SELECT 'customer' AS owner_type, CAST(customer_id AS VARCHAR) AS owner_id, * FROM cart_items WHERE customer_id IS NOT NULL
+    UNION ALL SELECT 'session', session_id, * FROM cart_items WHERE session_id IS NOT NULL),
+  line AS (
+    SELECT owner_type, owner_id, product_id, size, color, MIN(id) AS line_id, arg_min(quantity, id) AS old
+    FROM owned GROUP BY owner_type, owner_id, product_id, size, color),
+  holds AS (SELECT owner_type, owner_id, COUNT(DISTINCT product_id) AS n FROM owned GROUP BY owner_type, owner_id),
+  asked AS ({batch}),
+  seen AS (
+    SELECT a.*, g.stock, g.is_active AS active, line.line_id, line.old,
+           NOT COALESCE({invalid}, TRUE) AND COALESCE(g.is_active, FALSE)
+             AND CASE WHEN line.line_id IS NOT NULL THEN g.stock >= 1 ELSE LEAST(q, g.stock) BETWEEN 1 AND 15 END AS fits
+    FROM asked a LEFT JOIN products g ON g.product_id = a.product_id
+    LEFT JOIN line ON line.owner_type = a.owner_type AND line.owner_id = a.owner_id AND line.product_id = a.product_id
+                  AND line.size = a.size AND line.color = a.color),
+  newest AS (
+    SELECT owner_type, owner_id, product_id, MIN(moment) AS birth FROM seen s
+    WHERE fits AND line_id IS NULL AND NOT EXISTS (
+      SELECT 1 FROM owned o WHERE o.owner_type = s.owner_type AND o.owner_id = s.owner_id AND o.product_id = s.product_id)
+    GROUP BY owner_type, owner_id, product_id),
+  placed AS (
+    SELECT r.*, {full} AS over,
+           BOOL_OR(fits) OVER (PARTITION BY r.owner_type, r.owner_id, r.product_id, r.size, r.color ORDER BY moment) AS born
+    FROM seen r LEFT JOIN holds h ON h.owner_type = r.owner_type AND h.owner_id = r.owner_id),
+  judged AS (
+    SELECT *, COALESCE(NOT ({invalid}), FALSE) AND COALESCE(active, FALSE) AND NOT over
+              AND CASE WHEN line_id IS NOT NULL THEN stock >= 1 ELSE born END AS counted,
+           CASE WHEN {bool(top)} AND COALESCE({invalid}, TRUE) THEN 'invalid quantity' WHEN over THEN 'cart holds the most products'
+                WHEN active IS NULL THEN 'unknown product' WHEN NOT active THEN 'inactive product'
+                WHEN COALESCE({invalid}, TRUE) THEN 'invalid quantity' ELSE 'quantity out of range' END AS why
+    FROM placed)""",
+    )
+
+
+_ASKED = "CAST(CASE id % 20 WHEN 3 THEN NULL WHEN 7 THEN -1 WHEN 11 THEN 20 ELSE quantity END AS INTEGER) AS q, id AS moment"
+register(
+    "cart_merge",
+    _cart_job(
+        f"SELECT 'customer' AS owner_type, substr(session_id, 2) AS owner_id, CAST(product_id AS BIGINT) AS product_id, size, color, {_ASKED} FROM cart_items WHERE session_id IS NOT NULL",
+        None,
+    ),
+)
+register(
+    "cart_add",
+    _cart_job(
+        f"""SELECT CASE WHEN customer_id IS NULL THEN 'session' ELSE 'customer' END AS owner_type,
+                   COALESCE(CAST(customer_id AS VARCHAR), session_id) AS owner_id, product_id + id % 3 AS product_id, size, color, {_ASKED}
+            FROM cart_items""",
+        20,
+    ),
+)
+
 register(
     "cart_set_quantity",
     q(

@@ -9,7 +9,6 @@ partitions, checkpoint dir, broadcast threshold) win.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -28,30 +27,21 @@ DEFAULTS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply ``DEFAULTS`` where unset and make sure a checkpoint dir exists.
-
-    The checkpoint directory is read from ``spark.checkpoint.dir``; a local
-    scratch folder is only chosen when the session has none (tests, bench).
-    """
-    conf = spark.conf
+    """Apply ``DEFAULTS`` where unset."""
     for key, value in DEFAULTS.items():
-        if conf.get(key, None) in (None, ""):
-            conf.set(key, value)
-    checkpoint_dir(spark)
+        if spark.conf.get(key, None) in (None, ""):
+            spark.conf.set(key, value)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """The shared checkpoint folder that the cluster names; raises when there is none."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="vitrina-ckpt-", dir=os.environ.get("VITRINA_SCRATCH", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not current:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(current)
+    return current
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "vitrina") -> SparkSession:
