@@ -1,6 +1,6 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-A text is cut into pieces that end at a line break or sentence mark (together
+A text is cut into pieces that end after a line break or sentence mark (together
 they are the whole text). A piece's SHA-256 gives eight 32-bit numbers, and its
 weight is the rounded root of its length. The fingerprint is a vector of 9 +
 ``LANES`` sums over the pieces, each modulo 2^32:
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-#: A piece: up to and with a line break or sentence mark, or what is left at the end.
-PIECE = r"[^\n.!?]*[\n.!?]|[^\n.!?]+"
+#: A piece: up to and with line breaks, sentence marks and spaces that follow one, or what is left at the end.
+PIECE = r"[^\n.!?]*[\n.!?][\n.!?\x20]*|[^\n.!?]+"
 EXACT, LANES = 8, 64
 MAX_GROUPS = 65_536
 _M32 = 1 << 32
