@@ -73,7 +73,7 @@ MAPPING = {
     "payments": """
         SELECT l_orderkey order_id, CAST(l_extendedprice AS DECIMAL(10,2)) amount,
                CASE l_returnflag WHEN 'A' THEN 'Aprobado' WHEN 'N' THEN 'Pendiente' ELSE 'Reembolsado' END status
-        FROM lineitem WHERE l_linenumber = 1""",
+        FROM lineitem""",
     "product_reviews": """
         SELECT event_id review_id, event_id % 200 product_id,
                CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id END customer_id,
@@ -85,7 +85,7 @@ MAPPING = {
                CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id END customer_id,
                CAST(substr(props,7,length(props)-7) AS INT) + CASE WHEN event_id % 50 = 7 THEN 9000000 ELSE 0 END product_id, CAST(1 + event_id % 15 AS INT) quantity,
                CASE WHEN event_id % 3 = 0 THEN '' ELSE 'M' END size, '' color, ts updated_at
-        FROM events WHERE event_type IN ('view','click')""",
+        FROM events""",
     "promotions": """
         SELECT * FROM (VALUES (1,'PROMO-A','percentage',CAST(15 AS DECIMAL(10,2))),
                               (2,'PROMO-B','percentage',CAST(10 AS DECIMAL(10,2))),
