@@ -100,8 +100,11 @@ def cart_totals(t: Tables) -> DataFrame:
 
 
 def cart_item_count(t: Tables) -> DataFrame:
-    """Q38: Σ quantity per cart owner; registered customers without a cart get 0."""
-    per_owner = t.cart_items.groupBy(owner_type().alias("owner_type"), owner_id().alias("owner_id")).agg(
+    """Q38: Σ quantity per cart owner; registered customers without a cart get 0.
+
+    A line with a customer and a session counts for both, as either sees it.
+    """
+    per_owner = line_owners(t.cart_items).groupBy("owner_type", "owner_id").agg(
         F.sum("quantity").cast("long").alias("count")
     )
     customers = t.customers.select(F.lit(OWNER_CUSTOMER).alias("owner_type"), F.col("customer_id").cast("string").alias("owner_id"))
@@ -112,7 +115,8 @@ def cart_item_count(t: Tables) -> DataFrame:
 def cart_distinct_products(t: Tables) -> DataFrame:
     """Q39: distinct products per cart owner and whether the 50-product limit is reached."""
     return (
-        t.cart_items.groupBy(owner_type().alias("owner_type"), owner_id().alias("owner_id"))
+        line_owners(t.cart_items)
+        .groupBy("owner_type", "owner_id")
         .agg(F.countDistinct("product_id").cast("long").alias("distinct_products"))
         .withColumn("at_limit", F.col("distinct_products") >= F.lit(MAX_CART_PRODUCTS))
     )
