@@ -127,7 +127,7 @@ class _Cells:
         cells = _bins(x, edges) + np.arange(len(edges)) * BINS
         self.cells = np.concatenate([cells, np.full((len(x), 1), len(edges) * BINS)], 1).astype(np.int32)
 
-    def __getitem__(self, rows: slice) -> _Cells:
+    def __getitem__(self, rows: np.ndarray) -> _Cells:
         out = object.__new__(_Cells)
         out.cells = self.cells[rows]
         return out
@@ -155,11 +155,13 @@ def estimate_prior(p: _Cells, u: _Cells, size: int) -> float:
 
     Each half is scored by a classifier (positive against unlabelled) of the other.
     """
+    rng = np.random.default_rng(0)
+    halves = [np.array_split(rng.permutation(len(x.cells)), 2) for x in (p, u)]
     ratios = []
     for own, other in ((0, 1), (1, 0)):
-        a, b = p[own::2], u[own::2]
+        a, b = p[halves[0][own]], u[halves[1][own]]
         w = _descend(lambda w: a.mean(_sigmoid(a.dot(w)) - 1, size) + b.mean(_sigmoid(b.dot(w)), size), size)  # noqa: B023
-        of_p, of_u = np.sort(p[other::2].dot(w)), np.sort(u[other::2].dot(w))
+        of_p, of_u = np.sort(p[halves[0][other]].dot(w)), np.sort(u[halves[1][other]].dot(w))
         at = np.quantile(of_p, np.linspace(0, 0.5, 51))
         share = lambda s: 1 - np.searchsorted(s, at, side="left") / max(1, len(s))  # noqa: B023, E731
         ratios.append(np.min(share(of_u) / np.maximum(share(of_p), 1e-9)))
