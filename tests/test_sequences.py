@@ -197,7 +197,7 @@ def test_names_sort_linguistically_and_pages_follow_keys(spark):
     t = make_tables(
         spark,
         products=[
-            {"product_id": k, "product_name": n, "category_id": 1, "price": D(k % 3), "is_active": True, "created_at": None if k % 4 == 0 else ts(f"2024-01-0{k}").date()}
+            {"product_id": k, "product_name": n, "category_id": 1, "price": D(k % 3), "is_active": True, "created_at": None if k % 4 == 0 else ts(f"2024-01-0{k}")}
             for k, n in enumerate(names)
         ],
     )

@@ -21,7 +21,7 @@ def product(pid, cat, price="10.00", stock=5, active=True, name=None, descriptio
     return {
         "product_id": pid, "product_name": name or f"p{pid}", "description": description, "category_id": cat,
         "price": D(price), "wholesale_price": D(price), "stock": stock, "is_active": active,
-        "created_at": dt.date(2024, 1, pid % 28 + 1), "image_url": None,
+        "created_at": dt.datetime(2024, 1, pid % 28 + 1), "image_url": None,
     }
 
 
@@ -227,7 +227,7 @@ def test_s15_s16_reviews(spark):
     r = rows_by(catalog.product_ratings(t), "product_id")
     assert (r[1]["review_count"], r[1]["average_rating"]) == (2, 4.5)
     assert (r[2]["review_count"], r[2]["average_rating"]) == (0, 0.0)
-    detail = rows_by(catalog.product_detail(t), "product_id")
+    detail = rows_by(catalog.product_detail_parts(t), "product_id")
     assert [x.review_id for x in detail[1]["reviews"]] == [2, 1]  # newest first, anonymous dropped
     assert detail[3]["reviews"] == [] and detail[3]["variants"] == []
 
@@ -298,7 +298,7 @@ def test_s18_pricing(spark):
 
 # Product input
 def test_s19_product_input(spark):
-    t = make_tables(spark)
+    t = make_tables(spark, categories=[{"category_id": 2, "category_name": "b", "slug": "b"}])
     batch = spark.createDataFrame(
         [
             (1, "Jarrón", None, "0", "3", "2", None, None),
@@ -306,6 +306,7 @@ def test_s19_product_input(spark):
             (3, "", None, "10", "3", "2", None, None),
             (4, " Vaso ", " hecho a mano ", "10.5", "x", "2", "true", "  "),
             (5, "Plato", None, "10", "-1", "2", "true", None),
+            (6, "Plato", None, "10", "1", "77", "true", None),
         ],
         "form_id long, product_name string, description string, price string, stock string, category_id string, is_active string, image_url string",
     )
@@ -316,6 +317,7 @@ def test_s19_product_input(spark):
     assert out[4]["status"] == "accepted" and out[4]["product_name"] == "Vaso" and out[4]["stock"] == 0
     assert out[4]["description"] == "hecho a mano" and out[4]["image_url"] is None and out[4]["is_active"]
     assert out[5]["reason"] == "negative price or stock"
+    assert out[6]["reason"] == "invalid category"  # it does not exist
     assert out[1]["is_active"] is False
 
 

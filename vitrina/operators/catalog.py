@@ -103,10 +103,12 @@ def _page(rows: DataFrame, t: Tables, sort: str, page: int, limit: int, show_all
     if show_all:
         return with_available_stock(rows, t).orderBy(*sort_columns(sort))
     chosen = paginate(following(rows, sort, after), sort_columns(sort), 1 if after else page, limit)
+    # places on the page, to sort by in the end: a sort like the one below could be left out as done
+    chosen = chosen.withColumn("_place", F.row_number().over(Window.orderBy(*sort_columns(sort))))
     # at most ``limit`` ids, which the planner knows: variants are filtered by them before they are added up
     ids = chosen.select(F.col("product_id").alias("_id"))
     variants = t.product_variants.join(ids, F.col("product_id") == F.col("_id"), "left_semi")
-    return with_available_stock(chosen, t.replace(product_variants=variants)).orderBy(*sort_columns(sort))
+    return with_available_stock(chosen, t.replace(product_variants=variants)).orderBy("_place").drop("_place")
 
 
 def _product_out(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ MAPPING = {
                CASE WHEN p_partkey % 37 = 0 THEN 'Ánfora ' WHEN p_partkey % 41 = 0 THEN 'zócalo ' ELSE '' END || p_name product_name, concat(p_name,' ',lower(p_type)) description,
                CAST(substr(p_brand,7) AS INT) category_id, CAST(p_retailprice AS DECIMAL(10,2)) price,
                CAST(p_retailprice*0.8 AS DECIMAL(10,2)) wholesale_price, p_size-1 stock,
-               p_partkey % 20 <> 0 is_active, DATE '2024-01-01' + CAST(p_partkey % 365 AS INT) created_at,
+               p_partkey % 20 <> 0 is_active, CAST(DATE '2024-01-01' + CAST(p_partkey % 365 AS INT) AS TIMESTAMP) created_at,
                '/img/p' || CAST(p_partkey AS VARCHAR) || '.jpg' image_url
         FROM part""",
     "product_variants": """

@@ -114,7 +114,7 @@ def map_products(part: DataFrame) -> DataFrame:
         (F.col("p_retailprice") * F.lit(0.8)).cast("decimal(10,2)").alias("wholesale_price"),
         (F.col("p_size") - 1).alias("stock"),
         (_mod(key, 20) != 0).alias("is_active"),
-        F.date_add(F.lit("2024-01-01").cast("date"), _mod(key, 365).cast("int")).alias("created_at"),
+        F.date_add(F.lit("2024-01-01").cast("date"), _mod(key, 365).cast("int")).cast("timestamp_ntz").alias("created_at"),
         F.concat(F.lit("/img/p"), key.cast("string"), F.lit(".jpg")).alias("image_url"),
     )
 
