@@ -5,8 +5,10 @@ documents link when 4 * |A & B| >= 3 * |A | B|, that is 7 * |A & B| >= 3 * (|A|
 + |B|). Equal sets are one class from the start; everything after works on
 classes, so copies cost nothing.
 
-1. Hashes are dealt into ``GROUPS`` groups; the counts by group are the point of
-   a set. The sum of the smaller coordinates of two points bounds the overlap.
+1. Hashes are dealt into groups, a power of two that leaves ``LEAST_IN_GROUP`` to
+   twice as many in a group; the counts by group are the point of a set. The sum
+   of the smaller coordinates of two points bounds the overlap. Points of twice
+   as many groups are folded by adding up halves.
 2. Sets that can link share one of their smallest hashes: in sets of up to 127
    shingles one of the first n / 4 + 1 (always), in longer ones one of the first
    ``KEYS``, but for a chance below 4^-32 a pair, that of a 64-bit hash clash.
@@ -14,9 +16,9 @@ classes, so copies cost nothing.
    with the largest coordinates and the range of sizes) finds the pairs that the
    bound allows. Its connected components are the clusters: links never leave one.
 3. Clusters are verified on the texts themselves: again by R-tree, and what the
-   bound allows is compared exactly. Pairs already connected are not compared, so
-   a cluster of near copies costs about one comparison a member, and each result
-   is a spanning tree, never all pairs.
+   bound allows is compared exactly, by an index of the shingles. Pairs already
+   connected are not compared, so a cluster of near copies costs about one
+   comparison a member, and each result is a spanning tree, never all pairs.
 
 Large groups do not meet in one task. Groups of over ``TILE`` sets go by size
 bands (linked sets lie in the same or in neighbouring bands), each band is dealt
@@ -44,14 +46,15 @@ from pyspark.sql import types as T
 from .common import WordHash, checkpoint, components, field, mix64, read_table, words
 
 N_WORDS = 5
-GROUPS = 128
+LEAST_IN_GROUP, LEAST_GROUPS = 2, 32
 KEYS = 32
 FIRST_KEYS = 2
 TILE = 2_048
 #: Shingles in a tile of texts.
 TILE_SHINGLES = 2_000_000
 PAGE = 32
-_SATURATED = 65_535
+#: A coordinate that stands for this and more, and one that bounds nothing.
+_SATURATED, _UNKNOWN = 255, 60_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -77,86 +80,131 @@ def set_hash(s: np.ndarray) -> int:
 
 def point(s: np.ndarray) -> np.ndarray:
     """Counts by group; _SATURATED stands for that and more."""
-    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return np.minimum(counts, _SATURATED).astype(np.uint16)
+    groups = max(LEAST_GROUPS, 1 << (max(1, len(s) // LEAST_IN_GROUP).bit_length() - 1))
+    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, _SATURATED).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, cls, keys, point) of every row; cls, the hash of the set, is null for empty sets."""
+    """(doc_id, copy, n, cls, keys, point) of every row; copy is a hash of the text; cls, that of the set, is null for empty sets."""
     kind = field(docs, id_col).dataType
     schema = T.StructType([
-        T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()),
+        T.StructField("doc_id", kind), T.StructField("copy", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("point", T.BinaryType()),
     ])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            ids, n, cls, keys, points = batch.column(0), [], [], [], []
-            for text in batch.column(1):
+            n, cls, keys, points = [], [], [], []
+            for text in batch.column(2):
                 s = shingles(text.as_py(), hashes)
                 n.append(len(s))
                 cls.append(set_hash(s) if len(s) else None)
                 # a set's first n - ceil(3 n / 4) + 1 hashes hold one of any linked set's
                 keys.append(s[: min(KEYS, len(s) - -(-3 * len(s) // 4) + 1) if len(s) else 0].astype(np.int64))
                 points.append(point(s).tobytes() if len(s) else None)
-            arrays = [ids, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())]
+            arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(task, schema)
+    return docs.select(id_col, F.xxhash64(text_col).alias("copy"), text_col).mapInArrow(task, schema)
 
 
 class Tree:
-    """R-tree over the points of sets: pages of sets close in size, and pages of pages."""
-
-    def __init__(self, sizes: np.ndarray, points: np.ndarray):
-        self.sizes = sizes
-        points = points.astype(np.uint32)
-        points[points == _SATURATED] = 1 << 30  # unknown, so no bound
-        self.points = points
-        self.order = np.argsort(sizes, kind="stable")
+    """R-tree over points of equally many groups: pages of sets close in size, and pages of pages."""
+
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, points: np.ndarray):
+        order = np.argsort(sizes, kind="stable")
+        self.members, self.sizes, self.points = members[order], sizes[order], points[order]
         self.levels = []  # (largest coordinates, least size, largest size), leaves first
-        top, low, high = points[self.order], sizes[self.order], sizes[self.order]
+        top, low, high = self.points, self.sizes, self.sizes
         while len(top) > PAGE:
             at = np.arange(0, len(top), PAGE)
             top, low, high = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
             self.levels.append((top, low, high))
 
-    def near(self, k: int, wanted: np.ndarray) -> np.ndarray:
-        """Sets (of the flagged ones) whose bound with set k allows a link."""
-        size, at = self.sizes[k], self.points[k]
+    def near(self, size: int, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Members (of the flagged ones) whose bound with a point of that size allows a link."""
 
         def allowed(top: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            fits = (4 * high >= 3 * size) & (3 * low <= 4 * size)
-            return fits & (7 * np.minimum(top, at).sum(1, dtype=np.int64) >= 3 * (size + low))
+            fits = np.flatnonzero((4 * high >= 3 * size) & (3 * low <= 4 * size))
+            return fits[7 * np.minimum(top[fits], at).sum(1, dtype=np.int64) >= 3 * (size + low[fits])]
 
-        found = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(len(self.order))
+        found = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(len(self.members))
         for k in range(len(self.levels) - 1, -1, -1):  # from the root's pages down
             found = found[allowed(*(x[found] for x in self.levels[k]))]
-            below = len(self.levels[k - 1][0]) if k else len(self.order)
+            below = len(self.levels[k - 1][0]) if k else len(self.members)
             found = (found[:, None] * PAGE + np.arange(PAGE)).ravel()
             found = found[found < below]
-        found = self.order[found]
-        found = found[wanted[found]]
-        return found[allowed(self.points[found], self.sizes[found], self.sizes[found])]
+        found = found[wanted[self.members[found]]]
+        return self.members[found[allowed(self.points[found], self.sizes[found], self.sizes[found])]]
 
 
-def linked(sizes: np.ndarray, points: np.ndarray, overlap: Callable[[int, int], int] | None) -> list[tuple[int, int]]:
-    """Spanning edges (member, root) of the graph of links; of what the bound allows, without ``overlap``."""
-    tree, edges = Tree(sizes, points), []
-    waiting = np.ones(len(sizes), bool)
-    for root in range(len(sizes)):
-        if not waiting[root]:
-            continue
-        waiting[root] = False
-        front = [root]
-        while front and waiting.any():
-            k = front.pop()
-            for j in tree.near(k, waiting):
-                if overlap is None or 7 * overlap(k, j) >= 3 * (sizes[k] + sizes[j]):
-                    waiting[j] = False
-                    front.append(j)
-                    edges.append((j, root))
+class Forest:
+    """Trees over points of any numbers of groups; sets that can link differ by a factor of two at most."""
+
+    def __init__(self, sizes: np.ndarray, points: list[np.ndarray]):
+        self.sizes, self.points = sizes, [np.where(p == _SATURATED, _UNKNOWN, p).astype(np.uint16) for p in points]
+        self.widths = np.array([len(p) for p in points])
+        self.trees: dict[tuple[int, int], Tree] = {}
+
+    @staticmethod
+    def _folded(p: np.ndarray, width: int) -> np.ndarray:
+        return np.minimum(p.reshape(-1, width).sum(0, dtype=np.int64), _UNKNOWN).astype(np.uint16) if len(p) > width else p
+
+    def near(self, k: int, wanted: np.ndarray) -> np.ndarray:
+        """Sets (of the flagged ones) whose bound with set k allows a link."""
+        found, own = [], len(self.points[k])
+        for width in (own // 2, own, 2 * own):
+            common = min(width, own)
+            if (width, common) not in self.trees:
+                members = np.flatnonzero(self.widths == width)
+                points = np.array([self._folded(self.points[j], common) for j in members], np.uint16).reshape(-1, max(1, common))
+                self.trees[width, common] = Tree(members, self.sizes[members], points)
+            tree = self.trees[width, common]
+            if len(tree.members):
+                found.append(tree.near(self.sizes[k], self._folded(self.points[k], common), wanted))
+        return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+class Overlaps:
+    """Index of the shingles of several sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        lengths = [len(s) for s in sets]
+        found, self.places = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ends = np.cumsum([0, *lengths])
+        owners = np.repeat(np.arange(len(sets), dtype=np.int32), lengths)
+        self.owners = owners[np.argsort(self.places, kind="stable")]
+        self.starts = np.cumsum([0, *np.bincount(self.places, minlength=len(found))])
+
+    def of(self, k: int) -> np.ndarray:
+        """Size of set k's overlap with every set."""
+        mine = self.places[self.ends[k] : self.ends[k + 1]]
+        starts, counts = self.starts[mine], self.starts[mine + 1] - self.starts[mine]
+        at = np.repeat(starts - np.cumsum([0, *counts[:-1]]), counts) + np.arange(counts.sum())
+        return np.bincount(self.owners[at], minlength=len(self.ends) - 1)
+
+
+def linked(sizes: np.ndarray, points: list[np.ndarray], labels: np.ndarray, overlaps: Overlaps | None) -> list[tuple[int, int]]:
+    """Edges that connect what links connect (of what the bound allows, without ``overlaps``) beyond the labels.
+
+    Sets of equal label are connected already. All sets but those of the most
+    frequent label look for sets that are not connected with them yet.
+    """
+    forest, edges = Forest(sizes, points), []
+    _, part = np.unique(labels, return_inverse=True)
+    for k in np.flatnonzero(part != np.bincount(part).argmax()):
+        apart = part != part[k]
+        if not apart.any():
+            break
+        near = forest.near(k, apart)
+        if overlaps and len(near):
+            near = near[7 * overlaps.of(k)[near] >= 3 * (sizes[k] + sizes[near])]
+        if len(near):
+            found, at = np.unique(part[near], return_index=True)
+            edges += [(j, k) for j in near[at].tolist()]
+            part[np.isin(part, found)] = part[k]
     return edges
 
 
@@ -184,27 +232,31 @@ _EDGES = "a long, b long"
 _AT = ("g", "x", "y")
 
 
-def _tiled(rows: DataFrame, per_tile: Column, near: bool, rest: bool) -> DataFrame:
-    """Rows (g, n, cls, ...) dealt to pairs of tiles (g, x, y). ``per_tile``: tiles a group needs, from its count m and sum s.
+def _tiled(rows: DataFrame, near: bool, rest: bool) -> DataFrame:
+    """Rows (g, cls, n, label) dealt to pairs of tiles (g, x, y).
 
+    A group needs a tile for each TILE sets and each TILE_SHINGLES shingles. If it
+    needs several, its sets go by size bands: linked sets differ in size by a third at
+    most, so they meet in the band of the larger one, and each band has its own tiles.
     near: a tile with itself and with the first one; rest: all other pairs.
     """
-    stats = rows.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
-    tiles = stats.select(F.col("g").alias("g2"), per_tile.cast("int").alias("tiles"))
-    rows = rows.join(tiles, F.col("g") == F.col("g2")).drop("g2")
-    # linked sets differ in size by a third at most: sets of a large group meet in the band of the larger one
+    tiles = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int")
     band = F.floor(F.log("n") / math.log(4 / 3)).cast("int")
-    bands = F.when(F.col("tiles") > 1, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))
-    rows = rows.withColumn("band", F.explode(bands)).withColumn("g", F.when(F.col("tiles") > 1, F.xxhash64("g", "band")).otherwise(F.col("g")))
-    # the tiles of a band: as many as its own rows need
-    large = rows.where("tiles > 1").groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select(F.col("g").alias("g2"), per_tile.cast("int").alias("t"))
-    rows = rows.join(large, F.col("g") == F.col("g2"), "left").withColumn("t", F.coalesce("t", F.lit(1))).drop("g2", "tiles", "band")
+    sums = rows.groupBy("g", band.alias("band")).agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    whole = sums.groupBy("g").agg(F.sum("m").alias("m"), F.sum("s").alias("s")).where("m > 1").select(F.col("g").alias("g2"), tiles.alias("tiles"))
+    large = whole.where("tiles > 1").select(F.col("g2").alias("g3"))
+    both = sums.join(large, F.col("g") == F.col("g3"), "left_semi").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    of_band = both.groupBy(F.col("g").alias("g3"), F.col("band").alias("b3")).agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
+    rows = rows.join(whole, F.col("g") == F.col("g2")).drop("g2")
+    rows = rows.withColumn("band", F.explode(F.when(F.col("tiles") > 1, F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))))
+    rows = rows.join(of_band.select("g3", "b3", tiles.alias("t")), (F.col("g") == F.col("g3")) & (F.col("band") == F.col("b3")), "left")
+    rows = rows.withColumn("t", F.coalesce("t", F.lit(1))).withColumn("g", F.when(F.col("tiles") > 1, F.xxhash64("g", "band")).otherwise(F.col("g")))
     own = F.pmod(F.xxhash64("cls"), F.col("t")).cast("int")
     others = F.sequence(F.lit(0), F.col("t") - 1)
     pair = lambda o: F.struct(F.least(F.col("own"), o).alias("x"), F.greatest(F.col("own"), o).alias("y"))
     is_near = lambda p: (p.x == p.y) | (p.x == 0)
     pairs = F.filter(F.transform(others, pair), lambda p: (is_near(p) & F.lit(near)) | (~is_near(p) & F.lit(rest)))
-    return rows.withColumn("own", own).withColumn("p", F.explode(pairs)).select("g", "p.x", "p.y", "cls", "n")
+    return rows.withColumn("own", own).withColumn("p", F.explode(pairs)).select("g", "p.x", "p.y", "cls", "n", "label")
 
 
 def _meet(rows: DataFrame, task: Callable) -> DataFrame:
@@ -220,8 +272,8 @@ def _edges_of(names: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _by_group(batches, 3):
         if rows.num_rows > 1:
-            points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
-            yield _edges_of(rows.column("cls").to_numpy(), linked(rows.column("n").to_numpy(), points, None))
+            points = [np.frombuffer(p.as_py(), np.uint8) for p in rows.column("point")]
+            yield _edges_of(rows.column("cls").to_numpy(), linked(rows.column("n").to_numpy(), points, rows.column("label").to_numpy(), None))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,21 +281,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _by_group(batches, 3):
         if rows.num_rows < 2:
             continue
-        sets = {}
-        for cls, text in zip(rows.column("cls").to_pylist(), rows.column("text")):
+        sets, labels = {}, {}
+        for cls, label, text in zip(rows.column("cls").to_pylist(), rows.column("label").to_pylist(), rows.column("text")):
             s = shingles(text.as_py(), hashes)
             if set_hash(s) == cls:  # another text may stand under the same id
-                sets[cls] = s
+                sets[cls], labels[cls] = s, label
         names, of = np.array(list(sets), np.int64), list(sets.values())
         if len(of) < 2:
             continue
 
-        def overlap(a: int, b: int) -> int:
-            small, large = sorted((of[a], of[b]), key=len)  # noqa: B023
-            at = np.searchsorted(large, small)
-            return int((large[np.minimum(at, len(large) - 1)] == small).sum())
-
-        yield _edges_of(names, linked(np.array([len(s) for s in of]), np.stack([point(s) for s in of]), overlap))
+        yield _edges_of(names, linked(np.array([len(s) for s in of]), [point(s) for s in of], np.array(list(labels.values())), Overlaps(of)))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -252,70 +299,73 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, F.col("cls") == F.col("cls2"), "left").withColumn("label", F.coalesce("label", "cls")).drop("cls2")
 
 
-def _unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (g, cls, ...) of the groups whose members have more than one label."""
-    rows = _labelled(rows, labels)
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """Rows (g, cls, n, label) of the groups whose members have more than one label."""
     open_ = rows.groupBy("g").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select(F.col("g").alias("g2"))
-    return rows.join(open_, F.col("g") == F.col("g2"), "left_semi").drop("label")
+    return rows.join(open_, F.col("g") == F.col("g2"), "left_semi")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+    """(doc_id, copy, n_shingles, component_id) of every row; copy is a hash of the text."""
     rows = checkpoint(signatures(docs, id_col, text_col))
     classes = checkpoint(
         rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "keys", "point")))
     )
     points = classes.select(F.col("cls").alias("c2"), "point")
     with_points = lambda r: r.join(points, F.col("cls") == F.col("c2")).drop("c2")
-    many = F.ceil(F.col("m") / TILE)
-
-    # clusters: first by few keys, then by all keys whose sets are not in one cluster yet
-    by_key = classes.select(F.explode("keys").alias("g"), "cls", "n")
-    first = classes.select(F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("g"), "cls", "n")
-    edges = checkpoint(_meet(with_points(_tiled(first, many, True, False)), _candidates))
-    labels = checkpoint(components(edges))
-    shared = by_key.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("g2"))
-    again = _unsettled(by_key.join(shared, F.col("g") == F.col("g2"), "left_semi"), labels)
-    more = _meet(with_points(_tiled(again, many, True, True)), _candidates)
+
+    # clusters: first by few keys, then by all keys whose sets have not met yet
+    first = classes.select(F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("g"), "cls", "n", F.col("cls").alias("label"))
+    edges = checkpoint(_meet(with_points(_tiled(first, True, False)), _candidates))
+    met = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    met = met.select("node", F.least("node", "label").alias("label"))
+    by_key = _labelled(classes.select("cls", "n", "keys"), met).select(F.explode("keys").alias("g"), "cls", "n", "label")
+    more = _meet(with_points(_tiled(checkpoint(_unsettled(by_key)), True, True)), _candidates)
     clusters = checkpoint(components(edges.union(more)))
 
     # links inside clusters, on the texts
-    members = checkpoint(_labelled(classes.select("cls", "rep", "n"), clusters).withColumnRenamed("label", "g"))
+    members = _labelled(classes.select("cls", "rep", "n"), clusters).withColumnRenamed("label", "g")
     several = members.groupBy("g").count().where("count > 1").select(F.col("g").alias("g2"))
-    members = members.join(several, F.col("g") == F.col("g2"), "left_semi")
+    members = checkpoint(members.join(several, F.col("g") == F.col("g2"), "left_semi"))
     texts = docs.select(F.col(id_col).alias("id2"), F.col(text_col).alias("text"))
-    texts = members.select(F.col("cls").alias("c2"), "rep").join(texts, F.col("rep").eqNullSafe(F.col("id2"))).select("c2", "text")
+    texts = checkpoint(members.select(F.col("cls").alias("c2"), "rep").join(texts, F.col("rep").eqNullSafe(F.col("id2"))).select("c2", "text"))
     with_text = lambda r: r.join(texts, F.col("cls") == F.col("c2")).drop("c2")
-    tiles = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("s") / TILE_SHINGLES))
-    links = checkpoint(_meet(with_text(_tiled(members.select("g", "cls", "n"), tiles, True, False)), _verified))
+    alone = members.select("g", "cls", "n", F.col("cls").alias("label"))
+    links = checkpoint(_meet(with_text(_tiled(alone, True, False)), _verified))
     labels = checkpoint(components(links))
-    parted = members.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where(tiles > 1).select(F.col("g").alias("g2"))
-    large = _unsettled(members.select("g", "cls", "n").join(parted, F.col("g") == F.col("g2"), "left_semi"), labels)
+    parted = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("s") / TILE_SHINGLES)) > 1
+    parted = members.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where(parted).select(F.col("g").alias("g2"))
+    large = checkpoint(_unsettled(_labelled(members.select("g", "cls", "n").join(parted, F.col("g") == F.col("g2"), "left_semi"), labels)))
     if not large.isEmpty():
-        links = links.union(checkpoint(_meet(with_text(_tiled(large, tiles, False, True)), _verified)))
-        labels = checkpoint(components(links))
+        links = links.union(_meet(with_text(_tiled(large, False, True)), _verified))
+        labels = components(links)
 
     named = _labelled(classes.select("cls", "rep"), labels)
     least = named.groupBy(F.col("label").alias("l2")).agg(F.min("rep").alias("component"))
     of_class = named.join(least, F.col("label") == F.col("l2")).select(F.col("cls").alias("c2"), "component")
-    out = rows.select("doc_id", "n", "cls").join(of_class, F.col("cls") == F.col("c2"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("doc_id", "copy", "n", "cls").join(of_class, F.col("cls") == F.col("c2"), "left")
+    return out.select("doc_id", "copy", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (of rows equal in id and text, one).
+    """``docs`` with one row of each component: that of the smallest id; of rows equal in id, that of the smallest text hash.
 
-    The texts are shuffled once, by id, for both the join and the choice among repeated rows.
+    Texts without words, and rows of components that have no id, stay once for
+    each id and text. The texts are shuffled once, by id, for both the join and
+    the choice among repeated rows.
     """
     by_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
-    kept = join(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(by_id("doc_id")).distinct()
+    first = join(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    kept = first.groupBy(by_id("doc_id"), F.when(alone, F.col("copy")).alias("_text")).agg(F.min("copy").alias("_copy")).select("_id", "_copy")
     row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
-    rows = docs.select(row, by_id(id_col), F.xxhash64(F.col(text_col)).alias("_text")).join(kept, "_id", "left_semi")
-    one = W.partitionBy("_id", "_text").orderBy("_text")
+    rows = docs.select(row, by_id(id_col), F.xxhash64(text_col).alias("_copy"))
+    rows = rows.join(kept.withColumnRenamed("_copy", "_kept"), "_id").where("_copy = _kept")
+    one = W.partitionBy("_id", "_copy").orderBy("_copy")
     rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1")
     return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
-    return join(read_table(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return join(read_table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_shingles", F.col("component_id").cast("bigint").alias("component_id"))
