@@ -7,8 +7,10 @@ lower-casing A-Z; ``bytes.lower().split()`` does exactly that on UTF-8.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,40 +78,64 @@ def running_totals(lengths: Column, block: int = 256) -> Column:
     return bind(lengths, lambda xs: F.when(F.size(xs) > 0, bind(cut(xs), joined)).otherwise(none))
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task may take to finish a search for components (16 bytes each).
+EDGES_A_TASK = 1_000_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of the components of a bounded number of edges, by union-find."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, places = np.unique(np.concatenate(parts), return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    for x, y in places.reshape(-1, 2).tolist():
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)  # places are in order of nodes, so the top is the smallest
+    labels = nodes[[top(k) for k in range(len(nodes))]]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels)], names=["node", "label"])
+
+
+def components(edges: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """Connected components of undirected edges (a, b: bigint) as (node, label).
 
-    ``label`` is the smallest node of the component. Alternates large-star and
-    small-star steps; every step is a grouped minimum and an equi-join, and its
-    result goes to the checkpoint folder. No neighbour list is ever collected.
-    Nodes without an edge do not appear. No edges: an empty frame.
+    ``label`` is the smallest node of the component. Large-star and small-star steps
+    alternate: every step is a grouped minimum and an equi-join, its result goes to
+    the checkpoint folder, and no neighbour list is ever collected. Once no more than
+    ``edges_a_task`` edges are left (a fixed bound), one task joins them. Nodes
+    without an edge do not appear. No edges: an empty frame.
     """
-    edges = checkpoint(
-        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-
-    def star(links: DataFrame, large: bool) -> DataFrame:
-        """Every neighbour of a node is linked with the node's smallest one."""
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")) if large else (
-            links.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.join(least, "u")
-        out = out.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")) if large else (
-            out.select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        )
-        return out.where("a <> b").distinct()
+    edges = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def large_star(links: DataFrame) -> DataFrame:
+        """Every larger neighbour of a node is linked with the node's smallest neighbour (or the node)."""
+        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        return both.where("v > u").join(least, F.col("u") == F.col("w")).where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b"))
+
+    def small_star(links: DataFrame) -> DataFrame:
+        """A node and its smaller neighbours are linked with the smallest of them."""
+        least = links.groupBy(F.col("b").alias("w")).agg(F.min("a").alias("m"))
+        moved = links.join(least, F.col("b") == F.col("w")).where("m <> a").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        return moved.union(least.select(F.col("m").alias("a"), F.col("w").alias("b"))).distinct()
 
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = mark(edges)
-    while seen[0]:
-        edges = checkpoint(star(star(edges, True), False))
+    while seen[0] > edges_a_task:
+        edges = checkpoint(small_star(large_star(edges)))
         now = mark(edges)
         if now == seen:
-            break
+            labels = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+            return labels.union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
         seen = now
-    labels = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
-    return labels.union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    return edges.coalesce(1).mapInArrow(_joined, "node long, label long")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
