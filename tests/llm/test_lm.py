@@ -4,9 +4,11 @@ import collections
 import math
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import SF0001
 from vitrina.llm import lm_score as lm
 from vitrina.llm.common import fold
 
@@ -58,3 +60,20 @@ def test_probabilities_add_up(documents):
 
 def test_no_rows(empty):
     assert lm.score(empty, F.lit(True)).count() == 0
+
+
+def test_query_scores_by_trigrams(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    want = {i: score for i, *_, score in Plain(rows, 3).rows()}
+    assert {r.doc_id: r.score for r in lm.op4_lm(spark, SF0001).collect()} == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_packing_loses_nothing():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 5_000):
+        hashes = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        counts = rng.choice([0, 1, 254, 255, 256, 1 << 40], n)
+        assert (lm._unpacked_hashes(lm._packed_hashes(hashes)) == hashes).all()
+        assert (lm._unpacked(lm._packed(counts), n) == counts).all()
+    packed = lm._packed_hashes(np.unique(rng.integers(0, 1 << 64, 200_000, np.uint64)))
+    assert len(packed) < 6.3 * 200_000

@@ -8,15 +8,19 @@ left to words not seen there and leads to the context without its first word.
 The state without context has an arc for every word. Probabilities are
 interpolated: with c the n-gram's count, d its context's and m = STRENGTH * d **
 POWER, p = (c + m * lower p) / (d + m), and (c + ADD) / (N + ADD * (V + 1)) at the
-bottom; so each state's probabilities, unknown words together, add up to 1. One
-pass over a text, left to right from the start symbol's state, adds up the arcs.
+bottom; so each state's probabilities, unknown words together, add up to 1. A
+text's score is the sum of the arcs that a walk, left to right from the start
+symbol's state, would take. Lookups replace that walk: no state is carried. The
+state before a token is named by the words before it, so the counts of the n-grams
+that end at a token tell its arc and failure arcs, for all tokens at once.
 
 The model grows with the corpus, so no task holds it. Documents are dealt into
 blocks of about ``BLOCK_CHARS``. A block sends the hashes of its distinct n-grams
 with their training counts to buckets by hash (packed: a row holds a block's
 hashes for one bucket); a bucket adds up the counts over all blocks and answers
 each block with the totals of just the hashes it sent. A block then has the arcs
-its own texts can take, and walks them. N-grams of any frequency cost one hash a
+its own texts can take, and scores them. Sorted hashes go as differences, under 6
+bytes each, and a block's texts as compressed parts; both lose nothing. N-grams of any frequency cost one hash a
 block, so hot words need no care; blocks and buckets are dealt by hash.
 
 Defined cases: a null or empty text has one token, the end; rows with null ids
@@ -27,6 +31,8 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +42,10 @@ from pyspark.sql import types as T
 from .common import WordHash, field, fold, mix64, read_table, words
 
 FOLDS, HELD_OUT = 10, 0
-ORDER = 2
+ORDER = 3
 ADD = 0.1
 STRENGTH, POWER = 4.0, 0.85
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
 BLOCKS_A_BUCKET = 2
 _END, _START = np.uint64(0xE5D), np.uint64(0x57A27)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -70,7 +76,7 @@ class Block:
     def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(distinct hashes of the n-grams and, as a word, the start symbol; each token's place among them)."""
         found, places = np.unique(np.append(self.grams[n - 1], _START if n == 1 else self.grams[n - 1][:1]), return_inverse=True)
-        return found, places[:-1]
+        return found, places[:-1].astype(np.int32)
 
 
 def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -79,30 +85,73 @@ def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(hashes, limits), len(hashes))
 
 
+def _squeezed(raw: bytes) -> bytes:
+    """The length of ``raw``, and ``raw`` by zstd."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def _expanded(squeezed: bytes) -> bytes:
+    return pa.decompress(squeezed[8:], int.from_bytes(squeezed[:8], "little"), codec="zstd", asbytes=True) if squeezed else b""
+
+
 def _packed(counts: np.ndarray) -> bytes:
     """Counts in a byte each; larger ones follow as 64-bit numbers."""
     small = np.minimum(counts, 255).astype(np.uint8)
-    return small.tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+    return _squeezed(small.tobytes() + counts[counts >= 255].astype(np.int64).tobytes())
 
 
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    packed = _expanded(packed)
     counts = np.frombuffer(packed, np.uint8, n).astype(np.int64)
     counts[counts == 255] = np.frombuffer(packed, np.int64, offset=n)
     return counts
 
 
+def _packed_hashes(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences, all lowest bytes first: the high ones are zero or small, and take next to no space."""
+    return _squeezed(np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpacked_hashes(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(_expanded(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (block, rows): compressed Arrow streams of the other columns, one for each block of a batch."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by("block")
+            blocks, starts = np.unique(table.column("block").to_numpy(), return_index=True)
+            table, packed = table.drop_columns("block"), []
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                    out.write_table(table.slice(start, end - start).combine_chunks())
+                packed.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names=["block", "rows"])
+
+    return rows.mapInArrow(task, "block int, rows binary")
+
+
+def _rows(dealt: pa.Table) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(x.as_py()).read_all() for x in dealt.column("rows"))
+
+
 _SENT = "bucket int, n int, block int, hashes binary, counts binary"
 _ANSWER = "block int, n int, bucket int, counts binary, tokens long, types long"
 
 
 def count_ngrams(rows: DataFrame, n_buckets: int, order: int) -> DataFrame:
-    """Answers (block, n, bucket, counts, tokens, types) to every block. ``rows``: (block, text, train).
+    """Answers (block, n, bucket, counts, tokens, types) to every block. ``rows``: those of ``_dealt``, with text and train.
 
     tokens and types: of the training words the bucket counted, in its answer for n = 1, which every block gets.
     """
 
     def send(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
+        block, table = table.column("block")[0].as_py(), _rows(table)
         own = Block(table.column("text").to_pylist(), WordHash(), order)
         train = np.array(table.column("train").to_pylist(), bool)
         weight = np.repeat(train, own.lengths)
@@ -115,7 +164,7 @@ def count_ngrams(rows: DataFrame, n_buckets: int, order: int) -> DataFrame:
             cuts = _buckets(found, n_buckets)
             for b in range(n_buckets) if n == 1 else np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                 part = slice(cuts[b], cuts[b + 1])
-                for name, value in zip(out, (b, n, block, found[part].tobytes(), _packed(counts[part]))):
+                for name, value in zip(out, (b, n, block, _packed_hashes(found[part]), _packed(counts[part]))):
                     out[name].append(value)
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds)})
@@ -127,7 +176,7 @@ def count_ngrams(rows: DataFrame, n_buckets: int, order: int) -> DataFrame:
         for n in np.unique(ns).tolist():
             at = np.flatnonzero(ns == n)
             own = table.take(pa.array(at)).sort_by("block")
-            hashes = [np.frombuffer(x.as_py(), np.uint64) for x in own.column("hashes")]
+            hashes = [_unpacked_hashes(x.as_py()) for x in own.column("hashes")]
             counts = [_unpacked(x.as_py(), len(h)) for x, h in zip(own.column("counts"), hashes)]
             found, places = np.unique(np.concatenate(hashes), return_inverse=True)
             totals = np.bincount(places, np.concatenate(counts), len(found)).astype(np.int64)
@@ -145,7 +194,7 @@ def count_ngrams(rows: DataFrame, n_buckets: int, order: int) -> DataFrame:
 
 
 class Automaton:
-    """The part of the model that a block's texts can walk.
+    """The part of the model that a block's texts can reach.
 
     A token's n-gram of order n is the arc from the state of its context (the
     n - 1 tokens before it). Arcs and states are numbered per order; ``arc[n]``
@@ -164,12 +213,13 @@ class Automaton:
             self.arc.append(np.where(c > 0, np.log10(p), np.nan))
             self.fail.append(np.where(d > 0, np.log10(m / (d + m)), np.nan))
 
-    def walk(self, places: list[np.ndarray], whole: list[np.ndarray]) -> np.ndarray:
+    def weigh(self, places: list[np.ndarray], whole: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each token of all texts at once.
 
         ``places[n]`` is the number of a token's arc of order n + 1. A token
         starts at the longest context before it. Where its state has no arc for
-        it, it takes failure arcs, order by order, until one has.
+        it, it takes failure arcs, order by order, until one has. That is looked
+        up for every token by itself; no state is carried from token to token.
         """
         total = np.zeros(len(places[0]))
         open_ = np.ones(len(total), bool)
@@ -193,7 +243,7 @@ def score(docs: DataFrame, train, order: int = ORDER, block_chars: int = BLOCK_C
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_chars))
     n_buckets = max(1, -(-n_blocks // BLOCKS_A_BUCKET))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    rows = _dealt(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")))
     answers = count_ngrams(rows, n_buckets, order)
     schema = T.StructType([
         T.StructField("doc_id", field(docs, id_col).dataType), T.StructField("held_out", T.BooleanType()),
@@ -201,7 +251,8 @@ def score(docs: DataFrame, train, order: int = ORDER, block_chars: int = BLOCK_C
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
 
-    def walk(texts: pa.Table, answer: pa.Table) -> pa.Table:
+    def weigh(dealt: pa.Table, answer: pa.Table) -> pa.Table:
+        texts = _rows(dealt)
         own = Block(texts.column("text").to_pylist(), WordHash(), order)
         answer = answer.sort_by([("n", "ascending"), ("bucket", "ascending")])
         ns, packed = answer.column("n").to_pylist(), answer.column("counts")
@@ -217,13 +268,13 @@ def score(docs: DataFrame, train, order: int = ORDER, block_chars: int = BLOCK_C
             if n == 1:
                 start = int(counts[0][np.searchsorted(found, _START)])
                 contexts.append(np.zeros(len(found)))
-                lower.append(np.zeros(len(found), np.int64))
+                lower.append(np.zeros(len(found), np.int32))
             else:
                 # of each n-gram: the count of its context, and its last n - 1 tokens
                 before = np.concatenate([[0], counts[-2][places[-1]][:-1]])
                 before[own.starts] = start if n == 2 else 0
                 seen = np.zeros(len(found), np.int64)
-                below = np.zeros(len(found), np.int64)
+                below = np.zeros(len(found), np.int32)
                 seen[at], below[at] = before, places[-1]
                 contexts.append(seen)
                 lower.append(below)
@@ -235,11 +286,11 @@ def score(docs: DataFrame, train, order: int = ORDER, block_chars: int = BLOCK_C
             "doc_id": texts.column("doc_id"), "held_out": pa.array([not x for x in texts.column("train").to_pylist()], pa.bool_()),
             "n_tokens": pa.array(own.lengths), "n_known": pa.array(total((counts[0] > 0)[places[0]].astype(np.int64))),
             "train_tokens": pa.array(np.full(n_rows, tokens, np.int64)), "base_score": pa.array(total(model.arc[0][places[0]])),
-            "score": pa.array(total(model.walk(places, own.whole))),
+            "score": pa.array(total(model.weigh(places, own.whole))),
         })
 
     # the same rows by block as those that were counted: their shuffle is used twice
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, schema)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(weigh, schema)
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
