@@ -83,6 +83,17 @@ def test_first_of_each_group_stays(frame, awkward):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, 1, 2, 3, 4, 5, 8, 10], key=str)
 
 
+def test_each_component_keeps_a_row_when_ids_repeat(frame):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [(6, text("a")), (6, text("b")), (9, text("b") + " end"), (6, text("c")), (6, text("c") + " end"), (3, text("d")), (6, text("d")), (6, text("d"))]
+    rows += [(None, text("e")), (None, text("e") + " end"), (None, text("f")), (None, text("b")), (6, ""), (6, ""), (6, None)]
+    kept = sorted(((r.doc_id, r.text) for r in jj.keep_first(frame(rows)).collect()), key=str)
+    assert [i for i, t in kept if t and t[0] == "c"] == [i for i, t in kept if t and t[0] == "c"][:1] == [6]
+    assert [i for i, t in kept if t and t[0] == "e"] == [None]
+    rest = [(i, t) for i, t in kept if not t or t[0] not in "ce"]
+    assert rest == sorted([(6, text("a")), (6, text("b")), (3, text("d")), (None, text("f")), (6, ""), (6, None)], key=str)
+
+
 def test_tree_finds_what_the_bound_allows():
     import numpy as np
 

@@ -306,7 +306,12 @@ def _unsettled(rows: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, copy, n_shingles, component_id) of every row; copy is a hash of the text."""
+    """(doc_id, copy, n_shingles, component_id, label) of every row.
+
+    copy is a hash of the text; label is the smallest class of the component, null for
+    texts without words. Components may share an id (that stands with several texts),
+    and have none if all their ids are null; labels tell them apart.
+    """
     rows = checkpoint(signatures(docs, id_col, text_col))
     classes = checkpoint(
         rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "keys", "point")))
@@ -342,25 +347,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     named = _labelled(classes.select("cls", "rep"), labels)
     least = named.groupBy(F.col("label").alias("l2")).agg(F.min("rep").alias("component"))
-    of_class = named.join(least, F.col("label") == F.col("l2")).select(F.col("cls").alias("c2"), "component")
+    of_class = named.join(least, F.col("label") == F.col("l2")).select(F.col("cls").alias("c2"), "component", "label")
     out = rows.select("doc_id", "copy", "n", "cls").join(of_class, F.col("cls") == F.col("c2"), "left")
-    return out.select("doc_id", "copy", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", "copy", F.col("n").alias("n_shingles"), component, "label")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id; of rows equal in id, that of the smallest text hash.
 
-    Texts without words, and rows of components that have no id, stay once for
-    each id and text. The texts are shuffled once, by id, for both the join and
+    Ids that are null come last. Texts without words stay once for each id and
+    text. The texts are shuffled once, by id and text hash, for both the join and
     the choice among repeated rows.
     """
     by_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
-    first = join(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    kept = first.groupBy(by_id("doc_id"), F.when(alone, F.col("copy")).alias("_text")).agg(F.min("copy").alias("_copy")).select("_id", "_copy")
+    members = join(docs, id_col, text_col)
+    alone = F.when(F.col("n_shingles") == 0, F.struct(by_id("doc_id"), "copy")).alias("_alone")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy"))
+    kept = members.groupBy("label", alone).agg(first.alias("_first"))
+    kept = kept.select("_first.doc_id", F.col("_first.copy").alias("_copy")).select(by_id("doc_id"), "_copy")
     row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
     rows = docs.select(row, by_id(id_col), F.xxhash64(text_col).alias("_copy"))
-    rows = rows.join(kept.withColumnRenamed("_copy", "_kept"), "_id").where("_copy = _kept")
+    rows = rows.join(kept, ["_id", "_copy"])
     one = W.partitionBy("_id", "_copy").orderBy("_copy")
     rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1")
     return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
