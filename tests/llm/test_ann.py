@@ -49,6 +49,17 @@ def test_all_rows_scored_is_exact_with_ties(spark):
     assert got == {q: exact(vectors, q) for q in (0, 50, 100, 200, 250)}
 
 
+def test_repeated_rows_leave_other_ids_in(spark):
+    rng = np.random.default_rng(3)
+    v, w = (rng.normal(size=8).astype(np.float32).tolist() for _ in range(2))
+    rows = [(50, v)] * 20 + [(i, v) for i in range(51, 56)] + [(60, w)] * 9 + [(100, w), (61, w), (61, w)]
+    got = search(table(spark, rows))
+    assert [i for _, i in got[50]] == [51, 52, 53, 54, 55] and {s for s, _ in got[50]} == {-1.0}
+    assert [i for _, i in got[100]] == [60] * 5
+    rows = [(i, v) for i in (50, 51, 51, 52) for _ in range(2)]
+    assert [i for _, i in search(table(spark, rows))[50]] == [51, 51, 51, 51, 52]
+
+
 def test_unusable_vectors_and_small_tables(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0]), (50, [None, 1.0])]
     got = search(table(spark, rows))

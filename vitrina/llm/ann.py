@@ -12,8 +12,10 @@ block's ``k`` best meet in a ranking per query.
 
 Queries are dealt into blocks as well, so a task holds one block of either; each
 query meets every block of vectors. Of vectors that are equal, number for
-number, only the k + 1 with the smallest ids are indexed: no others can be among
-a query's k nearest. A rank limit before the shuffle keeps such groups small.
+number, only those of the k + 1 smallest ids are indexed, and k rows of each id:
+no others can be among a query's k nearest, as one id at most is the query's own.
+Rows equal in both are counted before the shuffle, and a rank limit before the
+next one keeps groups of equal vectors small.
 
 Defined cases: vectors that are null, empty, all zero or hold null or non-finite
 components take no part, nor do null ids and vectors whose length is not the
@@ -57,11 +59,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def index(rows: DataFrame, pivots: int = PIVOTS, length: int = LENGTH, keep: int = K + 1) -> DataFrame:
-    """(vec_id, vector, places): ``places`` are the nearest pivots of each vector, nearest first."""
+def index(rows: DataFrame, pivots: int = PIVOTS, length: int = LENGTH, k: int = K) -> DataFrame:
+    """(vec_id, vector, places) of what can be among k nearest: ``places`` are the nearest pivots of each vector, nearest first."""
     same = W.partitionBy("vector").orderBy("vec_id")
-    kept = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= keep)
-    chosen = kept.where("copy = 1").orderBy(F.xxhash64("vector"), "vec_id").limit(pivots).select("vector").collect()
+    ids = rows.groupBy("vector", "vec_id").agg(F.count("*").alias("n"))
+    ids = ids.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1)
+    kept = ids.withColumn("row", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)))))
+    chosen = ids.where("copy = 1").orderBy(F.xxhash64("vector"), "vec_id").limit(pivots).select("vector").collect()
     if not chosen:
         return kept.select("vec_id", "vector", F.array().cast("array<smallint>").alias("places"))
     of = _unit(np.array([r["vector"] for r in chosen], np.float64))
@@ -137,7 +141,7 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K, pivots: in
     rows = usable(vectors)
     asked = rows.where(F.col("vec_id") % every == 0)
     asked = asked.withColumn("n", F.row_number().over(W.partitionBy("vec_id").orderBy("vector"))).where("n = 1").drop("n")
-    indexed = checkpoint(index(rows, pivots, length, k + 1))
+    indexed = checkpoint(index(rows, pivots, length, k))
     # a query's order of pivots is that of its vector in the index
     places = indexed.select("vector", "places").dropDuplicates(["vector"])
     return search(asked.join(places, "vector").select("vec_id", "vector", "places"), indexed, k, **options)
