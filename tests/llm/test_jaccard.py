@@ -94,6 +94,21 @@ def test_each_component_keeps_a_row_when_ids_repeat(frame):
     assert rest == sorted([(6, text("a")), (6, text("b")), (3, text("d")), (None, text("f")), (6, ""), (6, None)], key=str)
 
 
+def test_each_class_gets_one_text(frame, monkeypatch):
+    texts = [" ".join(f"{n}x{k}" for k in range(40)) + end for n in range(12) for end in ("", " end")]
+    rows = [(i, t) for i, t in zip([None] * 16 + [7] * 8, texts)] * 2 + [(None, "other")] * 30 + [(7, "more")] * 30
+    seen, real = [], jj.checkpoint
+
+    def checkpoint(df):
+        out = real(df)
+        seen.extend(r.c2 for r in out.collect()) if out.columns == ["c2", "text"] else None
+        return out
+
+    monkeypatch.setattr(jj, "checkpoint", checkpoint)
+    assert found(frame(rows)) == brute(rows)
+    assert len(seen) == len(set(seen)) == 24
+
+
 def test_tree_finds_what_the_bound_allows():
     import numpy as np
 

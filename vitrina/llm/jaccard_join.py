@@ -284,7 +284,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, labels = {}, {}
         for cls, label, text in zip(rows.column("cls").to_pylist(), rows.column("label").to_pylist(), rows.column("text")):
             s = shingles(text.as_py(), hashes)
-            if set_hash(s) == cls:  # another text may stand under the same id
+            if set_hash(s) == cls:  # but for a clash of text hashes
                 sets[cls], labels[cls] = s, label
         names, of = np.array(list(sets), np.int64), list(sets.values())
         if len(of) < 2:
@@ -305,6 +305,16 @@ def _unsettled(rows: DataFrame) -> DataFrame:
     return rows.join(open_, F.col("g") == F.col("g2"), "left_semi")
 
 
+def _by_id(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("null")).alias("_id")
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row for each (_id, _copy); the rank limit holds before the shuffle as well, so repeated rows stay few."""
+    one = W.partitionBy("_id", "_copy").orderBy("_copy")
+    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, copy, n_shingles, component_id, label) of every row.
 
@@ -313,9 +323,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     and have none if all their ids are null; labels tell them apart.
     """
     rows = checkpoint(signatures(docs, id_col, text_col))
-    classes = checkpoint(
-        rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "keys", "point")))
-    )
+    # a class stands for the row of its smallest id (null last), then text hash
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("first")
+    classes = rows.where("n > 0").groupBy("cls").agg(first, *(F.any_value(c).alias(c) for c in ("n", "keys", "point")))
+    classes = checkpoint(classes.select("cls", F.col("first.doc_id").alias("rep"), F.col("first.copy").alias("rep_copy"), "n", "keys", "point"))
     points = classes.select(F.col("cls").alias("c2"), "point")
     with_points = lambda r: r.join(points, F.col("cls") == F.col("c2")).drop("c2")
 
@@ -329,11 +340,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     clusters = checkpoint(components(edges.union(more)))
 
     # links inside clusters, on the texts
-    members = _labelled(classes.select("cls", "rep", "n"), clusters).withColumnRenamed("label", "g")
+    members = _labelled(classes.select("cls", "rep", "rep_copy", "n"), clusters).withColumnRenamed("label", "g")
     several = members.groupBy("g").count().where("count > 1").select(F.col("g").alias("g2"))
     members = checkpoint(members.join(several, F.col("g") == F.col("g2"), "left_semi"))
-    texts = docs.select(F.col(id_col).alias("id2"), F.col(text_col).alias("text"))
-    texts = checkpoint(members.select(F.col("cls").alias("c2"), "rep").join(texts, F.col("rep").eqNullSafe(F.col("id2"))).select("c2", "text"))
+    texts = _one_each(docs.select(_by_id(id_col), F.xxhash64(text_col).alias("_copy"), F.col(text_col).alias("text")))
+    wanted = members.select(F.col("cls").alias("c2"), _by_id("rep"), F.col("rep_copy").alias("_copy"))
+    texts = checkpoint(wanted.join(texts, ["_id", "_copy"]).select("c2", "text"))
     with_text = lambda r: r.join(texts, F.col("cls") == F.col("c2")).drop("c2")
     alone = members.select("g", "cls", "n", F.col("cls").alias("label"))
     links = checkpoint(_meet(with_text(_tiled(alone, True, False)), _verified))
@@ -360,17 +372,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text. The texts are shuffled once, by id and text hash, for both the join and
     the choice among repeated rows.
     """
-    by_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
     members = join(docs, id_col, text_col)
-    alone = F.when(F.col("n_shingles") == 0, F.struct(by_id("doc_id"), "copy")).alias("_alone")
+    alone = F.when(F.col("n_shingles") == 0, F.struct(_by_id("doc_id"), "copy")).alias("_alone")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy"))
     kept = members.groupBy("label", alone).agg(first.alias("_first"))
-    kept = kept.select("_first.doc_id", F.col("_first.copy").alias("_copy")).select(by_id("doc_id"), "_copy")
+    kept = kept.select("_first.doc_id", F.col("_first.copy").alias("_copy")).select(_by_id("doc_id"), "_copy")
     row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
-    rows = docs.select(row, by_id(id_col), F.xxhash64(text_col).alias("_copy"))
-    rows = rows.join(kept, ["_id", "_copy"])
-    one = W.partitionBy("_id", "_copy").orderBy("_copy")
-    rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    rows = docs.select(row, _by_id(id_col), F.xxhash64(text_col).alias("_copy"))
+    rows = _one_each(rows.join(kept, ["_id", "_copy"]))
     return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
