@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprint, jaccard_join, lm_score, mixing, quality, secrets, toxicity, url_filter
+from . import ann, bpe, conversations, fingerprint, jaccard_join, lm_score, mixing, packing, phrases, quality, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe.op8_bpe,
     "op9_nearest": ann.op9_nearest,
     "op10_quality": quality.op10_quality,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_packing": packing.op12_packing,
+    "op13_conversations": conversations.op13_conversations,
 }
 
 #: Queries that SQL cannot express are tested against brute force in tests/llm.
@@ -26,6 +29,8 @@ ORACLE: dict[str, str] = {
     "op1_mix": mixing.ORACLE_SQL,
     "op2_fingerprint": fingerprint.ORACLE_SQL,
     "op7_url_filter": url_filter.ORACLE_SQL,
+    "op11_phrases": phrases.ORACLE_SQL,
+    "op13_conversations": conversations.ORACLE_SQL,
 }
 
 
