@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -107,17 +108,21 @@ def test_registrations(t):
 
 
 def replay_logins(t, logins):
-    held = {p: {} for p in ("google", "facebook")}
     accounts, by_email, out = {}, {}, []
     for r in sorted(t.customers.collect(), key=lambda r: r.customer_id):
         accounts[r.customer_id] = {"google": r.google_id, "facebook": r.facebook_id}
         by_email.setdefault((r.email or "").lower(), r.customer_id)
-    del held
     for r in sorted(logins.collect(), key=lambda r: r.arrival):
-        holder = next((a for a, ids in accounts.items() if ids[r.provider] == r.provider_id), None)
+        if r.provider not in ("google", "facebook"):
+            out.append((r.arrival, "reject", None))
+            continue
+        holder = next((a for a, ids in accounts.items() if r.provider_id is not None and ids[r.provider] == r.provider_id), None)
         if holder is not None:
             out.append((r.arrival, "login", holder))
             continue
+        if r.email is None:  # the shop's insert fails
+            out.append((r.arrival, "reject", None))
+            continue
         email = r.email.lower()
         if email in by_email:
             accounts[by_email[email]][r.provider] = r.provider_id
@@ -146,6 +151,39 @@ def test_logins_repeated_and_by_two_providers(spark):
     assert got == sorted(replay_logins(t, logins))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_logins_with_moved_ids(spark, seed):
+    """Random batches in which ids move between accounts, e-mails lack and stored ids come with other e-mails."""
+    rng = random.Random(seed)
+    customers = [
+        {"customer_id": k, "email": f"c{k % 9}@x.org", "google_id": f"g{k}" if k % 2 else None, "facebook_id": f"f{k}" if k % 3 else None} for k in range(1, 12)
+    ]
+    t = make_tables(spark, customers=customers)
+    ids, emails = [None, *(f"g{k}" for k in range(8 + seed)), *(f"f{k}" for k in range(6))], [None, *(f"c{k}@X.org" for k in range(9)), *(f"new{k}@x.org" for k in range(5 + 4 * seed))]
+    rows = [(k, rng.choice(["google", "google", "facebook", "other" if rng.random() < 0.1 else "google"]), rng.choice(ids), rng.choice(emails)) for k in range(250)]
+    logins = spark.createDataFrame(rows, "arrival long, provider string, provider_id string, email string")
+    got = sorted(((r.arrival, r.action, r.customer_id) for r in ingest.link_identities(t, logins).collect()), key=str)
+    assert got == sorted(replay_logins(t, logins), key=str)
+
+
+def test_a_chain_of_moves(spark):
+    """Every login depends on the one before: the rounds go on until the end of the chain."""
+    t = make_tables(spark, customers=[{"customer_id": k, "email": f"c{k}@x.org", "google_id": f"g{k}"} for k in range(1, 8)])
+    rows = [(k, "google", f"g{k}", f"c{k + 1}@x.org") for k in range(1, 7)]
+    rows = [(0, "google", "fresh", "c1@x.org"), *rows, *((20 + a, "google", f"g{k}", "c9@x.org") for a, (_, _, _, _) in enumerate(rows) for k in [a + 1])]
+    logins = spark.createDataFrame(rows, "arrival long, provider string, provider_id string, email string")
+    got = sorted(((r.arrival, r.action, r.customer_id) for r in ingest.link_identities(t, logins).collect()), key=str)
+    assert got == sorted(replay_logins(t, logins), key=str)
+
+
+def test_equal_logins_and_one_hot_id(spark):
+    t = make_tables(spark, customers=[{"customer_id": 1, "email": "a@x.org", "google_id": "g1"}])
+    rows = [(1, "google", "n1", "new@x.org")] * 3 + [(2, "google", None, None)] * 2 + [(3, "google", "n2", None)] * 2 + [(10 + k, "google", "hot", f"c{k}@x.org") for k in range(300)]
+    logins = spark.createDataFrame(rows, "arrival long, provider string, provider_id string, email string")
+    got = sorted(((r.arrival, r.action, r.customer_id) for r in ingest.link_identities(t, logins).collect()), key=str)
+    assert got == sorted(replay_logins(t, logins), key=str)
+
+
 def test_every_foreign_key_reports_its_own_orphans(spark):
     t = make_tables(
         spark,

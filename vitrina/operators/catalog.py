@@ -535,13 +535,13 @@ def product_ratings(t: Tables) -> DataFrame:
 
 
 def latest_reviews(t: Tables, n: int = 3) -> DataFrame:
-    """Q29: newest ``n`` approved reviews per product.
+    """Q29: newest ``n`` approved reviews per product (ties: higher review id first, as in the detail).
 
     ``row_number() <= n`` lets Catalyst insert a partial WindowGroupLimit
     before the shuffle, so even a product with a huge share of reviews sends
     at most n rows per map task to its window task.
     """
-    w = Window.partitionBy("product_id").orderBy(F.col("created_at").desc(), F.col("review_id").asc())
+    w = Window.partitionBy("product_id").orderBy(F.col("created_at").desc(), F.col("review_id").desc())
     return (
         approved_reviews(t)
         .select("product_id", "review_id", "rating", "created_at")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import money
+from ..session import checkpointed
 from ..sources import literals
 from ..sources.tables import Tables
 
@@ -24,6 +25,7 @@ REASON_REQUIRED = "name, price and category are required"
 REASON_PRICE = "invalid price"
 REASON_CATEGORY = "invalid category"
 REASON_NEGATIVE = "negative price or stock"
+PROVIDERS = ("google", "facebook")
 REASON_FIELDS = "all fields are required"
 REASON_EMAIL = "invalid email"
 REASON_PASSWORD_MATCH = "passwords do not match"
@@ -291,85 +293,170 @@ def clean_customers(t: Tables, batch: DataFrame | None = None) -> DataFrame:
 
 
 def oauth_login_batch(t: Tables) -> DataFrame:
-    """OAuth logins derived from the shop, in order of ``arrival``: every customer signs
-    in with Google (its stored id, or a fresh one; e-mail upper-cased), every fourth then
-    with another id and with the first again; guest e-mails sign in with Facebook, some
-    repeat the login, some come back with Google."""
+    """OAuth logins derived from the shop, in order of ``arrival``.
+
+    Every customer signs in with Google (its stored id, or a fresh one; e-mail
+    upper-cased), every fourth then with another id and with the first again. That other
+    id, free again, comes back with the next customer's e-mail and moves there; later it
+    is used with the first e-mail once more. Some logins bring no e-mail, with ids that
+    are held and with ids that aren't. Guest e-mails sign in with Facebook, some repeat
+    the login, some come back with Google."""
     c, number = t.customers, F.col("customer_id")
     own = F.coalesce(F.col("google_id"), F.concat(F.lit("new-g"), number.cast("string")))
+    none = F.lit(None).cast("string")
 
-    def customer(step: int, provider_id: Column, wanted: Column) -> DataFrame:
+    def customer(step: int, provider_id: Column, wanted: Column, email: Column | None = None) -> DataFrame:
         return c.filter(wanted).select(
             (number + step * 1_000_000_000_000).alias("arrival"), F.lit("google").alias("provider"), provider_id.alias("provider_id"),
-            F.upper("email").alias("email"), F.col("first_name").alias("given_name"), F.col("last_name").alias("family_name"),
+            (F.upper("email") if email is None else email).alias("email"), F.col("first_name").alias("given_name"), F.col("last_name").alias("family_name"),
         )
 
     guests, order = t.orders.filter(F.col("customer_id").isNull()), F.col("order_id")
 
-    def guest(step: int, provider: str, wanted: Column) -> DataFrame:
+    def guest(step: int, provider: str, wanted: Column, prefix: str | None = None, email: Column | None = None) -> DataFrame:
         return guests.filter(wanted).select(
             (order + step * 1_000_000_000_000).alias("arrival"), F.lit(provider).alias("provider"),
-            F.concat(F.lit(provider[0] + "b-"), order.cast("string")).alias("provider_id"), F.col("guest_email").alias("email"),
+            F.concat(F.lit(prefix or provider[0] + "b-"), order.cast("string")).alias("provider_id"), (F.col("guest_email") if email is None else email).alias("email"),
             F.split_part(F.col("guest_name"), F.lit(" "), F.lit(1)).alias("given_name"),
             F.split_part(F.col("guest_name"), F.lit(" "), F.lit(2)).alias("family_name"),
         )
 
     other = F.concat(F.lit("other-g"), number.cast("string"))
+    before = F.concat(F.lit("other-g"), (number - 1).cast("string"))
     parts = [
         customer(0, own, F.lit(True)), guest(1, "facebook", F.lit(True)), guest(2, "google", order % 5 == 0),
         guest(3, "facebook", order % 7 == 0), customer(4, other, number % 4 == 0), customer(5, own, number % 4 == 0),
+        customer(6, before, number % 8 == 1), customer(7, own, number % 8 == 1, none), customer(8, before, number % 8 == 1, none),
+        customer(9, other, number % 8 == 0), guest(10, "google", order % 11 == 0, "gx-", none),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _arrival(logins: DataFrame) -> Column:
+    return F.col("arrival").cast("long") if "arrival" in logins.columns else F.xxhash64("provider", "provider_id", "email")
+
+
+def _login_events(t: Tables, logins: DataFrame) -> DataFrame:
+    """Logins (equal ones counted) and, before all of them, the ids that customers store.
+
+    ``account``: the customer of the e-mail (the lowest id), else the e-mail itself, else
+    null. ``at``: the place in time.
+    """
+    rows = logins.select(_arrival(logins).alias("_at"), "provider", "provider_id", "email").groupBy("_at", "provider", "provider_id", "email").agg(F.count("*").alias("times"))
+    c = t.customers
+    by_email = c.groupBy(F.lower("email").alias("_e")).agg(F.min("customer_id").alias("_owner"))
+    account = F.coalesce(F.concat(F.lit("c:"), F.col("_owner").cast("string")), F.concat(F.lit("e:"), F.lower("email")))
+    rows = rows.join(by_email, F.lower("email") == F.col("_e"), "left").select(
+        "provider", "provider_id", account.alias("account"), F.struct(F.lit(1).alias("k"), "_at", "provider_id", "email").alias("at"), "times"
+    )
+    start = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("_at"), F.col("provider_id"), F.lit(None).cast("string").alias("email"))
+    stored = [
+        c.filter(F.col(f"{p}_id").isNotNull())
+        .groupBy(F.lit(p).alias("provider"), F.col(f"{p}_id").alias("provider_id"))
+        .agg(F.concat(F.lit("c:"), F.min("customer_id").cast("string")).alias("account"))
+        .select("provider", "provider_id", "account", start.alias("at"), F.lit(0).cast("long").alias("times"))
+        for p in PROVIDERS
+    ]
+    return reduce(DataFrame.union, stored, rows)
+
+
+def _held_round(events: DataFrame) -> DataFrame:
+    """One round: ``puts`` (does the login put its id into its account?) anew from the ``puts`` of earlier events.
+
+    An id is held from the event that puts it into an account until another id is put there.
+    """
+    # without an account nothing is put, and a null id is never found: those rows are spread
+    mine = F.when(F.col("account").isNull(), F.col("provider_id"))
+    later = Window.partitionBy("provider", "account", mine).orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    until = F.last(F.when(F.col("puts"), F.col("at")), ignorenulls=True).over(later)
+    theirs = F.when(F.col("provider_id").isNull(), F.col("at"))
+    before = Window.partitionBy("provider", "provider_id", theirs).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    put = F.last(F.when(F.col("puts"), F.struct("account", "until")), ignorenulls=True).over(before)
+    held = F.col("put").isNotNull() & (F.col("put.until").isNull() | (F.col("put.until") >= F.col("at")))
+    return (
+        events.withColumnRenamed("puts", "was")
+        .withColumn("puts", F.col("was"))
+        .withColumn("until", until)
+        .withColumn("put", put)
+        .withColumn("holder", F.when(held, F.col("put.account")))
+        .withColumn("puts", (F.col("at.k") == 0) | (F.col("account").isNotNull() & F.col("holder").isNull()))
+        .drop("until", "put")
+    )
+
+
 def link_identities(t: Tables, logins: DataFrame | None = None) -> DataFrame:
     """Q53: logins in order of arrival: by provider id, else linked by e-mail
-    (case-insensitive; the lowest customer id), else an account is created.
-
-    An account holds one id per provider, that of its last login with it: each login
-    either finds it there or puts it there. So among an account's logins with one
-    provider, one is a ``login`` if its id equals the one before (at first, the stored
-    one), and otherwise a ``link``; the first login of an e-mail without customer is the
-    ``create``. A provider id that a customer stores belongs to that customer whatever
-    the login's e-mail; any other one belongs to the e-mail it first comes with.
+    (case-insensitive; the lowest customer id), else an account is created; without an
+    e-mail too, or with another provider, rejected.
+
+    An account holds one id of a provider. A login whose id no account holds puts it into
+    the account of its e-mail, which frees the id held there; a freed id may then move to
+    another e-mail's account. So what a login does depends on earlier logins of the same
+    id and of the same account only.
+
+    - Ids that come with one account: each login of the account that brings another id
+      than the one before puts it. One window by account decides.
+    - Accounts with an id that comes with several (or without an e-mail): rounds of two
+      windows (what ends each holding, by account; the last holding of each id), starting
+      from that guess, until nothing changes. As every event depends on earlier ones only,
+      the labels that no longer change are those of the sequence.
+
+    The rounds run on those accounts alone and are checkpointed. Groups are one id or one
+    account, equal logins are counted before, and windows run over sorted rows without
+    holding a group in memory. Stored provider ids are unique (``uniqueness_audit``).
     ``customer_id`` is NULL for accounts created by the batch.
     """
     if logins is None:
         logins = oauth_login_batch(t)
-    at = F.col("arrival").cast("long") if "arrival" in logins.columns else F.xxhash64("provider", "provider_id", "email")
-    rows = logins.select(at.alias("_at"), "provider", "provider_id", "email", F.lower("email").alias("_email"))
-    c = t.customers
-    stored = [
-        c.filter(F.col(f"{p}_id").isNotNull()).select(F.lit(p).alias("provider"), F.col(f"{p}_id").alias("provider_id"), "customer_id")
-        for p in ("google", "facebook")
-    ]
-    holders = reduce(DataFrame.unionByName, stored).groupBy("provider", "provider_id").agg(F.min("customer_id").alias("_holder"))
-    by_email = c.groupBy(F.lower("email").alias("_e")).agg(F.min("customer_id").alias("_by_email"))
-    first_email = rows.groupBy("provider", "provider_id").agg(F.min_by("_email", F.struct("_at", "_email")).alias("_first_email"))
-    rows = (
-        rows.join(holders, ["provider", "provider_id"], "left")
-        .join(first_email, ["provider", "provider_id"], "left")
-        .withColumn("_owner", F.coalesce(F.col("_first_email"), F.col("_email")))
-        .join(by_email, F.col("_owner") == F.col("_e"), "left")
+    # no id and no e-mail, or no known provider: nothing to find and nothing to store
+    void = ~F.coalesce(F.col("provider").isin(*PROVIDERS), F.lit(False)) | (F.col("provider_id").isNull() & F.col("email").isNull())
+    events = _login_events(t, logins.filter(~void))
+    by_account = Window.partitionBy("provider", F.coalesce(F.col("account"), F.col("provider_id"))).orderBy("at")
+    same = F.coalesce(F.lag("provider_id").over(by_account) == F.col("provider_id"), F.lit(False))
+    several = (
+        events.filter(F.col("provider_id").isNotNull())
+        .groupBy("provider", "provider_id")
+        .agg(F.min("account").alias("_low"), F.max("account").alias("_high"), F.count(F.when(F.col("account").isNull(), 1)).alias("_none"))
+        .filter((F.col("_low") != F.col("_high")) | (F.col("_none") > 0))
     )
-    customer = F.coalesce(F.col("_holder"), F.col("_by_email"))
-    account = F.struct(customer.alias("id"), F.when(customer.isNull(), F.col("_owner")).alias("email"))
-    rows = rows.withColumn("_customer", customer).withColumn("_account", account)
-    ids = c.select(F.col("customer_id").alias("_id"), "google_id", "facebook_id")
-    rows = rows.join(ids, F.col("_customer") == F.col("_id"), "left")
-    initial = F.when(F.col("provider") == "google", F.col("google_id")).otherwise(F.col("facebook_id"))
-    order = ["_at", "provider", "provider_id"]
-    before = F.lag("provider_id").over(Window.partitionBy("_account", "provider").orderBy(*order))
-    births = rows.filter(F.col("_customer").isNull()).groupBy(F.col("_owner").alias("_born")).agg(F.min(F.struct(*order)).alias("_birth"))
-    rows = rows.withColumn("_before", F.coalesce(before, initial)).join(
-        births, F.col("_customer").isNull() & (F.col("_owner") == F.col("_born")), "left"
+    open_ = events.join(several, ["provider", "provider_id"], "left_semi").filter(F.col("account").isNotNull())
+    open_ = open_.select(F.col("provider").alias("_p"), F.col("account").alias("_a"), F.lit(True).alias("_open")).distinct()
+    events = events.withColumn("puts", (F.col("at.k") == 0) | (F.col("account").isNotNull() & ~same))
+    events = checkpointed(
+        events.join(open_, (F.col("provider") == F.col("_p")) & (F.col("account") == F.col("_a")), "left")
+        .withColumn("open", F.col("account").isNull() | F.col("_open").isNotNull())
+        .drop("_p", "_a", "_open")
     )
+    done = events.filter(~F.col("open")).withColumn("holder", F.when(~F.col("puts"), F.col("account"))).drop("open")
+    labels = events.filter("open").drop("open")
+    while True:
+        labels = checkpointed(_held_round(labels))
+        changed = labels.filter(F.col("puts") != F.col("was")).limit(1).count()
+        labels = labels.drop("was")
+        if not changed:
+            break
+        labels = labels.drop("holder")
+    every = done.unionByName(labels).filter("times > 0")
+    fresh = F.col("puts") & F.col("account").startswith("e:")
+    moment = F.struct("at._at", "provider", "provider_id", "at.email")
+    births = every.filter(fresh).groupBy(F.col("account").alias("_born")).agg(F.min(moment).alias("_birth"))
+    every = every.join(births, fresh & (F.col("account") == F.col("_born")), "left")
     action = (
-        F.when(F.col("_before") == F.col("provider_id"), "login")
-        .when(F.struct(*order) == F.col("_birth"), "create")
+        F.when(F.col("holder").isNotNull(), "login")
+        .when(~F.col("puts"), "reject")
+        .when(moment == F.col("_birth"), "create")
         .otherwise("link")
     )
-    return rows.select("provider", "provider_id", "email", F.col("_at").alias("arrival"), action.alias("action"), F.col("_customer").alias("customer_id"))
+    who = F.coalesce(F.col("holder"), F.col("account"))
+    every = every.withColumn("action", action).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    again = (F.col("_copy") > 1) & (F.col("action") != "reject") & F.col("provider_id").isNotNull()
+    out = every.select(
+        "provider", "provider_id", F.col("at.email").alias("email"), F.col("at._at").alias("arrival"),
+        F.when(again, "login").when((F.col("_copy") > 1) & (F.col("action") == "create"), "link").otherwise(F.col("action")).alias("action"),
+        F.when(who.startswith("c:"), F.substring(who, 3, 20).cast("long")).alias("customer_id"),
+    )
+    rest = logins.filter(void).select("provider", "provider_id", "email", _arrival(logins).alias("arrival"), F.lit("reject").alias("action"), F.lit(None).cast("long").alias("customer_id"))
+    return out.union(rest)
 
 
 def product_slug(name: Column, suffix: Column) -> Column:

@@ -266,15 +266,11 @@ register(
 
 register(
     "link_identities",
+    # the logins of each group that shares ids or accounts, one after the other; ``held``: who has which id, ``born``: new accounts
     q(
-        """SELECT provider, provider_id, email, arrival,
-                  CASE WHEN held = provider_id THEN 'login' WHEN customer_id IS NULL AND turn = 1 THEN 'create' ELSE 'link' END AS action, customer_id
-           FROM (
-             SELECT l.*, u.customer_id, ROW_NUMBER() OVER (PARTITION BY lower(l.email) ORDER BY l.arrival) AS turn,
-                    -- what the account holds for the provider: the id of its login before, or the stored one
-                    COALESCE(LAG(l.provider_id) OVER (PARTITION BY lower(l.email), l.provider ORDER BY l.arrival),
-                             CASE l.provider WHEN 'google' THEN u.google_id ELSE u.facebook_id END) AS held
-             FROM logins l LEFT JOIN customers u ON lower(u.email) = lower(l.email)) x""",
+        """SELECT provider, provider_id, email, arrival, action,
+                  CASE WHEN who LIKE 'c:%' THEN CAST(substr(who, 3) AS BIGINT) END AS customer_id
+           FROM replay WHERE turn > 0""",
         """own AS (SELECT *, COALESCE(google_id, 'new-g' || CAST(customer_id AS VARCHAR)) AS g FROM customers),
   guests AS (SELECT order_id, guest_email FROM shop_orders WHERE customer_id IS NULL),
   logins AS (
@@ -283,8 +279,43 @@ register(
     UNION ALL SELECT order_id + 2000000000000, 'google', 'gb-' || CAST(order_id AS VARCHAR), guest_email FROM guests WHERE order_id % 5 = 0
     UNION ALL SELECT order_id + 3000000000000, 'facebook', 'fb-' || CAST(order_id AS VARCHAR), guest_email FROM guests WHERE order_id % 7 = 0
     UNION ALL SELECT customer_id + 4000000000000, 'google', 'other-g' || CAST(customer_id AS VARCHAR), upper(email) FROM own WHERE customer_id % 4 = 0
-    UNION ALL SELECT customer_id + 5000000000000, 'google', g, upper(email) FROM own WHERE customer_id % 4 = 0)""",
-    ),
+    UNION ALL SELECT customer_id + 5000000000000, 'google', g, upper(email) FROM own WHERE customer_id % 4 = 0
+    UNION ALL SELECT customer_id + 6000000000000, 'google', 'other-g' || CAST(customer_id - 1 AS VARCHAR), upper(email) FROM own WHERE customer_id % 8 = 1
+    UNION ALL SELECT customer_id + 7000000000000, 'google', g, NULL FROM own WHERE customer_id % 8 = 1
+    UNION ALL SELECT customer_id + 8000000000000, 'google', 'other-g' || CAST(customer_id - 1 AS VARCHAR), NULL FROM own WHERE customer_id % 8 = 1
+    UNION ALL SELECT customer_id + 9000000000000, 'google', 'other-g' || CAST(customer_id AS VARCHAR), upper(email) FROM own WHERE customer_id % 8 = 0
+    UNION ALL SELECT order_id + 10000000000000, 'google', 'gx-' || CAST(order_id AS VARCHAR), NULL FROM guests WHERE order_id % 11 = 0),
+  owners AS (SELECT lower(email) AS e, MIN(customer_id) AS id FROM customers GROUP BY ALL),
+  stored AS (
+    SELECT 'google|' || google_id AS k, 'c:' || CAST(MIN(customer_id) AS VARCHAR) AS account FROM customers WHERE google_id IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT 'facebook|' || facebook_id, 'c:' || CAST(MIN(customer_id) AS VARCHAR) FROM customers WHERE facebook_id IS NOT NULL GROUP BY ALL),
+  named AS (
+    SELECT l.*, l.provider || '|' || l.provider_id AS k, CASE WHEN l.email IS NOT NULL THEN COALESCE('c:' || CAST(o.id AS VARCHAR), 'e:' || lower(l.email)) END AS account
+    FROM logins l LEFT JOIN owners o ON o.e = lower(l.email)),
+  used AS (SELECT k, account FROM named UNION SELECT s.k, s.account FROM stored s WHERE k IN (SELECT k FROM named) OR account IN (SELECT account FROM named)),
+  links AS (SELECT k AS a, COALESCE(account, k) AS b FROM used),
+  nodes AS (SELECT a AS node, MIN(least(a, b)) AS label FROM (SELECT a, b FROM links UNION SELECT b, a FROM links) GROUP BY ALL),
+  reach AS (
+    SELECT a AS node, a AS other FROM (SELECT a FROM links UNION SELECT b FROM links) UNION
+    SELECT r.node, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON l.a = r.other),
+  parts AS (SELECT node, MIN(other) AS part FROM reach GROUP BY ALL),
+  turns AS (SELECT n.*, p.part, ROW_NUMBER() OVER (PARTITION BY p.part ORDER BY n.arrival) AS turn FROM named n JOIN parts p ON p.node = n.k),
+  replay AS (
+    SELECT t.part, CAST(0 AS BIGINT) AS turn, COALESCE(list({'k': s.k, 'a': s.account}) FILTER (WHERE s.k IS NOT NULL), []) AS held, CAST([] AS VARCHAR[]) AS born,
+           CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS VARCHAR) AS provider, CAST(NULL AS VARCHAR) AS provider_id, CAST(NULL AS VARCHAR) AS email,
+           CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS who
+    FROM (SELECT DISTINCT part FROM turns) t LEFT JOIN (SELECT s.*, p.part FROM stored s JOIN parts p ON p.node = s.k) s USING (part) GROUP BY t.part
+    UNION ALL
+    SELECT part, turn,
+           CASE WHEN holder IS NULL AND account IS NOT NULL
+                THEN list_append(list_filter(held, lambda h: NOT (h.a = account AND split_part(h.k, '|', 1) = provider)), {'k': k, 'a': account}) ELSE held END,
+           CASE WHEN holder IS NULL AND account LIKE 'e:%' THEN list_append(born, account) ELSE born END,
+           arrival, provider, provider_id, email,
+           CASE WHEN holder IS NOT NULL THEN 'login' WHEN account IS NULL THEN 'reject'
+                WHEN account LIKE 'c:%' OR list_contains(born, account) THEN 'link' ELSE 'create' END,
+           COALESCE(holder, account)
+    FROM (SELECT t.*, r.held, r.born, list_filter(r.held, lambda h: h.k = t.k)[1].a AS holder FROM replay r JOIN turns t ON t.part = r.part AND t.turn = r.turn + 1) x)""",
+    ).replace("WITH categories", "WITH RECURSIVE categories", 1),
 )
 
 register(
@@ -414,3 +445,40 @@ register(
     + q(oracle_reports.PENDING, oracle_reports.PLACES)
     + "\n) p",
 )
+
+
+def _json_of(key: str, fields: str) -> str:
+    return f"SELECT CAST(to_json({{{fields}}}) AS VARCHAR) AS value FROM (\n{_body(key)}\n) p"
+
+
+register(
+    "export_json_categories",
+    _json_of(
+        "sales_by_category",
+        "'category_id': category_id, 'category_name': category_name, 'total_orders': total_orders, 'units_sold': units_sold, 'revenue': CAST(revenue AS DECIMAL(38,2))",
+    ),
+)
+register(
+    "export_json_top_products",
+    _json_of(
+        "top_products",
+        """'product_id': product_id, 'product_name': product_name, 'category_name': category_name, 'units_sold': units_sold,
+           'revenue': CAST(revenue AS DECIMAL(38,2)), 'current_stock': current_stock""",
+    ),
+)
+register(
+    "export_json_monthly",
+    _json_of(
+        "monthly_revenue",
+        f"""'month': strftime(month, {_STAMP}), 'total_orders': total_orders, 'revenue': CAST(revenue AS DECIMAL(38,2)),
+            'avg_order_value': CAST(avg_order_value AS DECIMAL(38,2)), 'unique_customers': unique_customers""",
+    ),
+)
+register(
+    "export_json_low_stock",
+    _json_of(
+        "low_stock_products",
+        """'product_id': product_id, 'product_name': product_name, 'category_name': category_name, 'stock': stock,
+           'price': CAST(price AS DECIMAL(38,2)), 'sold_last_30_days': sold_last_30_days""",
+    ),
+)

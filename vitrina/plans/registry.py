@@ -138,6 +138,10 @@ for _name in (
     table_fn(_name, getattr(ingest, _name))
 table_fn("export_csv_full", lambda t: export.export_csv(t, "full"))
 table_fn("export_json_pending", lambda t: export.export_json_report(t, "pending-shipments"))
+table_fn("export_json_categories", lambda t: export.export_json_report(t, "sales-by-category"))
+table_fn("export_json_top_products", lambda t: export.export_json_report(t, "top-products"))
+table_fn("export_json_monthly", lambda t: export.export_json_report(t, "monthly-revenue"))
+table_fn("export_json_low_stock", lambda t: export.export_json_report(t, "low-stock"))
 for _name in ("export_csv", "kpi_long", "report_registry", "export_json", "abbreviate_amount", "chart_series_monthly"):
     table_fn(_name, getattr(export, _name))
 

@@ -9,8 +9,9 @@ partitions, checkpoint dir, broadcast threshold) win.
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Conf values we want unless the cluster says otherwise.
 DEFAULTS = {
@@ -44,6 +45,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once, kept in the shared checkpoint folder, lineage cut.
+
+    In local mode without a folder a scratch one is made; on a cluster the folder must be named.
+    """
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()) and spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vitrina-"))
+    checkpoint_dir(spark)
+    return df.checkpoint(eager=True)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "vitrina") -> SparkSession:
     """Session for tests and the bench: local mode, UI off, UTC."""
     builder = (
