@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import carts, catalog, customers, export, ingest, pricing, quality, reports
+from ..operators import carts, catalog, customers, export, ingest, pricing, quality, reports, terms
+from ..session import shared_work_dir
 from ..sources.tables import Tables, load
+from ..streaming.retention import retention_replay
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -146,6 +148,11 @@ for _name in ("export_csv", "kpi_long", "report_registry", "export_json", "abbre
     table_fn(_name, getattr(export, _name))
 
 
+for _name in ("promotion_admission", "dated_conversion", "shipping_quotes"):
+    table_fn(_name, getattr(terms, _name))
+table_fn("retention_stream", lambda t: retention_replay(t.spark, t.cart_items, shared_work_dir(t.spark), carts.AS_OF_CARTS, files=2))
+
+
 def table_functions() -> dict[str, Callable[[Tables], DataFrame]]:
     return dict(_TABLE_FNS)
 
@@ -155,7 +162,7 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import oracle_catalog, oracle_jobs, oracle_people, oracle_reports  # noqa: F401  (register statements)
+    from . import oracle_catalog, oracle_jobs, oracle_people, oracle_reports, oracle_terms  # noqa: F401  (register statements)
     from .oracle_sql import ORACLE, register
 
     if "report_registry" not in ORACLE:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,18 +46,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, kept in the shared checkpoint folder, lineage cut.
-
-    In local mode without a folder a scratch one is made; on a cluster the folder must be named.
-    """
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder; in local mode without one a scratch folder, on a cluster it must be named."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()) and spark.sparkContext.master.startswith("local"):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vitrina-"))
-    checkpoint_dir(spark)
+    return checkpoint_dir(spark)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once, kept in the shared checkpoint folder, lineage cut."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_work_dir(spark: SparkSession) -> str:
+    """A new folder's name under the shared checkpoint folder."""
+    return f"{_shared(spark)}/work-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "vitrina") -> SparkSession:
     """Session for tests and the bench: local mode, UI off, UTC."""
     builder = (
