@@ -50,6 +50,65 @@ def test_random_never_overlaps_base(spark, documents):
     assert [s.kind for s in sec.scan(df, sec.train(documents)).first().spans] == [0]
 
 
+def plain_runs(text, model):
+    """Random spans by plain Python: runs by their ratio, less what base spans cover."""
+    table, n = model.ratio, len(sec.ALPHABET)
+    covered = set()
+    for x in base(text).split(",") if base(text) else []:
+        _, a, e = x.split(":")
+        covered |= set(range(int(a), int(e)))
+    out = []
+    for m in re.finditer(sec.RUN, text or ""):
+        run = m.group()
+        if sum(table[sec.ALPHABET.index(a) * n + sec.ALPHABET.index(b)] for a, b in zip(run, run[1:])) < sec.LLR_LIMIT:
+            continue
+        at = m.start()
+        for k in range(m.start(), m.end() + 1):
+            if k == m.end() or k in covered:
+                if at < k:
+                    out.append(f"random:{at}:{k}")
+                at = k + 1
+    return out
+
+
+def test_random_spans_against_plain_python(frame, documents, awkward):
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice(sec.ALPHABET) for _ in range(n))
+    rows = [(k, f"{key(20)} x {key(9)}{'0123456789abcdef' * 2}{key(7)} AKIA{'Z9' * 10}{key(12)} token={key(18)}.{key(18)}") for k in range(40)]
+    rows += list(enumerate(texts())) + awkward
+    model = sec.train(documents)
+    got = sec.scan(frame(rows), model).select("text", sec.as_text(F.filter("spans", lambda s: s.kind == 3)).alias("found")).collect()
+    assert sum(bool(r.found) for r in got) > 30
+    for r in got:
+        assert (r.found.split(",") if r.found else []) == plain_runs(r.text, model)
+
+
+def test_the_rest_of_a_run_around_a_base_span_is_masked(spark, documents):
+    run = "qT7Zk9Xw" + "0123456789abcdef01234567" + "Jv3LpQ8s"
+    row = sec.redact(spark.createDataFrame([(f"see {run} here",)], "text string"), sec.train(documents)).first()
+    assert not any(part in row.text for part in ("qT7Zk9Xw", "Jv3LpQ8s", "0123456789abcdef"))
+
+
+def test_models_count_all_documents(spark, documents):
+    """Pair counts by plain Python over every text."""
+    import collections
+
+    model = sec.train(documents)
+    random_, ordinary = collections.Counter(), collections.Counter()
+    for r in documents.collect():
+        text = r.text or ""
+        values = [m.group(2) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+        values += [m.group() for p in (sec.ACCESS, sec.HEX) for m in re.finditer(p, text)]
+        for v in values:
+            v = v.replace(".", "")
+            random_.update(a + b for a, b in zip(v, v[1:]))
+        for p in (_ASSIGN, re.compile(sec.ACCESS), re.compile(sec.HEX)):
+            text = p.sub(" ", text)
+        for v in re.findall(sec.SAMPLE, text):
+            ordinary.update(a + b for a, b in zip(v, v[1:]))
+    assert model.ratio == sec.Model(random_, ordinary).ratio
+
+
 def test_redact(frame, documents, empty):
     model = sec.train(documents)
     docs = frame([(1, "a token = abcdef0123456789abcdef0123 z token: qwerty."), (2, "plain"), (3, None)])

@@ -3,20 +3,23 @@
 Three patterns give the base spans (``assign``, ``access``, ``hex``). Other runs
 of ``RUN`` characters are judged by two first-order character models, of random
 strings and of ordinary identifiers: a run whose log-likelihood ratio reaches
-``LLR_LIMIT`` becomes a ``random`` span, unless it overlaps a base span.
+``LLR_LIMIT`` becomes a ``random`` span; where base spans lie on it, its parts
+outside them do.
 
 The models are trained on labelled samples: the values of base spans are random
 strings, the runs of at least ``SAMPLE_LENGTH`` characters outside them are
 ordinary identifiers. The random model is half the learnt one and half uniform,
 so keys unlike those seen count as random too; the other is a twentieth uniform,
-so a rare pair, as in a path, weighs little. Training reads at most
-``max_train_docs`` documents (the first by a hash of the id). The driver gets
-counts of character pairs, at most 67 x 67 of either kind.
+so a rare pair, as in a path, weighs little. Training reads all documents: equal
+samples are counted before the shuffle, then their character pairs are, and the
+driver gets the counts of at most 67 x 67 pairs of either kind.
 
 Everything is DataFrame functions. Places of matches come from the lengths of
 the pieces between them, summed by blocks. Scanning needs no shuffle.
 
-Defined cases: null text is the empty text and has no span; repeated rows
+Defined cases: null text is the empty text and has no span; very long texts are
+scanned whole (work in proportion to their length, and to the square of the
+number of matches over 256); spans of equal start go by kind; repeated rows
 repeat; without any sample the random model is uniform and so is the other, so
 nothing is added; an empty table gives an empty result; other columns are
 ignored by ``scan`` and kept by ``redact``.
@@ -29,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, read_table, running_totals, sampled_ids, texts_of
+from .common import bind, read_table, running_totals
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -41,7 +44,6 @@ RUN = r"[A-Za-z0-9+/_=-]{16,}"
 SAMPLE_LENGTH = 8
 SAMPLE = rf"[A-Za-z0-9+/_=-]{{{SAMPLE_LENGTH},}}"
 LLR_LIMIT = 12.0
-MAX_TRAIN_DOCS = 20_000
 MARK = "[SECRET]"
 
 _SPAN = "array<struct<start:bigint,end:bigint,kind:int,value:string>>"
@@ -74,8 +76,23 @@ def base_spans(text: Column) -> Column:
     return F.concat(assigned, access, _places(text, HEX, 2))
 
 
-def _apart(spans: Column, others: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o.start < s.end) & (s.start < o.end)))
+def _outside(runs: Column, base: Column) -> Column:
+    """The parts of the runs that no base span covers."""
+    none = F.array().cast(_SPAN)
+
+    def part(run: Column, start: Column, end: Column) -> Column:
+        value = F.substring(run.value, (start - run.start + 1).cast("int"), (end - start).cast("int"))
+        one = F.struct(start.alias("start"), end.alias("end"), run.kind.alias("kind"), value.alias("value"))
+        return F.when(start < end, F.array(one)).otherwise(none)
+
+    def parts(run: Column) -> Column:
+        on_it = F.array_sort(F.filter(base, lambda o: (o.start < run.end) & (run.start < o.end)))
+        first = F.struct(run.start.alias("at"), none.alias("out"))
+        step = lambda acc, o: F.struct(F.greatest(acc.at, o.end).alias("at"), F.concat(acc.out, part(run, acc.at, o.start)).alias("out"))
+        cut = F.aggregate(on_it, first, step, lambda acc: F.concat(acc.out, part(run, acc.at, run.end)))
+        return F.when(F.size(on_it) > 0, cut).otherwise(F.array(run))
+
+    return F.flatten(F.transform(runs, parts))
 
 
 class Model:
@@ -116,15 +133,14 @@ def _pairs(values: DataFrame) -> DataFrame:
     return pairs.groupBy(F.substring("value", F.col("at"), F.lit(2)).alias("pair")).agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """Models from the labelled samples of a bounded number of documents."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = sampled_ids(rows.select("doc_id").where("doc_id IS NOT NULL").distinct(), max_train_docs, 4)
-    found = texts_of(rows, ids).select(base_spans(F.col("text")).alias("base"), "text")
-    secret = F.when(F.col("s.kind") == 0, F.regexp_extract("s.value", ASSIGN, 2)).otherwise(F.col("s.value"))
-    random = found.select(F.explode("base").alias("s")).select(F.regexp_replace(secret, r"\.", "").alias("value"))
+def train(docs: DataFrame, text_col: str = "text") -> Model:
+    """Models from the labelled samples of all documents."""
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    values = [F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 6)]
+    values += [F.regexp_extract_all("text", F.lit(pattern), F.lit(0)) for pattern in (ACCESS, HEX)]
+    random = rows.select(F.explode(F.concat(*values)).alias("value")).select(F.regexp_replace("value", r"\.", "").alias("value"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = found.select(F.explode(F.regexp_extract_all(rest, F.lit(SAMPLE), F.lit(0))).alias("value"))
+    ordinary = rows.select(F.explode(F.regexp_extract_all(rest, F.lit(SAMPLE), F.lit(0))).alias("value"))
     counts = [{r["pair"]: r["n"] for r in _pairs(x.groupBy("value").agg(F.count("*").alias("n"))).collect()} for x in (random, ordinary)]
     return Model(*counts)
 
@@ -136,7 +152,7 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", spans: str = "sp
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     likely = F.filter(_places(text, RUN, 3), lambda s: model.llr(s.value) >= LLR_LIMIT)
-    every = bind(base_spans(text), lambda base: F.concat(base, _apart(likely, base)))
+    every = bind(base_spans(text), lambda base: F.concat(base, _outside(likely, base)))
     by_place = lambda a, b: F.when(a.start < b.start, -1).when(a.start > b.start, 1).otherwise(a.kind - b.kind)
     return docs.withColumn(spans, F.array_sort(every, by_place))
 
