@@ -217,11 +217,12 @@ def dealt(texts: DataFrame, depth: int, heavy: Sequence[np.ndarray], groups: int
                 group = (of % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(group, kind="stable")  # leaves of a group stay in order
                 group, rows, counts = group[order], rows[order], counts[order]
-                phrases = joined(words.strings(), rows)
+                lines = pc.binary_join_element_wise(joined(words.strings(), rows), pa.scalar(b"", pa.binary()), pa.scalar(b"\n", pa.binary()))
+                at, text = np.frombuffer(lines.buffers()[1], np.int32)[: len(rows) + 1], lines.buffers()[2].to_pybytes()
                 starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
                 ends = np.r_[starts[1:], len(group)]
                 for a in range(0, len(starts), 64):
-                    parts = [b"\n".join(phrases.slice(s, e - s).to_pylist()) for s, e in zip(starts[a : a + 64], ends[a : a + 64], strict=True)]
+                    parts = [text[at[s] : at[e] - 1] for s, e in zip(starts[a : a + 64], ends[a : a + 64], strict=True)]
                     sizes = [counts[s:e].astype("<u4").tobytes() for s, e in zip(starts[a : a + 64], ends[a : a + 64], strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(group[starts[a : a + 64]]), pa.array([lang.decode()] * len(parts)), pa.array([compress(p) for p in parts], pa.binary()), pa.array([compress(c) for c in sizes], pa.binary())],
@@ -348,9 +349,9 @@ def collocations(
     kept = scored.join(inner, inside, "left_anti")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     if top is not None:  # the best of a language are among the best of its parts
-        some = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        part = W.partitionBy("lang", F.abs(F.xxhash64("phrase") % some)).orderBy(*order)
-        kept = kept.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= top)
+        for some in (max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 8):
+            part = W.partitionBy("lang", F.abs(F.xxhash64("phrase") % some)).orderBy(*order)
+            kept = kept.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= top)
     ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("bigint"))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
