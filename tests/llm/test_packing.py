@@ -66,6 +66,30 @@ def test_awkward_rows_and_whole_sequences(frame, awkward, library):
         assert bytes(s.ids)[4 * r.offset : 4 * (r.offset + r.length)] == bytes(r.ids) and s.length * 4 == len(s.ids)
 
 
+def test_encoder_equals_the_library(library):
+    """Random texts over all of Unicode, special tokens and white space, and runs that the fast engine refuses."""
+    with open(packing.default_vocabulary(), encoding="utf-8") as f:
+        encode = packing.Encoder(f.read())
+    assert encode.fast
+    rng = random.Random(9)
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff"]
+    kinds = [lambda: rng.choice(spaces), lambda: rng.choice(" 'stremvdl\n\t"), lambda: "<|endoftext|>", lambda: chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])), lambda: rng.choice("abcABC019!?.é日")]
+    texts = ["".join(rng.choices(kinds, weights=[3, 3, 0.3, 3, 5])[0]() for _ in range(rng.randint(0, 60))) for _ in range(3_000)]
+    texts += [" " * 700_000 + "x", "a" * 200_000, "\n" * 600_000]
+    for text in texts:
+        assert encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_go_to_the_library():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    encode = packing.Encoder(spec)
+    assert encode.fast is None
+    assert encode("Some Words here") == Tokenizer.from_str(spec).encode("Some Words here", add_special_tokens=False).ids
+
+
 def test_empty_table(empty):
     assert packing.place(packing.pieces(empty)).collect() == []
 

@@ -30,6 +30,7 @@ of their own; an empty table gives no rows; columns not asked for are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator, Sequence
 
@@ -40,19 +41,61 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import PATTERN, byte_symbols, default_vocabulary
 from .common import checkpoint, field, read_table
 
 CAPACITY = 2048
 #: Id that ends a document.
 END_ID = 0
-#: Characters that go to the tokenizer in one call (a longer text goes alone).
-CHARS_A_CALL = 200_000
+#: Characters whose pieces make a batch of the result (a longer text goes alone).
+CHARS_A_BATCH = 200_000
 
 
-def default_vocabulary() -> str:
-    import public_tokenizers
+class Encoder:
+    """Ids of texts as the tokenizers library gives them, from one of its files.
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    A byte-level BPE file whose ids are in the order of its merges is the same thing as a
+    file of ranks, and the faster tiktoken encodes it; texts that its pattern engine
+    refuses (hundreds of thousands of white-space characters in a row) and other files
+    go to the library.
+    """
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(vocabulary)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.fast = self._ranked(json.loads(vocabulary))
+
+    @staticmethod
+    def _ranked(spec: dict):
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        plain = plain and spec.get("normalizer") is None and spec.get("post_processor") is None
+        plain = plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        plain = plain and not any(x.get(k) for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if not plain:
+            return None
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        strings = {s: i for s, i in model["vocab"].items() if s not in special}
+        merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        if len(strings) != 256 + len(merged) or any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or merged[:1] and merged[0] < 256:
+            return None
+        import tiktoken
+
+        ranks = {bytes(map(byte_of.__getitem__, s)): i for s, i in strings.items()}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def __call__(self, text: str) -> list[int]:
+        if self.fast:
+            try:
+                return self.fast.encode(text, allowed_special="all")
+            except ValueError:  # the pattern engine's stack
+                pass
+        return self.library.encode(text, add_special_tokens=False).ids
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -74,15 +117,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
         return [(a, data[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(sent.value)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        encode = Encoder(sent.value)
 
         def coded(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-            cuts = [cut(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            cuts = [cut(encode(t)) for t in texts]
             rows = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
             kept = part.select(list(range(last))).take(pa.array(rows)).columns if last else []
             flat = [x for c in cuts for x in c]
@@ -94,7 +132,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
             texts, size, start = [], 0, 0
             for k in range(batch.num_rows):
                 text = batch.column(last)[k].as_py() or ""
-                if texts and size + len(text) > CHARS_A_CALL:
+                if texts and size + len(text) > CHARS_A_BATCH:
                     yield coded(batch.slice(start, len(texts)), texts)
                     texts, size, start = [], 0, k
                 texts.append(text)
