@@ -1,8 +1,9 @@
-"""Oracle SQL of promotion admission, dated rates, shipping quotes and the retention stream."""
+"""Oracle SQL of promotion admission, dated rates, shipping quotes, the retention stream and the built indexes."""
 
 from __future__ import annotations
 
 from ..sources import literals
+from . import oracle_catalog, oracle_people  # noqa: F401  (statements used below)
 from .oracle_sql import ORACLE, m, q, register
 
 
@@ -71,6 +72,19 @@ register(
 )
 
 # the stream ends where the batch rule does
-if "retention_cleanup" not in ORACLE:
-    from . import oracle_people  # noqa: F401  (registers it)
 register("retention_stream", ORACLE["retention_cleanup"])
+
+register("search_indexed", ORACLE["search_products"])
+register(
+    "catalog_deep_page",
+    q(f"SELECT {oracle_catalog.PRODUCT_OUT} FROM shelf WHERE is_active = true ORDER BY price ASC, product_id LIMIT 20 OFFSET 140", oracle_catalog.STOCK),
+)
+register(
+    "active_customers",
+    q(
+        """SELECT kind, CASE kind WHEN 'all' THEN CAST(NULL AS TIMESTAMP) ELSE CAST(date_trunc(kind, order_date) AS TIMESTAMP) END AS start,
+                  CAST(COUNT(DISTINCT customer_id) AS BIGINT) AS customers
+           FROM (SELECT *, unnest(['month', 'quarter', 'year', 'all']) AS kind FROM shop_orders WHERE status <> 'Cancelado' AND customer_id IS NOT NULL) o
+           GROUP BY 1, 2""".replace("date_trunc(kind, order_date)", "CASE kind WHEN 'month' THEN date_trunc('month', order_date) WHEN 'quarter' THEN date_trunc('quarter', order_date) ELSE date_trunc('year', order_date) END")
+    ),
+)

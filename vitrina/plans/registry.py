@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import carts, catalog, customers, export, ingest, pricing, quality, reports, terms
+from ..operators import carts, catalog, customers, export, indexes, ingest, pricing, quality, reports, terms
 from ..session import shared_work_dir
 from ..sources.tables import Tables, load
 from ..streaming.retention import retention_replay
@@ -150,6 +150,9 @@ for _name in ("export_csv", "kpi_long", "report_registry", "export_json", "abbre
 
 for _name in ("promotion_admission", "dated_conversion", "shipping_quotes"):
     table_fn(_name, getattr(terms, _name))
+table_fn("active_customers", indexes.active_customers)
+table_fn("search_indexed", lambda t: indexes.indexed_search(t, shared_work_dir(t.spark), "Gear"))
+table_fn("catalog_deep_page", lambda t: indexes.directory_page(t, shared_work_dir(t.spark)))
 table_fn("retention_stream", lambda t: retention_replay(t.spark, t.cart_items, shared_work_dir(t.spark), carts.AS_OF_CARTS, files=2))
 
 
