@@ -7,7 +7,7 @@ has an inverted file of the vectors that name it, with its place in their order.
 A query adds up, over its own pivots' files, what each vector shares with it:
 the footrule distance of two orders with missing pivots placed last is a
 constant less twice the sum of LENGTH - max(place, place). The nearest
-``SHARE`` of a block (``LEAST`` at least) are then scored exactly, and each
+``SHARE`` of a block (``LEAST`` at least, so that few rows give all) are then scored exactly, and each
 block's ``k`` best meet in a ranking per query.
 
 Queries are dealt into blocks as well, so a task holds one block of either; each
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, read_table
 
 PIVOTS, LENGTH = 256, 64
-SHARE, LEAST = 0.35, 1_000
+SHARE, LEAST = 0.3, 50
 BLOCK, QUERY_BLOCK = 20_000, 2_000
 QUERY_EVERY, K = 50, 5
 
