@@ -125,3 +125,10 @@ def test_tree_finds_what_the_bound_allows():
         links = set(np.flatnonzero(7 * exact >= 3 * (sizes + sizes[k])))
         found = set(forest.near(k, every))
         assert links <= found and (sizes[k] < 200 or len(found) < 40)
+
+
+@pytest.mark.parametrize("keys,edges_a_task", [(None, 0), (None, 3)])
+def test_exact_prefixes_and_rounds_of_joins(frame, near_copies, keys, edges_a_task):
+    """All keys of the prefix filter; components by star rounds, as for many edges."""
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jj.join(frame(near_copies), keys=keys, edges_a_task=edges_a_task).collect()), key=str)
+    assert got == brute(near_copies)

@@ -11,7 +11,8 @@ classes, so copies cost nothing.
    as many groups are folded by adding up halves.
 2. Sets that can link share one of their smallest hashes: in sets of up to 127
    shingles one of the first n / 4 + 1 (always), in longer ones one of the first
-   ``KEYS``, but for a chance below 4^-32 a pair, that of a 64-bit hash clash.
+   ``KEYS``, but for a chance below 4^-32 a pair, that of a 64-bit hash clash. With
+   ``keys=None`` the first n / 4 + 1 are taken whatever the size, without that chance.
    Sets that share a key meet; an R-tree over their points (sorted by size, pages
    with the largest coordinates and the range of sizes) finds the pairs that the
    bound allows. Its connected components are the clusters: links never leave one.
@@ -43,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, checkpoint, components, field, mix64, read_table, words
+from .common import EDGES_A_TASK, WordHash, checkpoint, components, field, mix64, read_table, words
 
 N_WORDS = 5
 LEAST_IN_GROUP, LEAST_GROUPS = 2, 32
@@ -85,7 +86,7 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.minimum(counts, _SATURATED).astype(np.uint8)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_keys: int | None = KEYS) -> DataFrame:
     """(doc_id, copy, n, cls, keys, point) of every row; copy is a hash of the text; cls, that of the set, is null for empty sets."""
     kind = field(docs, id_col).dataType
     schema = T.StructType([
@@ -102,7 +103,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 n.append(len(s))
                 cls.append(set_hash(s) if len(s) else None)
                 # a set's first n - ceil(3 n / 4) + 1 hashes hold one of any linked set's
-                keys.append(s[: min(KEYS, len(s) - -(-3 * len(s) // 4) + 1) if len(s) else 0].astype(np.int64))
+                needed = len(s) - -(-3 * len(s) // 4) + 1 if len(s) else 0
+                keys.append(s[: needed if most_keys is None else min(most_keys, needed)].astype(np.int64))
                 points.append(point(s).tobytes() if len(s) else None)
             arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
@@ -315,14 +317,17 @@ def _one_each(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: int | None = KEYS, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """(doc_id, copy, n_shingles, component_id, label) of every row.
 
+    keys: most keys of a set (None: as many as the prefix filter needs). edges_a_task:
+    up to so many edges are joined by one task, more by rounds of joins.
+
     copy is a hash of the text; label is the smallest class of the component, null for
     texts without words. Components may share an id (that stands with several texts),
     and have none if all their ids are null; labels tell them apart.
     """
-    rows = checkpoint(signatures(docs, id_col, text_col))
+    rows = checkpoint(signatures(docs, id_col, text_col, keys))
     # a class stands for the row of its smallest id (null last), then text hash
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("first")
     classes = rows.where("n > 0").groupBy("cls").agg(first, *(F.any_value(c).alias(c) for c in ("n", "keys", "point")))
@@ -337,7 +342,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     met = met.select("node", F.least("node", "label").alias("label"))
     by_key = _labelled(classes.select("cls", "n", "keys"), met).select(F.explode("keys").alias("g"), "cls", "n", "label")
     more = _meet(with_points(_tiled(checkpoint(_unsettled(by_key)), True, True)), _candidates)
-    clusters = checkpoint(components(edges.union(more)))
+    clusters = checkpoint(components(edges.union(more), edges_a_task))
 
     # links inside clusters, on the texts
     members = _labelled(classes.select("cls", "rep", "rep_copy", "n"), clusters).withColumnRenamed("label", "g")
@@ -349,13 +354,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     with_text = lambda r: r.join(texts, F.col("cls") == F.col("c2")).drop("c2")
     alone = members.select("g", "cls", "n", F.col("cls").alias("label"))
     links = checkpoint(_meet(with_text(_tiled(alone, True, False)), _verified))
-    labels = checkpoint(components(links))
+    labels = checkpoint(components(links, edges_a_task))
     parted = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("s") / TILE_SHINGLES)) > 1
     parted = members.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where(parted).select(F.col("g").alias("g2"))
     large = checkpoint(_unsettled(_labelled(members.select("g", "cls", "n").join(parted, F.col("g") == F.col("g2"), "left_semi"), labels)))
     if not large.isEmpty():
         links = links.union(_meet(with_text(_tiled(large, False, True)), _verified))
-        labels = components(links)
+        labels = components(links, edges_a_task)
 
     named = _labelled(classes.select("cls", "rep"), labels)
     least = named.groupBy(F.col("label").alias("l2")).agg(F.min("rep").alias("component"))
