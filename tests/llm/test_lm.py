@@ -77,3 +77,26 @@ def test_packing_loses_nothing():
         assert (lm._unpacked(lm._packed(counts), n) == counts).all()
     packed = lm._packed_hashes(np.unique(rng.integers(0, 1 << 64, 200_000, np.uint64)))
     assert len(packed) < 6.3 * 200_000
+
+
+def test_walk_carries_the_state():
+    """One text, step by step: an arc, a failure arc, a state that training never saw, and back up."""
+    nan = np.nan
+    model = lm.Automaton.__new__(lm.Automaton)
+    model.arc = [np.array([-1.0, -2.0, -3.0, -4.0]), np.array([-0.1, nan, -0.3, nan]), np.array([nan, nan, -0.03, nan])]
+    model.fail = [np.zeros(4), np.array([-0.5, -0.6, -0.7, nan]), np.array([nan, -0.06, -0.07, -0.08])]
+    places = [np.arange(4, dtype=np.int32)] * 3
+    whole = [np.ones(4, bool), np.ones(4, bool), np.array([False, True, True, True])]
+    # 0: bigram arc from the start; 1: trigram state without arc fails, so does the bigram state, a unigram arc;
+    # 2: only one word is remembered, so the trigram arc is out of reach; 3: trigram state fails, the bigram state is unknown
+    want = -0.1 + (-0.06 - 0.6 - 2.0) - 0.3 + (-0.08 - 4.0)
+    assert model.walk(places, whole, np.array([0]), np.array([4])) == pytest.approx([want])
+
+
+def test_texts_walk_side_by_side(frame):
+    """Texts of very different lengths in one block, the longest of 30,000 words."""
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{k}" for k in rng.zipf(1.5, n) % 50)
+    rows = [(k, word(int(n))) for k, n in enumerate([0, 1, 2, 30_000, 5, 700, 3])]
+    got = {r.doc_id: r.score for r in lm.score(frame(rows), fold(F.col("doc_id"), lm.FOLDS) != lm.HELD_OUT).collect()}
+    assert got == pytest.approx({i: score for i, *_, score in Plain(rows, 3).rows()}, rel=1e-9, abs=1e-9)

@@ -9,10 +9,10 @@ The state without context has an arc for every word. Probabilities are
 interpolated: with c the n-gram's count, d its context's and m = STRENGTH * d **
 POWER, p = (c + m * lower p) / (d + m), and (c + ADD) / (N + ADD * (V + 1)) at the
 bottom; so each state's probabilities, unknown words together, add up to 1. A
-text's score is the sum of the arcs that a walk, left to right from the start
-symbol's state, would take. Lookups replace that walk: no state is carried. The
-state before a token is named by the words before it, so the counts of the n-grams
-that end at a token tell its arc and failure arcs, for all tokens at once.
+text's score is the sum of the arcs of one walk, left to right from the start
+symbol's state, which carries the state from token to token: its arc for the next
+token, or failure arcs until a state has one. A block's texts are walked side by
+side, one token of each at a time.
 
 The model grows with the corpus, so no task holds it. Documents are dealt into
 blocks of about ``BLOCK_CHARS``. A block sends the hashes of its distinct n-grams
@@ -23,8 +23,9 @@ its own texts can take, and scores them. Sorted hashes go as differences, under
 bytes each, and a block's texts as compressed parts; both lose nothing. N-grams of any frequency cost one hash a
 block, so hot words need no care; blocks and buckets are dealt by hash.
 
-Defined cases: a null or empty text has one token, the end; rows with null ids
-are trained on; repeated rows count as often as they stand; without training
+Defined cases: a null or empty text has one token, the end; a very long text
+makes a block of its own size (its n-grams are held in memory, and its walk is as
+long as it has tokens); rows with null ids are trained on; repeated rows count as often as they stand; without training
 tokens every word has the same base probability, ADD / (ADD * 1) = 1; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -213,25 +214,38 @@ class Automaton:
             self.arc.append(np.where(c > 0, np.log10(p), np.nan))
             self.fail.append(np.where(d > 0, np.log10(m / (d + m)), np.nan))
 
-    def weigh(self, places: list[np.ndarray], whole: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each token of all texts at once.
+    def walk(self, places: list[np.ndarray], whole: list[np.ndarray], starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 probability of each text: the weights of the arcs it takes, added up on the way.
 
-        ``places[n]`` is the number of a token's arc of order n + 1. A token
-        starts at the longest context before it. Where its state has no arc for
-        it, it takes failure arcs, order by order, until one has. That is looked
-        up for every token by itself; no state is carried from token to token.
+        ``places[n]`` is the number of each token's arc of order n + 1. The state carried
+        by a text is how many of the words before the token it remembers (which these
+        are, the text says). A state that training never saw gives way to the next
+        shorter one at no cost; one without an arc for the token, at that of its failure
+        arc. The arc taken leads to the context one word longer, ``order`` - 1 at most.
         """
-        total = np.zeros(len(places[0]))
-        open_ = np.ones(len(total), bool)
-        for n in range(len(places) - 1, -1, -1):
-            arc, fail = self.arc[n][places[n]], self.fail[n][places[n]]
-            can = open_ & whole[n]
-            taken = can & ~np.isnan(arc)
-            total[taken] += arc[taken]
-            open_ &= ~taken
-            failed = can & ~taken & ~np.isnan(fail)
-            total[failed] += fail[failed]
-        return total
+        order = len(places)
+        by = np.argsort(-lengths, kind="stable")  # those still walking come first
+        first, left = starts[by], -lengths[by]
+        state = np.full(len(by), min(1, order - 1))  # the start symbol is behind each text
+        score = np.zeros(len(by))
+        for step in range(int(lengths.max()) if len(lengths) else 0):
+            n = int(np.searchsorted(left, -step, "left"))
+            at, now, total = first[:n] + step, state[:n], score[:n]
+            for k in range(order - 1, 0, -1):
+                here = np.flatnonzero(now == k)
+                token = at[here]
+                fail = np.where(whole[k][token], self.fail[k][places[k][token]], np.nan)
+                seen = ~np.isnan(fail)
+                stuck = seen & np.isnan(self.arc[k][places[k][token]])
+                total[here[stuck]] += fail[stuck]
+                now[here[~seen | stuck]] = k - 1
+            for k in range(order):
+                here = np.flatnonzero(now == k)
+                total[here] += self.arc[k][places[k][at[here]]]
+            np.minimum(now + 1, order - 1, out=now)
+        out = np.empty(len(by))
+        out[by] = score
+        return out
 
 
 def score(docs: DataFrame, train, order: int = ORDER, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +300,7 @@ def score(docs: DataFrame, train, order: int = ORDER, block_chars: int = BLOCK_C
             "doc_id": texts.column("doc_id"), "held_out": pa.array([not x for x in texts.column("train").to_pylist()], pa.bool_()),
             "n_tokens": pa.array(own.lengths), "n_known": pa.array(total((counts[0] > 0)[places[0]].astype(np.int64))),
             "train_tokens": pa.array(np.full(n_rows, tokens, np.int64)), "base_score": pa.array(total(model.arc[0][places[0]])),
-            "score": pa.array(total(model.weigh(places, own.whole))),
+            "score": pa.array(model.walk(places, own.whole, own.starts, own.lengths)),
         })
 
     # the same rows by block as those that were counted: their shuffle is used twice
