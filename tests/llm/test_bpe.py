@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from tests.llm.conftest import SF0001
 from vitrina.llm import bpe
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -36,3 +37,15 @@ def test_rows(frame, awkward, empty, library):
     want = sorted((str(i), np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), t or "") for i, t in awkward)
     assert sorted((str(r.doc_id), bytes(r.ids), r.decoded) for r in rows) == want
     assert bpe.encode(empty).count() == 0
+
+
+def test_query_columns_equal_the_library(spark, documents, library):
+    import hashlib
+
+    want = []
+    for r in documents.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op8_bpe(spark, SF0001).collect()]
+    assert sorted(got) == sorted(want)
