@@ -188,21 +188,21 @@ def _oracle() -> str:
         f"CASE WHEN {same(a, b)} THEN 1.0::DOUBLE WHEN {norm(a, b)} > 0 THEN GREATEST(0.0::DOUBLE, 1.0::DOUBLE - ({diff(a, b)}) / ({norm(a, b)})) ELSE 0.0::DOUBLE END"
     )
     return f"""
-WITH o AS (
+WITH o AS MATERIALIZED (
   SELECT ROW_NUMBER() OVER (ORDER BY doc_id NULLS FIRST, COALESCE(text, '')) AS n, doc_id, COALESCE(text, '') AS t FROM documents
 ), x AS (
   SELECT a.n, a.doc_id, a.t, b.n AS m, b.t AS u, CAST(length(a.t) AS BIGINT) AS n_chars
   FROM o a JOIN o b ON b.n = CASE WHEN a.n = (SELECT MAX(n) FROM o) THEN 1 ELSE a.n + 1 END
-), e AS (
+), e AS MATERIALIZED (
   SELECT *, substr(t, 1, n_chars - n_chars // 2) || substr(u, 1, n_chars // 2) AS edited FROM x
-), p AS (
+), p AS MATERIALIZED (
   SELECT n, 0 AS kind, unnest(CASE WHEN t = '' THEN [''] ELSE regexp_extract_all(t, '{PIECE}') END) AS p FROM e
   UNION ALL SELECT n, 1, unnest(CASE WHEN edited = '' THEN [''] ELSE regexp_extract_all(edited, '{PIECE}') END) FROM e
 ), h AS (
   SELECT n, kind, CAST(round(sqrt(length(p))) AS BIGINT) AS w, sha256(p) AS d FROM p
-), g AS (
+), g AS MATERIALIZED (
   SELECT n, kind, w, {", ".join(f"{digest(k)} AS h{k}" for k in range(EXACT))} FROM h
-), f AS (
+), f AS MATERIALIZED (
   SELECT n, kind, {exact}, CAST(SUM(w) AS BIGINT) AS r, {lanes} FROM g GROUP BY n, kind
 )
 SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, {text("v")} AS fingerprint, {text("c")} AS edited_fingerprint,
