@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import Tables
 
@@ -150,44 +151,46 @@ def unique_keys() -> list[tuple[str, list[str]]]:
     ]
 
 
+def _key_numbers(df: DataFrame, cols: list[str]) -> Column:
+    """Two 64-bit numbers that stand for a key: a one- or two-column integer key itself, any other by two hashes."""
+    whole = all(isinstance(df.schema[c].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) for c in cols)
+    if whole and len(cols) <= 2:
+        numbers = [F.col(c).cast("long") for c in cols] + [F.lit(0).cast("long")]
+        return F.struct(numbers[0].alias("a"), numbers[1].alias("b"))
+    return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b"))
+
+
 def uniqueness_audit(t: Tables) -> DataFrame:
     """Q49: number of key values held by more than one row (NULL keys excluded).
 
-    All unique keys are checked in one grouped count: each table is read
-    once, its key tuples tagged with the rule (as arrays of text) and
-    counted per (rule, key) with a map-side partial.
+    All unique keys are checked in one grouped count: each table is read once, and a key
+    is its rule's number and two 64-bit numbers, so that rows of fixed width are counted
+    and shuffled whatever the key holds. Integer keys are exact; text keys are two
+    independent hashes, which two different ones of n keys share with a chance of about
+    n^2 / 2^129.
     """
     specs = unique_keys()
-    rules = [(table, "unique(" + ", ".join(cols) + ")") for table, cols in specs]
-    by_table: dict[str, list[tuple[list[str], str]]] = {}
-    for (table, cols), (_, rule) in zip(specs, rules):
-        by_table.setdefault(table, []).append((cols, rule))
+    rules = [(number, table, "unique(" + ", ".join(cols) + ")") for number, (table, cols) in enumerate(specs)]
+    by_table: dict[str, list[tuple[int, list[str]]]] = {}
+    for number, (table, cols) in enumerate(specs):
+        by_table.setdefault(table, []).append((number, cols))
     parts = []
     for table, keys in by_table.items():
-        tagged = F.array(
-            *[
-                F.struct(
-                    F.lit(rule).alias("rule"),
-                    F.when(
-                        reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]),
-                        F.array(*[F.col(c).cast("string") for c in cols]),
-                    ).alias("key"),
-                )
-                for cols, rule in keys
-            ]
-        )
-        parts.append(getattr(t, table).select(F.explode(tagged).alias("x")).select("x.rule", "x.key"))
+        df = getattr(t, table)
+        known = lambda cols: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+        tagged = F.array(*[F.when(known(cols), F.struct(F.lit(number).alias("number"), _key_numbers(df, cols).alias("key"))) for number, cols in keys])
+        parts.append(df.select(F.explode(tagged).alias("x")).select("x.number", "x.key.a", "x.key.b"))
     dups = (
         reduce(DataFrame.unionByName, parts)
-        .filter(F.col("key").isNotNull())
-        .groupBy("rule", "key")
+        .filter(F.col("number").isNotNull())
+        .groupBy("number", "a", "b")
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > 1)
-        .groupBy("rule")
+        .groupBy("number")
         .agg(F.count(F.lit(1)).alias("_v"))
     )
-    catalog = t.spark.createDataFrame(rules, "table_name string, rule string")
-    return catalog.join(dups, "rule", "left").select(
+    catalog = t.spark.createDataFrame(rules, "_rule int, table_name string, rule string")
+    return catalog.join(dups, F.col("_rule") == F.col("number"), "left").select(
         "table_name", "rule", F.coalesce(F.col("_v"), F.lit(0)).cast("long").alias("violations")
     )
 

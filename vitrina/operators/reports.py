@@ -44,9 +44,10 @@ def _item_rows(t: Tables) -> DataFrame:
 def sales_by_category(t: Tables) -> DataFrame:
     """Q01: per category distinct orders, units and revenue (cancelled excluded).
 
-    Order items are read once and aggregated by (category, order), an order being
-    kept or not as a whole; the second aggregate, by category, then counts rows
-    instead of distinct orders. A category survives the outer-join filter (trap S1)
+    Order items are aggregated by (category, order), an order being kept or not as a
+    whole; the second aggregate, by category, then counts rows instead of distinct
+    orders. A second scan, of the items' product ids alone, tells which products no item
+    names: an outer join of products would have the large side where skew can't be split. A category survives the outer-join filter (trap S1)
     when it has no product, a product that no item names, or a kept item.
     """
     kept = kept_after_outer_join()
