@@ -100,3 +100,12 @@ def test_texts_walk_side_by_side(frame):
     rows = [(k, word(int(n))) for k, n in enumerate([0, 1, 2, 30_000, 5, 700, 3])]
     got = {r.doc_id: r.score for r in lm.score(frame(rows), fold(F.col("doc_id"), lm.FOLDS) != lm.HELD_OUT).collect()}
     assert got == pytest.approx({i: score for i, *_, score in Plain(rows, 3).rows()}, rel=1e-9, abs=1e-9)
+
+
+def test_equal_rows_are_spread_over_blocks(frame):
+    """Repeated rows fall into several blocks, and every one counts and is scored."""
+    rows = [(1, "a b c d " * 30)] * 400 + [(2, "x y"), (None, "x z")]
+    got = lm.score(frame(rows).repartition(3), fold(F.col("doc_id"), lm.FOLDS) != lm.HELD_OUT, block_chars=5_000).collect()
+    key = lambda r: (str(r[0]), r[2], r[6])
+    for a, b in zip(sorted((tuple(r) for r in got), key=key), sorted(Plain(rows, 3).rows(), key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)

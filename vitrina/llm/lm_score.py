@@ -257,7 +257,8 @@ def score(docs: DataFrame, train, order: int = ORDER, block_chars: int = BLOCK_C
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_chars))
     n_buckets = max(1, -(-n_blocks // BLOCKS_A_BUCKET))
-    rows = _dealt(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")))
+    # dealt by place in the table, so rows that are equal in all columns spread as well
+    rows = _dealt(rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")))
     answers = count_ngrams(rows, n_buckets, order)
     schema = T.StructType([
         T.StructField("doc_id", field(docs, id_col).dataType), T.StructField("held_out", T.BooleanType()),

@@ -19,7 +19,9 @@ Fitting uses at most ``max_positive`` and ``max_unlabelled`` documents (the
 first by a hash of the id); their statistics are collected by the driver. All
 documents are scored, in tasks, without a shuffle.
 
-Defined cases: null text counts as empty and has statistics 0; null ids are held
+Defined cases: null text counts as empty and has statistics 0; a very long text is
+read whole, in memory in proportion to its words; texts with equal statistics score
+equally; null ids are held
 out of fitting and have ``held_out`` false; repeated rows repeat; without
 positives or documents the score is 0.5 for every row; an empty table gives an
 empty result. Other columns are ignored by ``score`` and kept by ``keep_good``.
