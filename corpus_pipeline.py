@@ -8,8 +8,11 @@
 5. ``tokens``: texts become token ids; a row for each row of the mix, with the
    text that the ids decode to.
 
-Stages 1 to 4 return the columns of ``documents``. A table without rows stays one
-without rows.
+Stages 1 to 4 return the columns of ``documents``. Very long texts pass every stage
+whole. Null texts and nulls in any column stay what they are until the mix, which takes
+texts without words 0 times; repeated rows are copies, of which one stays; equal ids are
+told apart by their texts; columns of other names are carried along to the mix. A table
+without rows stays one without rows.
 """
 
 from __future__ import annotations
