@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,20 @@ def test_a_batch_without_manifest_changes_nothing(spark, tmp_path):
     cart_store.create(t.cart_items, root, buckets=4)
     t.cart_items.withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{root}/data/v=5")  # died before its manifest
     assert [r.quantity for r in cart_store.read(spark, root, t.cart_items.schema).collect()] == [2]
+
+
+def test_store_stream_replays_a_batch_without_commit_record(spark, tmp_path):
+    t = make_tables(spark, products=[{"product_id": k, "product_name": "a", "category_id": 1, "price": D(1), "stock": 20, "is_active": True} for k in (1, 2)], cart_items=[{"id": 10, "customer_id": 7, "product_id": 1, "quantity": 2, "size": "", "color": ""}])
+    root, requests, ckpt = str(tmp_path / "store"), str(tmp_path / "requests"), str(tmp_path / "ckpt")
+    cart_store.create(t.cart_items, root, buckets=8)
+    run = lambda: cart_store.start_store_sync(t, requests + "/*", root, buckets=8, checkpoint=ckpt).awaitTermination(120)
+    table = lambda: sorted((r.product_id, r.quantity) for r in cart_store.read(spark, root, t.cart_items.schema).collect())
+    spark.createDataFrame([(7, 1, "", "", 4)], cart_sync.REQUEST_SCHEMA).write.parquet(requests + "/f1")
+    run()
+    assert table() == [(1, 6)]
+    shutil.rmtree(ckpt + "/commits")
+    run()
+    assert table() == [(1, 6)]
+    spark.createDataFrame([(7, 2, "", "", 1), (8, 1, "", "", 3)], cart_sync.REQUEST_SCHEMA).write.parquet(requests + "/f2")
+    run()
+    assert table() == [(1, 3), (1, 6), (2, 1)] and cart_store.versions(spark, root) == [-1, 0, 1]

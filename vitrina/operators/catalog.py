@@ -280,7 +280,11 @@ def admin_product_list(
         page_rows = paginate(rows, sort_columns(sort), page, limit, show_all)
     else:
         page_rows = _page(rows, t, sort, page, limit, show_all)
-    return page_rows.withColumnRenamed("available_stock", "total_stock").select(
+    return admin_out(page_rows)
+
+
+def admin_out(rows: DataFrame) -> DataFrame:
+    return rows.withColumnRenamed("available_stock", "total_stock").select(
         "product_id",
         "product_name",
         money("price").alias("price"),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.common import not_cancelled
 from ..sources.tables import Tables
-from .catalog import _named_products, _page, _product_out, like_pattern, sort_columns
+from .catalog import ADMIN_MAX_PRICE, _admin_rows, _named_products, _page, _product_out, admin_out, like_pattern, sort_columns
+from .reports import customer_lifetime_value
 
 # --- search index -----------------------------------------------------------
 
@@ -156,15 +157,34 @@ def directory_page(t: Tables, path: str, sort: str = "price-asc", page: int = 8,
     return catalog_deep_page(t, path, sort, page, limit)
 
 
+def clv_order() -> list[Column]:
+    return [F.col("lifetime_value").desc_nulls_last(), F.col("customer_id").asc()]
+
+
+def clv_directory_page(t: Tables, path: str, page: int = 20, limit: int = 20) -> DataFrame:
+    """Q35: a deep page of the lifetime-value report, the directory built first."""
+    build_rank_directory(customer_lifetime_value(t), clv_order(), path)
+    return ranked_page(t.spark, path, clv_order(), page, limit)
+
+
+def admin_directory_page(t: Tables, path: str, sort: str = "name", page: int = 8, limit: int = 20) -> DataFrame:
+    """Q21 without filters: a deep page of the admin list, the directory built first."""
+    rows, _ = _admin_rows(t, "", "", "", 0, ADMIN_MAX_PRICE, "")
+    build_rank_directory(rows, sort_columns(sort), path)
+    return admin_out(_page(ranked_page(t.spark, path, sort_columns(sort), page, limit), t, sort, 1, limit, False))
+
+
 # --- bitmaps ----------------------------------------------------------------
 
 
 def customer_bitmaps(orders: DataFrame) -> DataFrame:
     """(month, bucket, bitmap): the customers with a non-cancelled order in each month, 32,768 to a bucket.
 
-    Bits are set before the shuffle, so a month's orders send one bitmap for each bucket
-    and task, however many there are. Rows of months or tasks merge by OR; the table can
-    be kept and added to.
+    Bits are set before the shuffle, so a month's orders send one bitmap of 4 KB for each
+    bucket and task, however many there are. Rows of months or tasks merge by OR; the table
+    can be kept and added to. It pays where customers are many to a bucket: if a task
+    sees fewer than some 250 of a bucket in a month, the pairs themselves are smaller
+    (``monthly_revenue`` counts those).
     """
     rows = orders.filter(not_cancelled() & F.col("customer_id").isNotNull())
     month = F.trunc("order_date", "month").cast("timestamp_ntz").alias("month")

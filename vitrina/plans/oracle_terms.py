@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources import literals
-from . import oracle_catalog, oracle_people  # noqa: F401  (statements used below)
+from . import oracle_catalog, oracle_people, oracle_reports  # noqa: F401  (statements used below)
 from .oracle_sql import ORACLE, m, q, register
 
 
@@ -88,3 +88,20 @@ register(
            GROUP BY 1, 2""".replace("date_trunc(kind, order_date)", "CASE kind WHEN 'month' THEN date_trunc('month', order_date) WHEN 'quarter' THEN date_trunc('quarter', order_date) ELSE date_trunc('year', order_date) END")
     ),
 )
+register(
+    "clv_deep_page",
+    q(
+        f"""SELECT {oracle_reports.VALUE_OUT} FROM (
+              SELECT *, ROW_NUMBER() OVER (ORDER BY value DESC NULLS LAST, customer_id) AS place FROM customer_values) v WHERE place BETWEEN 381 AND 400""",
+        oracle_reports.VALUES,
+    ),
+)
+register(
+    "admin_deep_page",
+    q(
+        f"""SELECT product_id, product_name, {m('price')} AS price, stock, image_url, is_active, created_at, category_name,
+                   available_stock AS total_stock, has_variants
+            FROM shelf ORDER BY price DESC NULLS FIRST, product_id LIMIT 20 OFFSET 140""",
+        oracle_catalog.STOCK,
+    ),
+)

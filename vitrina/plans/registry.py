@@ -153,6 +153,8 @@ for _name in ("promotion_admission", "dated_conversion", "shipping_quotes"):
 table_fn("active_customers", indexes.active_customers)
 table_fn("search_indexed", lambda t: indexes.indexed_search(t, shared_work_dir(t.spark), "Gear"))
 table_fn("catalog_deep_page", lambda t: indexes.directory_page(t, shared_work_dir(t.spark)))
+table_fn("clv_deep_page", lambda t: indexes.clv_directory_page(t, shared_work_dir(t.spark)))
+table_fn("admin_deep_page", lambda t: indexes.admin_directory_page(t, shared_work_dir(t.spark), sort="price-desc"))
 table_fn("retention_stream", lambda t: retention_replay(t.spark, t.cart_items, shared_work_dir(t.spark), carts.AS_OF_CARTS, files=2))
 
 

@@ -18,13 +18,17 @@ The driver handles one row a bucket.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.carts import cart_merge, cart_merge_snapshot
+from ..session import checkpoint_dir
 from ..sources.tables import Tables
-from .cart_sync import _file_system
+from .cart_sync import REQUEST_SCHEMA, _file_system
 
 BUCKETS = 256
 SHARED = -1
@@ -97,6 +101,15 @@ def apply_batch(t: Tables, batch: DataFrame, batch_id: int, root: str, buckets:
     return written
 
 
+def start_store_sync(t: Tables, requests_dir: str, root: str, *, buckets: int = BUCKETS, available_now: bool = True, checkpoint: str | None = None) -> StreamingQuery:
+    """Additions that arrive as parquet files, a micro-batch after the other, into the store at ``root``."""
+    checkpoint = checkpoint or os.path.join(checkpoint_dir(t.spark), "cart_store")
+    reader = t.spark.readStream.schema(REQUEST_SCHEMA).parquet(requests_dir)
+    writer = reader.writeStream.foreachBatch(lambda batch, batch_id: apply_batch(t, batch, batch_id, root, buckets)).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
+
+
 def compact(spark: SparkSession, root: str, schema: T.StructType, buckets: int = BUCKETS) -> int:
     """Write the live lines of all buckets anew under the last version's manifest; the number of buckets.
 
