@@ -54,6 +54,8 @@ TILE = 2_048
 #: Shingles in a tile of texts.
 TILE_SHINGLES = 2_000_000
 PAGE = 32
+#: Parts that the rows of a group are spread over where they meet what is known of the group.
+SALTS = 16
 #: A coordinate that stands for this and more, and one that bounds nothing.
 _SATURATED, _UNKNOWN = 255, 60_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -234,6 +236,19 @@ _EDGES = "a long, b long"
 _AT = ("g", "x", "y")
 
 
+def _with_group(rows: DataFrame, facts: DataFrame, same: dict[str, str], how: str = "inner") -> DataFrame:
+    """rows (with g and cls) joined with one row of facts for each group (``same``: columns of rows to those of facts).
+
+    The facts are copied to SALTS parts and a group's rows dealt over these, so that a
+    group of any size is spread.
+    """
+    part = F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(SALTS)).cast("int")
+    facts = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_own", part)
+    on = [F.col(a) == F.col(b) for a, b in same.items()] + [F.col("_own") == F.col("_part")]
+    return rows.join(facts, on, how).drop("_own", "_part")
+
+
 def _tiled(rows: DataFrame, near: bool, rest: bool) -> DataFrame:
     """Rows (g, cls, n, label) dealt to pairs of tiles (g, x, y).
 
@@ -249,9 +264,9 @@ def _tiled(rows: DataFrame, near: bool, rest: bool) -> DataFrame:
     large = whole.where("tiles > 1").select(F.col("g2").alias("g3"))
     both = sums.join(large, F.col("g") == F.col("g3"), "left_semi").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     of_band = both.groupBy(F.col("g").alias("g3"), F.col("band").alias("b3")).agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
-    rows = rows.join(whole, F.col("g") == F.col("g2")).drop("g2")
+    rows = _with_group(rows, whole, {"g": "g2"}).drop("g2")
     rows = rows.withColumn("band", F.explode(F.when(F.col("tiles") > 1, F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))))
-    rows = rows.join(of_band.select("g3", "b3", tiles.alias("t")), (F.col("g") == F.col("g3")) & (F.col("band") == F.col("b3")), "left")
+    rows = _with_group(rows, of_band.select("g3", "b3", tiles.alias("t")), {"g": "g3", "band": "b3"}, "left")
     rows = rows.withColumn("t", F.coalesce("t", F.lit(1))).withColumn("g", F.when(F.col("tiles") > 1, F.xxhash64("g", "band")).otherwise(F.col("g")))
     own = F.pmod(F.xxhash64("cls"), F.col("t")).cast("int")
     others = F.sequence(F.lit(0), F.col("t") - 1)
@@ -304,7 +319,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def _unsettled(rows: DataFrame) -> DataFrame:
     """Rows (g, cls, n, label) of the groups whose members have more than one label."""
     open_ = rows.groupBy("g").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select(F.col("g").alias("g2"))
-    return rows.join(open_, F.col("g") == F.col("g2"), "left_semi")
+    return _with_group(rows, open_, {"g": "g2"}, "left_semi")
 
 
 def _by_id(name: str) -> Column:
@@ -347,7 +362,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
     # links inside clusters, on the texts
     members = _labelled(classes.select("cls", "rep", "rep_copy", "n"), clusters).withColumnRenamed("label", "g")
     several = members.groupBy("g").count().where("count > 1").select(F.col("g").alias("g2"))
-    members = checkpoint(members.join(several, F.col("g") == F.col("g2"), "left_semi"))
+    members = checkpoint(_with_group(members, several, {"g": "g2"}, "left_semi"))
     texts = _one_each(docs.select(_by_id(id_col), F.xxhash64(text_col).alias("_copy"), F.col(text_col).alias("text")))
     wanted = members.select(F.col("cls").alias("c2"), _by_id("rep"), F.col("rep_copy").alias("_copy"))
     texts = checkpoint(wanted.join(texts, ["_id", "_copy"]).select("c2", "text"))
@@ -357,14 +372,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
     labels = checkpoint(components(links, edges_a_task))
     parted = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("s") / TILE_SHINGLES)) > 1
     parted = members.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where(parted).select(F.col("g").alias("g2"))
-    large = checkpoint(_unsettled(_labelled(members.select("g", "cls", "n").join(parted, F.col("g") == F.col("g2"), "left_semi"), labels)))
+    large = checkpoint(_unsettled(_labelled(_with_group(members.select("g", "cls", "n"), parted, {"g": "g2"}, "left_semi"), labels)))
     if not large.isEmpty():
         links = links.union(_meet(with_text(_tiled(large, False, True)), _verified))
         labels = components(links, edges_a_task)
 
     named = _labelled(classes.select("cls", "rep"), labels)
-    least = named.groupBy(F.col("label").alias("l2")).agg(F.min("rep").alias("component"))
-    of_class = named.join(least, F.col("label") == F.col("l2")).select(F.col("cls").alias("c2"), "component", "label")
+    least = named.groupBy(F.col("label").alias("l2")).agg(F.min("rep").alias("component"), F.count("*").alias("m")).where("m > 1").drop("m")
+    component = F.when(F.col("l2").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component")
+    of_class = _with_group(named, least, {"label": "l2"}, "left").select(F.col("cls").alias("c2"), component, "label")
     out = rows.select("doc_id", "copy", "n", "cls").join(of_class, F.col("cls") == F.col("c2"), "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     return out.select("doc_id", "copy", F.col("n").alias("n_shingles"), component, "label")
