@@ -117,22 +117,24 @@ def product_change_batch(t: Tables) -> DataFrame:
     key = F.col("form_id")
     values = [F.col(c).cast("decimal(10,2)").alias(c) if c == "price" else F.col(c) for c in PRODUCT_VALUES]
 
-    def posts(op: str, seq: int, shift: int, wanted: Column) -> DataFrame:
-        return forms.filter(wanted).select((key + shift).alias("product_id"), F.lit(op).alias("op"), F.lit(seq).alias("seq"), *values)
+    def post(op: str, seq: int, shift: int, wanted: Column) -> Column:
+        return F.when(wanted, F.struct(F.lit(op).alias("op"), F.lit(seq).alias("seq"), F.lit(shift).alias("shift")))
+
+    # a form is validated once and may come several times
+    posts = F.array(
+        post("update", 1, 10_000_000, key % 22 == 0),  # before the copy is there
+        post("update", 2, 0, F.lit(True)),
+        post("insert", 2, 10_000_000, key % 11 == 0),
+        post("update", 3, 10_000_000, key % 33 == 0),
+        post("update", 2, 20_000_000, key % 50 == 0),
+    )
+    posted = forms.select(key, *values, F.explode(F.array_compact(posts)).alias("p")).select((key + F.col("p.shift")).alias("product_id"), "p.op", "p.seq", *PRODUCT_VALUES)
 
     def deletes(ids: DataFrame, seq: int) -> DataFrame:
         return ids.select("product_id", F.lit("delete").alias("op"), F.lit(seq).alias("seq"))
 
     sold = t.order_items.select("product_id").distinct()
-    parts = [
-        posts("update", 1, 10_000_000, key % 22 == 0),  # before the copy is there
-        posts("update", 2, 0, F.lit(True)),
-        posts("insert", 2, 10_000_000, key % 11 == 0),
-        posts("update", 3, 10_000_000, key % 33 == 0),
-        posts("update", 2, 20_000_000, key % 50 == 0),
-        deletes(t.products.join(sold, "product_id", "left_anti"), 1),
-        deletes(t.products.filter(F.col("product_id") % 7 == 0), 4),
-    ]
+    parts = [posted, deletes(t.products.join(sold, "product_id", "left_anti"), 1), deletes(t.products.filter(F.col("product_id") % 7 == 0), 4)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -148,25 +150,27 @@ def apply_product_changes(t: Tables, changes: DataFrame | None = None) -> DataFr
         changes = product_change_batch(t)
     current = t.products.select(F.col("product_id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in PRODUCT_VALUES))
     births = changes.filter(F.col("op") == "insert").groupBy(F.col("product_id").alias("_born")).agg(F.min("seq").alias("_birth"))
-    exists, is_insert = F.col("_id").isNotNull(), F.col("op") == "insert"
-    # a product's changes meet its row and birth; the larger side is never grouped as a list
-    rows = changes.join(current.select("_id"), F.col("product_id") == F.col("_id"), "left").join(
-        births, F.col("product_id") == F.col("_born"), "left"
-    )
-    effective = F.when(exists, ~is_insert).otherwise(
-        F.coalesce((F.col("seq") > F.col("_birth")) | ((F.col("seq") == F.col("_birth")) & (is_insert | (F.col("op") == "delete"))), F.lit(False))
-    )
+    is_insert = F.col("op") == "insert"
+    rows = changes.join(births, F.col("product_id") == F.col("_born"), "left")
+    # what has an effect if the product is there, and if it is not: the products are met once, by the result
+    born = F.coalesce((F.col("seq") > F.col("_birth")) | ((F.col("seq") == F.col("_birth")) & (is_insert | (F.col("op") == "delete"))), F.lit(False))
     order = F.struct("seq", (F.col("op") == "delete").cast("int"), (F.col("op") == "update").cast("int"), F.xxhash64(*PRODUCT_VALUES))
-    writes = effective & (F.col("op") != "delete")
-    latest = rows.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("changes"),
-        F.max_by("op", F.when(effective, order)).alias("op"),
-        F.max_by(F.struct(*PRODUCT_VALUES), F.when(writes, order)).alias("w"),
-        F.max(F.col("_id").isNotNull()).alias("_existed"),
-        F.count(F.when(writes, 1)).alias("_writes"),
-        F.count(F.when(effective, 1)).alias("_effects"),
+
+    def effects(effective: Column, name: str) -> list[Column]:
+        writes = effective & (F.col("op") != "delete")
+        return [
+            F.max_by("op", F.when(effective, order)).alias(f"op_{name}"),
+            F.max_by(F.struct(*PRODUCT_VALUES), F.when(writes, order)).alias(f"w_{name}"),
+            F.count(F.when(writes, 1)).alias(f"writes_{name}"),
+            F.count(F.when(effective, 1)).alias(f"effects_{name}"),
+        ]
+
+    latest = rows.groupBy("product_id").agg(F.count(F.lit(1)).alias("changes"), *effects(~is_insert, "old"), *effects(born, "new"))
+    exists = F.col("_id").isNotNull()
+    either = lambda name: F.when(exists, F.col(f"{name}_old")).otherwise(F.col(f"{name}_new"))
+    out = latest.join(current, F.col("product_id") == F.col("_id"), "left").withColumns(
+        {"_existed": exists, "op": either("op"), "w": either("w"), "_writes": either("writes"), "_effects": either("effects")}
     )
-    out = latest.join(current, F.col("product_id") == F.col("_id"), "left")
     deleted = F.col("op") == "delete"
 
     def value(c: str) -> Column:
