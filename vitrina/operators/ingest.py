@@ -414,7 +414,7 @@ def link_identities(t: Tables, logins: DataFrame | None = None) -> DataFrame:
         logins = oauth_login_batch(t)
     # no id and no e-mail, or no known provider: nothing to find and nothing to store
     void = ~F.coalesce(F.col("provider").isin(*PROVIDERS), F.lit(False)) | (F.col("provider_id").isNull() & F.col("email").isNull())
-    events = _login_events(t, logins.filter(~void))
+    events = checkpointed(_login_events(t, logins.filter(~void)))
     by_account = Window.partitionBy("provider", F.coalesce(F.col("account"), F.col("provider_id"))).orderBy("at")
     same = F.coalesce(F.lag("provider_id").over(by_account) == F.col("provider_id"), F.lit(False))
     several = (
